@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 def _mark(df: DataFrame) -> tuple:
     """Number of edges and an order-free checksum of them."""
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
+def arrow_rows(rows: Iterator[tuple], ddl: str, most: int = 4000, weight: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of rows, of at most ``most`` rows and about ``weight`` bytes. ``ddl`` as in Spark, of the types below."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes | str))
+        if len(held) >= most or size > weight:
+            yield _record_batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _record_batch(held, schema)
+
+
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def arrow_dicts(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[dict]:
+    """Rows of Arrow batches as dicts, few of them at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, at_once):
+            yield from batch.slice(i, at_once).to_pylist()
