@@ -10,7 +10,6 @@ a count. They depend on how the input is dealt into partitions, not on when or w
 
 from __future__ import annotations
 
-import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
@@ -29,19 +28,10 @@ VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Fixed value: the vocabulary's special token and its id. As by default, the string in a text is the token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Chunks whose ids are remembered.
-CACHE = 300_000
-#: A blank that doesn't stand before a word: then chunks are cut with more care.
-ODD = re.compile(r" (?=\s|\Z)")
-CUT = re.compile(r"(?= \S)")
 
 
-class Tokens(dict):
-    """Text to the bytes of its ids, little-endian unsigned 32-bit.
-
-    The vocabulary's expression never takes a blank and the white space before it into one token if a word follows, so a text can be cut
-    before such blanks. Chunks recur, and the ids of the first CACHE ones are remembered.
-    """
+class Tokens:
+    """Text to the bytes of its ids, little-endian unsigned 32-bit; the ids that ``tokenizers`` gives with the same vocabulary's json file."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import base64
@@ -54,19 +44,10 @@ class Tokens(dict):
         assert array("I").itemsize == 4 and sys.byteorder == "little"
         self.encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = array("I", self.encode(chunk)).tobytes()
-        if len(self) < CACHE:
-            self[chunk] = out
-        return out
-
     def of(self, text: str) -> bytes:
         if SPECIAL in text:
-            return np.array([SPECIAL_ID], "<u4").tobytes().join([self.of(x) for x in text.split(SPECIAL)])
-        if ODD.search(text):
-            return b"".join(map(self.__getitem__, CUT.split(text))) if text else b""
-        first, *rest = text.split(" ")
-        return b"".join([self[first], *map(self.__getitem__, [" " + x for x in rest])]) if text else b""
+            return array("I", [SPECIAL_ID]).tobytes().join([self.of(x) for x in text.split(SPECIAL)])
+        return array("I", self.encode(text)).tobytes()
 
 
 def cost(n: np.ndarray | float) -> np.ndarray | float:

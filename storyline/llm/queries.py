@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii, quality_rules, secret_scan
+from .common import words
+from .mixing import Mix, mixed
 from .packing import packed_pieces
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -21,6 +23,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_words = F.size(words(F.col("text")))
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), tokens=n_words, mix=Mix(entropy=0.95, max_repeats=3.0))
+    return out.select("doc_id", "source", "mix_pass", "mix_block", "mix_order", "mix_tokens")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
