@@ -30,6 +30,7 @@ BATCH_WORDS, CACHE = 1 << 20, 300_000
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 INDEX, PROBE, KNOWN = 0, 1, 2
 PACKED = "part int, kind int, id binary, tag binary, n binary, pos binary, h binary, g binary"
+SENT = "dest int, id binary, tag binary, n binary, pos binary"
 FOUND = "id long, tag long, pos binary"
 
 
@@ -129,13 +130,62 @@ def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
     return np.repeat(ids, n), np.repeat(tags, n), _wide(row["pos"], int(n.sum()))
 
 
-def _found(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
-    """A row for each document; entries of a document stand together."""
-    if len(ids):
-        edge = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))), len(ids)).tolist()
-        raw, i8, t8 = pos.astype("<u4").tobytes(), ids.tolist(), tags.tolist()
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            yield i8[i], t8[i], raw[4 * i : 4 * j]
+def _sent(chunks: Iterator[tuple], parts: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Found words (ids, tags, positions) as packed rows, one for each part of the ids and ``most`` words."""
+
+    def rows() -> Iterator[tuple]:
+        held: list[tuple] = []
+        size = 0
+
+        def packed() -> Iterator[tuple]:
+            ids, tags, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            dest = _parts(ids.astype(np.uint64) * np.uint64(M1), parts)
+            order = np.lexsort((tags, ids, dest))
+            ids, tags, pos, dest = ids[order], tags[order], pos[order], dest[order]
+            edge = np.append(np.flatnonzero(np.append(True, dest[1:] != dest[:-1])), len(dest))
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                d, t = ids[i:j], tags[i:j]
+                first = np.append(0, np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1)
+                n = np.diff(np.append(first, j - i))
+                yield int(dest[i]), d[first].astype("<i8").tobytes(), t[first].astype("<u4").tobytes(), _small(n), _small(pos[i:j])
+
+        for chunk in chunks:
+            if len(chunk[0]):
+                held.append(chunk)
+                size += len(chunk[0])
+                if size >= most:
+                    yield from packed()
+                    held, size = [], 0
+        if held:
+            yield from packed()
+
+    yield from _batched(rows(), SENT, 64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document with all its positions. Rows come sorted by part; the positions of one part are held."""
+
+    def rows() -> Iterator[tuple]:
+        dest, held = None, []
+
+        def split() -> Iterator[tuple]:
+            if held:
+                ids, tags, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((pos, tags, ids))
+                ids, tags, raw = ids[order], tags[order], pos[order].astype("<u4").tobytes()
+                edge = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))), len(ids)).tolist()
+                for i, j in zip(edge[:-1], edge[1:], strict=True):
+                    yield int(ids[i]), int(tags[i]), raw[4 * i : 4 * j]
+
+        for row in _texts(batches):
+            if row["dest"] != dest:
+                yield from split()
+                dest, held = row["dest"], []
+            ids, tags, pos = _unpacked(row)
+            held.append((ids, tags, pos.astype(np.uint32)))
+        yield from split()
+
+    yield from _batched(rows(), FOUND)
 
 
 def _batched(rows: Iterator[tuple], types: str, size: int = 4000) -> Iterator[pa.RecordBatch]:
@@ -235,8 +285,8 @@ def _anchored(parts: int, block: int, window: int) -> Callable:
     return emit
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part and kind: the blocks of a part, then its probes, then anchors that are known."""
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Anchors. Rows come sorted by part and kind: the blocks of a part, then its probes, then anchors that are known."""
 
     def rows() -> Iterator[tuple]:
         part, index, blocks = None, [], None
@@ -255,9 +305,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if blocks is not None:
                 _, _, used, ids, tags, pos, mine = blocks
                 some = used[mine]
-                ids, tags, pos = ids[some], tags[some], pos[some]
-                order = np.lexsort((tags, ids))
-                yield from _found(ids[order], tags[order], pos[order])
+                yield ids[some], tags[some], pos[some]
 
         for row in _texts(batches):
             if row["part"] != part:
@@ -281,10 +329,10 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hit |= more
                     i = i + 1
                 ids, tags, pos = ids[hit], tags[hit], pos[hit]
-            yield from _found(ids, tags, pos)
+            yield ids, tags, pos
         yield from met()
 
-    yield from _batched(rows(), FOUND)
+    return rows()
 
 
 def _opened(x: dict) -> list[bytes]:
@@ -325,7 +373,7 @@ def _extended(parts: int, block: int, window: int) -> Callable:
             for x in _texts(batches):
                 if not x["pos"]:
                     continue
-                b.add(x["id"], x["tag"], hashes.of(_opened(x)), np.unique(np.frombuffer(b"".join(x["pos"]), "<u4")).astype(np.int64))
+                b.add(x["id"], x["tag"], hashes.of(_opened(x)), np.unique(np.frombuffer(x["pos"], "<u4")).astype(np.int64))
                 if b.size >= BATCH_WORDS:
                     yield from settled(b)
                     b = _Batch()
@@ -337,7 +385,7 @@ def _extended(parts: int, block: int, window: int) -> Callable:
     return emit
 
 
-def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Windows whose words a smaller id also has. Of a part, the windows met once in each batch are held, 28 bytes each."""
 
     def rows() -> Iterator[tuple]:
@@ -351,7 +399,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
                 repeat = np.zeros(len(a), bool)
                 repeat[order] = who > np.repeat(who[new], np.diff(np.append(new, len(a))))
-                yield from _found(ids[repeat], tags[repeat], pos[repeat])
+                yield ids[repeat], tags[repeat].astype(np.int64), pos[repeat].astype(np.int64)
 
         for row in _texts(batches):
             if row["part"] != part:
@@ -359,12 +407,12 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, held = row["part"], []
             ids, tags, pos = _unpacked(row)
             if row["kind"] == KNOWN:
-                yield from _found(ids, tags, pos)
+                yield ids, tags, pos
             else:
                 held.append((np.frombuffer(row["h"], "<u8"), np.frombuffer(row["g"], "<u4"), ids, tags.astype(np.uint32), pos.astype(np.uint32)))
         yield from judged()
 
-    yield from _batched(rows(), FOUND)
+    return rows()
 
 
 def _removed(window: int) -> Callable:
@@ -375,7 +423,7 @@ def _removed(window: int) -> Callable:
                 n = len(w)
                 if x["pos"]:
                     step = np.zeros(n + 1, np.int64)
-                    at = np.unique(np.frombuffer(b"".join(x["pos"]), "<u4")).astype(np.int64)
+                    at = np.unique(np.frombuffer(x["pos"], "<u4")).astype(np.int64)
                     step[at] += 1
                     step[at + window] -= 1
                     w = [w[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
@@ -399,8 +447,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = texts.mapInArrow(_packer(), "id long, tag long, z binary")
 
     def grouped(packed: DataFrame, by: Callable) -> DataFrame:
-        found = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(by, FOUND)
-        return found.groupBy("id", "tag").agg(F.collect_list("pos").alias("pos"))
+        found = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda b: _sent(by(b), parts), SENT)
+        return found.repartition(parts, "dest").sortWithinPartitions("dest").mapInArrow(_gathered, FOUND)
 
     anchors = grouped(texts.mapInArrow(_anchored(parts, block, window), PACKED), _matched)
     # Left and by merging, as below, so that the exchange of the texts is the same.
