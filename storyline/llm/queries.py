@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules, secret_scan
+from . import pii, quality_rules, secret_scan, warc_zip
 from .common import words
 from .mixing import Mix, mixed
 from .packing import packed_pieces
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_words = F.size(words(F.col("text")))
     out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), tokens=n_words, mix=Mix(entropy=0.95, max_repeats=3.0))
@@ -52,6 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc_zip": op2_warc_zip,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
