@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import pii, quality_rules, secret_scan, warc_zip
 from .common import words
+from .embedding import near_vectors
 from .mixing import Mix, mixed
 from .packing import packed_pieces
 from .simhash import near_duplicates
@@ -50,6 +51,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
+    "op8_embedding": op8_embedding,
     "op10_secrets": op10_secrets,
 }
 
