@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules, secret_scan, warc_zip
+from . import pii, quality_rules, secret_scan, warc_zip, weak_labels
 from .common import words
 from .embedding import near_vectors
 from .mixing import Mix, mixed
@@ -55,6 +55,10 @@ def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_embedding": op8_embedding,
+    "op9_weak_labels": op9_weak_labels,
     "op10_secrets": op10_secrets,
 }
 
