@@ -1,4 +1,6 @@
-"""Registered queries and the same results in SQL."""
+"""Registered queries over the driver's tables, and the same results in SQL where that can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import articles_plan, reports_plan
+
+QUERIES = articles_plan.QUERIES | reports_plan.QUERIES
+ORACLE_SQL = articles_plan.ORACLE_SQL | reports_plan.ORACLE_SQL
