@@ -11,6 +11,7 @@ from . import pii, quality_rules, secret_scan, warc_zip, weak_labels
 from .common import words
 from .embedding import near_vectors
 from .mixing import Mix, mixed
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import packed_pieces
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -76,4 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
