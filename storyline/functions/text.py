@@ -95,7 +95,7 @@ def shortened_title(title: Column, fillers: list[str], most: int = 8) -> Column:
 
 def clamped(value: Column, most: int) -> Column:
     """Rounded half to even and held between 0 and ``most``; what is no number is 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(most), F.bround(value.try_cast("double")).cast("int"))), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(F.bround(value.try_cast("double")).cast("int"), F.lit(0))))
 
 
 def timestamp_of(text: Column) -> Column:
@@ -112,7 +112,7 @@ def local_day(ts: Column, zone: str = "+03:00") -> Column:
 
 def floor_of(fresh: Column) -> Column:
     """Least items of a report: 45 % of the fresh supply, 4 to 10; 10 if the supply isn't known."""
-    return F.coalesce(F.greatest(F.lit(4), F.least(F.lit(10), F.bround(0.45 * fresh).cast("int"))), F.lit(10))
+    return F.greatest(F.lit(4), F.least(F.lit(10), F.coalesce(F.bround(0.45 * fresh).cast("int"), F.lit(10))))
 
 
 def json_object(text: Column) -> Column:

@@ -51,7 +51,7 @@ def seen_links(lines: DataFrame, cutoff: Column) -> DataFrame:
     parts = lines.select("line_no", F.split("value", "\t", -1).alias("p")).where(F.size("p") >= 3)
     hashed = F.element_at("p", -1).rlike("^[0-9a-f]{32}$") & (F.size("p") > 3)
     title = F.array_join(F.slice("p", F.lit(3), F.size("p") - 2 - F.when(hashed, 1).otherwise(0)), "\t")
-    out = parts.select("line_no", F.try_to_date(F.get("p", F.lit(0)), F.lit("yyyy-MM-dd")).alias("day"), F.get("p", F.lit(1)).alias("link"), title.alias("title"), F.when(hashed, F.element_at("p", -1)).alias("content_hash"))
+    out = parts.select("line_no", F.try_to_date(F.get("p", F.lit(0)), "yyyy-MM-dd").alias("day"), F.get("p", F.lit(1)).alias("link"), title.alias("title"), F.when(hashed, F.element_at("p", -1)).alias("content_hash"))
     return out.where(F.col("day") >= cutoff)
 
 
