@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fingerprints as fp
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import resolve, stories
+from ..functions import predicates as pr
+from ..operators import resolve, select, stories
 from ..operators.base import checkpointed, first_wins
 from ..operators.pairs import set_classes, similar_sets, similar_titles
 from ..sources import pages as pg
@@ -122,7 +123,78 @@ def page_yield(spark, sf_dir):
     return page_texts(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("n"), F.avg("n_words").alias("avg_words"), F.max("n_words").alias("max_words"))
 
 
+def _same_titles(spark, sf_dir):
+    """Pairs of articles whose titles have similar stems, and the articles that are in one."""
+    return checkpointed(similar_sets(_title_classes(spark, sf_dir), 0.45).select("a", "b"))
+
+
+def title_clusters(spark, sf_dir):
+    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
+    return select.clusters(items, _same_titles(spark, sf_dir)).select(F.col("id").alias("article_id"), F.col("rep").alias("representative"))
+
+
+def distinct_picks(spark, sf_dir):
+    """The first 50 articles in order that aren't excluded and tell nothing that an earlier pick does."""
+    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
+    return select.pick_distinct(items, _same_titles(spark, sf_dir), items.where("id % 4 = 1"), 50).select(F.col("id").alias("article_id"))
+
+
+def new_against_history(spark, sf_dir):
+    """Articles with an odd id that repeat neither an even one nor an earlier odd one."""
+    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
+    return select.drop_against(items.where("id % 2 = 1"), items.where("id % 2 = 0"), _same_titles(spark, sf_dir)).select(F.col("id").alias("article_id"))
+
+
+def restored_orphans(spark, sf_dir):
+    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
+    return select.restored(items.where("id % 3 > 0"), items.where("id % 3 = 0"), _same_titles(spark, sf_dir)).select(F.col("id").alias("article_id"))
+
+
+def group_removals(spark, sf_dir):
+    a = articles(spark, sf_dir)
+    groups = a.select(F.md5("title").alias("group"), F.col("article_id").alias("id"), (F.col("article_id") % 10 == 0).alias("protected"), tx.word_count(F.col("src_body")).alias("n_source"), F.length("src_body").alias("n_text"))
+    return select.group_removals(groups).select(F.col("id").alias("article_id"))
+
+
+def related_passages(spark, sf_dir):
+    """For each passage of the benchmark, the six articles with the most similar titles' stems; passages as titles."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), fp.keywords(F.col("text")).alias("tokens"))
+    history = articles(spark, sf_dir).select(F.col("article_id").alias("id"), fp.keywords(F.col("src_body"), 60).alias("tokens"))
+    return select.related(items, history).select("id", "other", F.round("overlap", 6).alias("overlap"))
+
+
+def body_origins(spark, sf_dir):
+    own = articles(spark, sf_dir).withColumn("x", pr.body_origin(F.substring("src_body", 1, 800), F.col("src_body")))
+    return own.select("article_id", F.col("x.origin").alias("origin"), F.md5(F.coalesce("x.text", F.lit(""))).alias("text"))
+
+
+def repair_actions(spark, sf_dir):
+    a = articles(spark, sf_dir).withColumn("body", F.substring("src_body", 1, 160))
+    action = pr.repair(tx.truncated(F.col("body")), tx.last_full_sentence(F.col("body")), F.substring("src_body", 1, 500), F.col("body"), F.col("article_id") % 9 == 0)
+    return a.select("article_id", action.alias("action"), pr.needs_longer(F.col("body"), F.col("src_body")).alias("needs_longer"))
+
+
+def source_windows(spark, sf_dir):
+    """Events in their source's effective window."""
+    own = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 40).cast("string").alias("source"), F.col("ts").cast("timestamp").alias("pub_ts"))
+    return pr.effective_hours(own, F.lit("2024-01-25 00:00:00").cast("timestamp"), ["3", "7"]).select("event_id", F.col("hours").cast("long").alias("hours"))
+
+
+def daily_briefs(spark, sf_dir):
+    return pr.brief(articles(spark, sf_dir).select("day", F.col("seq").alias("pos"), "title"), ["day"], "Today: ")
+
+
 QUERIES = {
+    "title_clusters": title_clusters,
+    "distinct_picks": distinct_picks,
+    "new_against_history": new_against_history,
+    "restored_orphans": restored_orphans,
+    "group_removals": group_removals,
+    "related_passages": related_passages,
+    "body_origins": body_origins,
+    "repair_actions": repair_actions,
+    "source_windows": source_windows,
+    "daily_briefs": daily_briefs,
     "canonical_urls": canonical_urls,
     "content_hashes": _text("content_hashes", content_hash=lambda: tx.content_hash(F.col("title"), F.col("lang"))),
     "word_counts": _text("word_counts", n_words=lambda: tx.word_count(F.col("src_body")).cast("long"), lead=lambda: tx.first_words(F.col("src_body"), 60)),
@@ -166,7 +238,49 @@ _CLASSES = (
     " e AS (SELECT a, b, k / (len(p.toks) + len(q.toks) - k) AS overlap FROM m JOIN c p ON p.id = a JOIN c q ON q.id = b WHERE k / (len(p.toks) + len(q.toks) - k) >= 0.45)"
 )
 
+_WALK = """w(k, acc) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+            SELECT w.k + 1, CASE WHEN list_has_any(coalesce(adj.earlier, []), w.acc) THEN w.acc ELSE list_append(w.acc, n.id) END FROM w JOIN n ON n.k = w.k + 1 LEFT JOIN adj ON adj.id = n.id),
+        p AS (SELECT unnest(acc) AS id FROM w WHERE k = (SELECT coalesce(max(k), 0) FROM n))"""
+_ADJ = "adj AS (SELECT b AS id, list(a) AS earlier FROM e GROUP BY b)"
+_BOTH = "z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
+
 ORACLE_SQL = {
+    "title_clusters": f"""
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c), {_ADJ}, {_WALK}
+        SELECT c.id AS article_id, CASE WHEN c.id IN (SELECT id FROM p) THEN c.id ELSE (SELECT min(a) FROM e WHERE e.b = c.id AND e.a IN (SELECT id FROM p)) END AS representative FROM c""",
+    "distinct_picks": f"""
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c WHERE id % 4 <> 1), {_ADJ}, {_WALK} SELECT id AS article_id FROM p ORDER BY id LIMIT 50""",
+    "new_against_history": f"""
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, {_BOTH}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM z WHERE z.a = c.id AND z.b % 2 = 0)),
+        {_ADJ}, {_WALK} SELECT id AS article_id FROM p""",
+    "restored_orphans": f"""
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, {_BOTH}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c WHERE id % 3 > 0
+            AND EXISTS (SELECT 1 FROM z WHERE z.a = c.id AND z.b % 3 > 0) AND NOT EXISTS (SELECT 1 FROM z WHERE z.a = c.id AND z.b % 3 = 0)),
+        {_ADJ}, {_WALK} SELECT id AS article_id FROM p""",
+    "group_removals": f"""
+        WITH {ARTICLES}, k AS (SELECT article_id, row_number() OVER (PARTITION BY md5(title) ORDER BY article_id % 10 = 0 DESC, len(regexp_extract_all(src_body, '\\S+')) DESC, length(src_body) DESC, article_id) AS k FROM a)
+        SELECT article_id FROM k WHERE k > 1 AND article_id % 10 <> 0""",
+    "related_passages": f"""
+        WITH h0 AS (SELECT doc_id AS other, coalesce(text, '') AS src_body FROM documents), h1 AS (SELECT other, {_STEMS} AS x FROM h0), h AS (SELECT other, ({_FIRST})[1:60] AS toks FROM h1),
+        i0 AS (SELECT item_id AS id, coalesce(text, '') AS src_body FROM benchmark), i AS (SELECT id, list_distinct({_STEMS}) AS toks FROM i0),
+        m AS (SELECT p.id, q.other, count(*) AS c FROM (SELECT id, unnest(toks) AS t FROM i) p JOIN (SELECT other, unnest(toks) AS t FROM h) q USING (t) GROUP BY ALL),
+        o AS (SELECT m.id, m.other, c / (len(i.toks) + len(h.toks) - c) AS overlap FROM m JOIN i USING (id) JOIN h USING (other)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS k FROM o) SELECT id, other, round(overlap, 6) AS overlap FROM k WHERE k <= 6""",
+    "body_origins": f"""
+        WITH {ARTICLES}, n AS (SELECT *, len(regexp_extract_all(src_body[1:800], '\\S+')) AS p, len(regexp_extract_all(src_body, '\\S+')) AS f FROM a)
+        SELECT article_id, CASE WHEN p > 100 THEN 'page' WHEN f >= 100 THEN 'feed' ELSE 'none' END AS origin, md5(CASE WHEN p > 100 THEN src_body[1:800] WHEN f >= 100 THEN src_body ELSE '' END) AS text FROM n""",
+    "repair_actions": f"""
+        WITH {ARTICLES}, b AS (SELECT *, src_body[1:160] AS body FROM a), c AS (SELECT *, regexp_extract(body, '(?s)^.*[.!?…]["''”’»)]*') AS cut, regexp_replace(body, '\\s+$', '') AS bare,
+            len(regexp_extract_all(src_body[1:500], '\\S+')) AS ns, len(regexp_extract_all(body, '\\S+')) AS nb, len(regexp_extract_all(src_body, '\\S+')) AS na FROM b)
+        SELECT article_id, CASE WHEN bare = '' OR regexp_matches(bare, '[.!?…"''”’»)]$') THEN 'keep' WHEN ns > 80 THEN 'regenerate'
+            WHEN len(regexp_extract_all(CASE WHEN cut <> '' THEN cut ELSE body END, '\\S+')) >= 15 THEN 'cut' WHEN article_id % 9 <> 0 AND nb < 25 THEN 'drop' ELSE 'keep' END AS action,
+            nb < 110 AND na >= 60 AS needs_longer FROM c""",
+    "source_windows": """
+        WITH e AS (SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS source, date_diff('second', ts, TIMESTAMP '2024-01-25 00:00:00') / 3600 AS age FROM events),
+        f AS (SELECT *, CASE WHEN source IN ('3', '7') OR max(CASE WHEN age IS NULL OR age <= 96 THEN 1 ELSE 0 END) OVER (PARTITION BY source) = 0 THEN 168 ELSE 96 END AS hours FROM e)
+        SELECT event_id, hours FROM f WHERE age IS NULL OR age <= hours""",
+    "daily_briefs": f"""
+        WITH {ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq) AS k FROM a) SELECT day, 'Today: ' || string_agg(title, '; ' ORDER BY seq) AS brief FROM k WHERE k <= 8 GROUP BY day""",
     "canonical_urls": f"""
         WITH p AS (SELECT page_id, url, replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') AS domain,
             regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&') AS q FROM pages),
