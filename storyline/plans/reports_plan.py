@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -215,16 +216,17 @@ def _events_stream(spark, sf_dir):
     return own.select("event_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("pub_ts"), "user_id", "value")
 
 
+def _folder(spark):
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='storyline-')}/stream-{uuid4().hex}"
+
+
 def stream_funnel(spark, sf_dir):
-    checkpoint = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='storyline-')}/stream-{spark.sparkContext.startTime}-{id(object())}"
-    found = stream.drained(stream.funnel(_events_stream(spark, sf_dir)), f"funnel_{abs(hash(checkpoint))}", checkpoint, "complete")
+    found = stream.drained(stream.funnel(_events_stream(spark, sf_dir)), _folder(spark), "complete")
     return found.select(F.to_date("start").alias("day"), "source", "n", F.round("value", 4).alias("value"))
 
 
 def stream_unseen(spark, sf_dir):
-    checkpoint = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='storyline-')}/unseen-{spark.sparkContext.startTime}-{id(object())}"
-    found = stream.drained(stream.unseen(_events_stream(spark, sf_dir), "user_id"), f"unseen_{abs(hash(checkpoint))}", checkpoint)
-    return found.select("user_id").distinct()
+    return stream.drained(stream.unseen(_events_stream(spark, sf_dir), "user_id"), _folder(spark)).select("user_id").distinct()
 
 
 _NAMES = [

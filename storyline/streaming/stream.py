@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def admitted(items: DataFrame, hours: DataFrame, now: str, base: int = 96) -> DataFrame:
     """Items within their source's hours before ``now``; of sources that aren't listed, ``base`` hours. Items without a time pass."""
-    joined = items.join(F.broadcast(hours), "source", "left")
+    joined = items.join(hours, "source", "left")
     least = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.coalesce("hours", F.lit(base)))
     return joined.where(F.col("pub_ts").isNull() | (F.col("pub_ts") >= least)).drop("hours")
 
@@ -27,11 +27,17 @@ def funnel(items: DataFrame, window: str = "1 day", late: str = "7 days") -> Dat
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "source", "n", "value")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for the files that are there now, as a table in memory for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for the files that are there now, as a table under ``path``, which tasks and driver share.
+
+    Each micro-batch replaces its own folder, so one that comes twice counts once; in complete mode the last one is the result.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else n}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
