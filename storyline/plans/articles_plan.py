@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions import predicates as pr
 from ..operators import resolve, select, stories
 from ..operators.base import checkpointed, first_wins
+from ..operators.runfilter import run_filter
 from ..operators.pairs import set_classes, similar_sets, similar_titles
 from ..sources import pages as pg
 from .tables import ARTICLES, articles, table
@@ -184,7 +185,18 @@ def daily_briefs(spark, sf_dir):
     return pr.brief(articles(spark, sf_dir).select("day", F.col("seq").alias("pos"), "title"), ["day"], "Today: ")
 
 
+def run_filter_levels(spark, sf_dir):
+    """The five-level filter over a day's articles against those of the week before; ids of history come first."""
+    own = articles(spark, sf_dir).where("day >= DATE'2024-01-10'").withColumn("in_history", F.col("day") < F.lit("2024-01-24").cast("date"))
+    items = own.select(
+        F.when(F.col("in_history"), F.col("article_id")).otherwise(F.col("article_id") + (1 << 40)).alias("id"), F.concat(F.lit("https://x/"), F.col("article_id") % 5000).alias("url"),
+        tx.content_hash(F.col("title"), F.col("lang")).alias("content_hash"), F.substring("title", 1, 120).alias("title"), "in_history",
+    )
+    return run_filter(items).select((F.col("id") - (1 << 40)).alias("article_id"), "accepted", F.col("level").cast("long").alias("level"))
+
+
 QUERIES = {
+    "run_filter_levels": run_filter_levels,
     "title_clusters": title_clusters,
     "distinct_picks": distinct_picks,
     "new_against_history": new_against_history,

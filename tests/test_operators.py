@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from storyline.functions import predicates as pr
 from storyline.operators import ranking, report, select, stories
+from storyline.operators.runfilter import run_filter
 from storyline.sources import sinks
 
 
@@ -80,3 +81,51 @@ def test_predicates(spark):
     assert social == "Hi see all"
     page = frame(spark, [("a **b** <style>p**q</style> ```html c",)], "t string").select(pr.without_markup(F.col("t")).alias("x")).first().x
     assert page == "a b <style>p**q</style>  c"
+
+
+def test_run_filter_equals_a_walk(spark):
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    names = ["Ransomware hits hospital chain in Ohio", "Hospital chain in Ohio hit by ransomware", "LONGLEASH malware found", "New wave of LONGLEASH attacks", "Router flaw patched", "Quarterly chip results rise", "Router flaw patched again", "Router flaw CVE-2026-1111 is patched", "Patched is Router flaw CVE-2026-2222"]
+    rows = [(i, rng.choice(["", None, "u1", "u2", f"v{i}"]), f"h{rng.randint(0, 25)}", rng.choice(names) + rng.choice(["", " today", " v2"]), i < 8) for i in range(40)]
+    got = {r.id: (r.accepted, r.level) for r in run_filter(frame(spark, rows, "id long, url string, content_hash string, title string, in_history boolean")).collect()}
+    stems = lambda t: {w[:5] for w in t.lower().split() if len(w) >= 5}
+
+    def template(x, y):
+        n = next((k for k, (a, b) in enumerate(zip(x.lower(), y.lower(), strict=False)) if a != b), min(len(x), len(y)))
+        if n < 15 or any(w[:1].isupper() or any(c.isdigit() for c in w) for w in x[:n].split()[1:]):
+            return False
+        p, q = x.lower()[n:].strip(), y.lower()[n:].strip()
+        if not p or not q:
+            return False
+        m = next((k for k, (a, b) in enumerate(zip(p[::-1], q[::-1], strict=False)) if a != b), min(len(p), len(q)))
+        p2, q2 = p[: len(p) - m].strip(), q[: len(q) - m].strip()
+        p, q = (p2, q2) if p2 and q2 else (p, q)
+        return SequenceMatcher(None, p, q).ratio() < 0.5
+
+    def level(new, old):
+        _, u, h, t, _ = new
+        _, v, g, s, past = old
+        if u and u == v:
+            return 1
+        if h == g and t.lower() == s.lower():
+            return 2
+        veto = template(t, s)
+        if SequenceMatcher(None, t.lower(), s.lower()).ratio() >= 0.72 and not veto:
+            return 3
+        ids = lambda x: set(re.findall(r"cve-\d{4}-\d+", x.lower()))
+        if ids(t) and ids(s) and ids(t) != ids(s):
+            veto = True
+        if len(stems(t) & stems(s)) / max(1, len(stems(t) | stems(s))) >= 0.45 and not veto:
+            return 4
+        return 5 if not past and "LONGLEASH" in t and "LONGLEASH" in s else None
+
+    taken = [r for r in rows if r[4]]
+    for r in rows[8:]:
+        levels = [x for x in (level(r, o) for o in taken) if x]
+        assert got[r[0]] == (not levels, min(levels, default=None)), r
+        if not levels:
+            taken.append(r)
