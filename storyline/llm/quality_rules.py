@@ -48,10 +48,13 @@ def repeated_words(w: Column, width: int = 5) -> Column:
 
         return let(let(placed, twice), span)
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-    # Most texts repeat no window; a count of distinct hashes settles those.
-    some = F.when(F.size(w) >= width, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0)))
-    return F.coalesce(some, F.lit(0)).cast("long")
+    def counted(v: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(v) - width), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(width)]))
+        # Most texts repeat no window; a count of distinct hashes settles those.
+        return F.when(F.size(v) >= width, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))).otherwise(0)
+
+    # Bound here: a filter on the result that is pushed down would otherwise split the text again for each word.
+    return let(w, counted).cast("long")
 
 
 def _lines(text: Column) -> Column:
@@ -130,12 +133,13 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """Documents that the rules keep, with all their columns, their text without the lines that are too frequent."""
     limits = limits or Limits()
     frequent = frequent_lines(docs, text_col, host_col, limits)
-    lines = _by_document(_met(docs, frequent, id_col, text_col, host_col), F.collect_set("line"), "gone")
+    found = _by_document(_met(docs, frequent, id_col, text_col, host_col), F.collect_set(F.struct("pos", "n", "line")), "lines")
+    lines = found.select("id", "host", "doc", F.aggregate("lines", F.lit(0), lambda acc, x: acc + x["n"]).alias("n_gone"), F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("gone"))
     rated = text_rules(docs.withColumn("_doc", F.xxhash64(text_col)), id_col, text_col, limits).where(~F.col("base_failed"))
     out = _joined(rated, lines, id_col, host_col)
+    left = F.col("n_words") - F.coalesce(F.col("n_gone"), F.lit(0))
+    out = out.where((left >= limits.min_words) & (100 * left >= limits.min_percent * F.col("n_words")))
     # A line without a word stays where it is.
     rest = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~x.rlike(WORD) | ~F.array_contains(F.col("gone"), F.xxhash64(normalised(x)))), "\n")
-    out = out.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != text_col], "n_words", F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(rest).alias(text_col))
-    left = F.size(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)))
-    out = out.where((left >= limits.min_words) & (100 * left >= limits.min_percent * F.col("n_words")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(rest).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
