@@ -57,12 +57,22 @@ def event_ids(codes: Column, actors: Column, packages: Column, certain: Column)
     return F.array_distinct(F.concat(typed("cve", F.filter(actors, lambda x: x.startswith("cve"))), typed("pkg", packages), typed("code", codes), typed("name", F.array_except(certain, stems))))
 
 
-def candidate_pairs(views: DataFrame, least: float = lx.TOPIC_ALONE) -> DataFrame:
-    """(a, b), a < b: pairs that share a typed token, or whose keyword sets overlap by ``least``. All that a rule on ids or topics can accept."""
+def candidate_pairs(views: DataFrame, least: float = lx.TOPIC_ALONE, generic: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs that share a typed token, or whose keyword sets overlap by ``least``. All that a rule on ids or topics can accept.
+
+    Names that over GENERIC_SHARE of the views hold bring no pairs together, as their pairs grow with the square of the views; ``generic`` lets
+    them, for small corpora where a generic name and a topic of TOPIC_ENTITY are to be enough.
+    """
     from .pairs import set_classes, sharing_pairs, similar_sets
 
-    tokens = F.concat("codes", "actors", "packages", F.array_union("names.certain", "body_names.certain"), F.array_union("names.candidate", "body_names.candidate"))
-    out = sharing_pairs(views.select("id", tokens.alias("tokens"))).select("a", "b")
+    out = sharing_pairs(views.select("id", F.concat("codes", "actors", "packages").alias("tokens"))).select("a", "b")
+    # Names count if one of the two has them within a sentence; what both only start a sentence with brings no pair together.
+    certain = views.select("id", F.explode(F.array_union("names.certain", "body_names.certain")).alias("t"))
+    every = certain.unionByName(views.select("id", F.explode(F.array_union("names.candidate", "body_names.candidate")).alias("t"))).distinct()
+    if not generic:
+        certain = certain.join(generic_names(views).select(F.col("name").alias("t")), "t", "left_anti").select("id", "t")
+    met = certain.alias("x").join(every.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") != F.col("y.id")))
+    out = out.unionByName(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
     for kind in ("body", "blob", "lead"):
         classes = checkpointed(set_classes(views.select("id", F.col(f"keys.{kind}").alias("tokens"))))
         pairs = similar_sets(classes, least).select("a", "b").unionByName(classes.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
