@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import arrow_dicts, arrow_rows, shuffle_partitions
 
 WINDOW = 50
 #: Words handled at a time, and distinct words whose hashes are remembered.
@@ -159,7 +159,7 @@ def _sent(chunks: Iterator[tuple], parts: int, most: int = 1 << 20) -> Iterator[
         if held:
             yield from packed()
 
-    yield from _batched(rows(), SENT, 64)
+    yield from arrow_rows(rows(), SENT, 64)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, j in zip(edge[:-1], edge[1:], strict=True):
                     yield int(ids[i]), int(tags[i]), raw[4 * i : 4 * j]
 
-        for row in _texts(batches):
+        for row in arrow_dicts(batches):
             if row["dest"] != dest:
                 yield from split()
                 dest, held = row["dest"], []
@@ -185,33 +185,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((ids, tags, pos.astype(np.uint32)))
         yield from split()
 
-    yield from _batched(rows(), FOUND)
-
-
-def _batched(rows: Iterator[tuple], types: str, size: int = 4000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of rows, of bounded size."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in types.split(", ")])
-    held: list[tuple] = []
-    weight = 0
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-
-    for row in rows:
-        held.append(row)
-        weight += sum(len(x) for x in row if isinstance(x, bytes | str))
-        if len(held) >= size or weight > 8 << 20:
-            yield made()
-            held, weight = [], 0
-    if held:
-        yield made()
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            yield from batch.slice(i, 256).to_pylist()
+    yield from arrow_rows(rows(), FOUND)
 
 
 def _packer() -> Callable:
@@ -223,11 +197,11 @@ def _packer() -> Callable:
         press = ZstdCompressor(level=3)
 
         def rows() -> Iterator[tuple]:
-            for x in _texts(batches):
+            for x in arrow_dicts(batches):
                 text = (x["text"] or "").encode("utf-8", "surrogatepass")
                 yield x["id"], crc32(text), press.compress(text)
 
-        yield from _batched(rows(), "id long, tag long, z binary", 256)
+        yield from arrow_rows(rows(), "id long, tag long, z binary", 256)
 
     return pack
 
@@ -269,7 +243,7 @@ def _anchored(parts: int, block: int, window: int) -> Callable:
 
         def rows() -> Iterator[tuple]:
             b = _Batch()
-            for x in _texts(batches):
+            for x in arrow_dicts(batches):
                 text = (x["text"] or "").encode("utf-8", "surrogatepass")
                 if x["id"] is None or len(w := text.split()) < window:
                     continue
@@ -280,7 +254,7 @@ def _anchored(parts: int, block: int, window: int) -> Callable:
             if b.size:
                 yield from settled(b)
 
-        yield from _batched(rows(), PACKED, 64)
+        yield from arrow_rows(rows(), PACKED, 64)
 
     return emit
 
@@ -307,7 +281,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 some = used[mine]
                 yield ids[some], tags[some], pos[some]
 
-        for row in _texts(batches):
+        for row in arrow_dicts(batches):
             if row["part"] != part:
                 yield from met()
                 part, index, blocks = row["part"], [], None
@@ -370,7 +344,7 @@ def _extended(parts: int, block: int, window: int) -> Callable:
 
         def rows() -> Iterator[tuple]:
             b = _Batch()
-            for x in _texts(batches):
+            for x in arrow_dicts(batches):
                 if not x["pos"]:
                     continue
                 b.add(x["id"], x["tag"], hashes.of(_opened(x)), np.unique(np.frombuffer(x["pos"], "<u4")).astype(np.int64))
@@ -380,7 +354,7 @@ def _extended(parts: int, block: int, window: int) -> Callable:
             if b.size:
                 yield from settled(b)
 
-        yield from _batched(rows(), PACKED, 64)
+        yield from arrow_rows(rows(), PACKED, 64)
 
     return emit
 
@@ -401,7 +375,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 repeat[order] = who > np.repeat(who[new], np.diff(np.append(new, len(a))))
                 yield ids[repeat], tags[repeat].astype(np.int64), pos[repeat].astype(np.int64)
 
-        for row in _texts(batches):
+        for row in arrow_dicts(batches):
             if row["part"] != part:
                 yield from judged()
                 part, held = row["part"], []
@@ -418,7 +392,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _removed(window: int) -> Callable:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for x in _texts(batches):
+            for x in arrow_dicts(batches):
                 w = _opened(x)
                 n = len(w)
                 if x["pos"]:
@@ -429,7 +403,7 @@ def _removed(window: int) -> Callable:
                     w = [w[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
                 yield x["id"], n, n - len(w), b" ".join(w).decode("utf-8", "surrogatepass")
 
-        yield from _batched(rows(), "id long, n_words long, n_removed long, kept string", 1000)
+        yield from arrow_rows(rows(), "id long, n_words long, n_removed long, kept string", 1000)
 
     return remove
 
