@@ -33,17 +33,17 @@ def measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, words, and the measures that labellers look at) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    held = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), lines.alias("l"), text.alias("t"))
+    held = docs.select(F.col(id_col).alias("id"), words(F.lower(F.col(text_col))).alias("w"), lines.alias("l"), text.alias("t"))
     n, n_chars = F.greatest(F.lit(1), F.size("w")), F.greatest(F.lit(1), F.length("t"))
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
+    stop = list(dict.fromkeys(STOP_WORDS))
     one = lambda x: x.cast("double")
     return held.select(
         "id",
-        F.transform("w", lambda x: F.lower(x)).alias("words"),
+        F.col("w").alias("words"),
         one(F.size("w")).alias("n_words"),
         (one(F.length(F.array_join("w", ""))) / n).alias("word_chars"),
         (one(F.size(F.regexp_extract_all("t", F.lit("[#*$%&|<>{}]"), F.lit(0)))) / n).alias("symbols"),
-        (one(F.size(F.filter("w", lambda x: F.array_contains(stop, F.lower(x))))) / n).alias("stops"),
+        (one(F.size(F.filter("w", lambda x: x.isin(stop)))) / n).alias("stops"),
         (one(F.size("l") - F.size(F.array_distinct("l"))) / F.greatest(F.lit(1), F.size("l"))).alias("dup_lines"),
         (one(F.length(F.regexp_replace("t", r"\P{L}+", ""))) / n_chars).alias("letters"),
         (one(F.size(F.filter("l", lambda x: x.rlike(r'[.!?…:;"»)]\s*$')))) / F.greatest(F.lit(1), F.size("l"))).alias("ends"),
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     posterior = F.get(F.array(*[F.lit(float(x)) for x in post]), F.col("votes"))
     held = _features(coded(measures(part, id_col, text_col)), buckets).select("features", posterior.alias("p"))
     both = held.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("x"))
-    train = checkpointed(both.select("features", "x.label", "x.weight"))
+    train = checkpointed(both.select("features", "x.label", "x.weight")).coalesce(8)
     if train.isEmpty():
         return post, None
     return post, LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40).fit(train)
