@@ -18,12 +18,14 @@ from .common import SPACE, WORD, let, words
 
 @dataclass(frozen=True)
 class Limits:
-    """A line goes if ``min_docs`` documents of the host or more hold it, and over ``max_percent`` of the host's documents.
+    """A line goes if ``min_docs`` documents of the host or more hold it, and ``enough_docs`` or over ``max_percent`` of the host's documents.
 
+    ``enough_docs`` holds on hosts of any size, so that a line that a small host loses doesn't stay on a large one for its small share.
     A document is depleted if under ``min_words`` words stay, or under ``min_percent`` of its words.
     """
 
     min_docs: int = 20
+    enough_docs: int = 20
     max_percent: int = 10
     min_words: int = 10
     min_percent: int = 50
@@ -92,7 +94,8 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     held = keyed.select("host", "doc", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.countDistinct("doc").alias("n_docs"))
     held = held.where(F.col("n_docs") >= limits.min_docs)
     joined = held.alias("l").join(per_host.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-    return joined.where(100 * F.col("n_docs") > limits.max_percent * F.col("n_host")).select("l.host", "line", "n_docs")
+    share = 100 * F.col("n_docs") > limits.max_percent * F.col("n_host")
+    return joined.where((F.col("n_docs") >= limits.enough_docs) | share).select("l.host", "line", "n_docs")
 
 
 def _met(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:

@@ -53,3 +53,18 @@ def test_empty_table_and_plan(spark):
     assert q.verdicts(df).count() == 0 and q.cleaned(df).count() == 0
     plan = q.verdicts(df)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_count_alone_removes_a_line_on_large_hosts(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    own = lambda h, i: " ".join(f"{h}{name(i)}{x}" for x in "abcdefghijkl")
+    rows = [(i, own("large", i) + "\nAll rights reserved by us" * (i < 25) + "\nSeen too seldom" * (100 <= i < 119), "large") for i in range(400)]
+    rows += [(1000 + i, own("small", i) + "\nAll rights reserved by us" * (i < 25), "small") for i in range(60)]
+    # Documents that are little else are depleted on a host of any size.
+    rows += [(2000 + i, f"{own('large', 500 + i)}\n{'word ' * 3}{' '.join('abcdefghijklmnopqr')}", "large") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in q.verdicts(df).collect()}
+    assert all(got[i] == (5 if i < 25 else 0, True) for i in range(400)) and all(got[1000 + i] == (5 if i < 25 else 0, True) for i in range(60))
+    assert all(got[2000 + i] == (21, False) for i in range(20))
+    texts = {r.doc_id: r.text for r in q.cleaned(df).collect()}
+    assert not any("rights" in t for t in texts.values()) and sum("seldom" in t for t in texts.values()) == 19 and len(texts) == 460
