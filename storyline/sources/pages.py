@@ -67,7 +67,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
             parser = Blocks()
-            parser.feed((html or "")[:500_000])
+            parser.feed(html or "")
             parser.flush()
             rows += [(page, url, k, *x, None) for k, x in enumerate(parser.out)]
             rows += [(page, url, k, "a", text, False, False, False, False, href) for k, (href, text) in enumerate(parser.links)]

@@ -43,6 +43,15 @@ def test_pages(spark):
     assert [(r.url, r.title) for r in pages.expanded_links(parts).collect()] == [("https://x.com/news/12345", "A fitting title of a story")]
 
 
+def test_long_pages_are_read_to_their_end(spark):
+    para = "<p>This is a long enough paragraph of text for the page.</p>"
+    html = f"<html><body><main>{'<p>short</p>' * 50_000}{para * 12}</main><a href='/news/12345'>A fitting title of a story</a></body></html>"
+    assert html.index(para) > 500_000
+    parts = pages.page_parts(spark.createDataFrame([(1, "http://www.x.com/a", html)], "page_id long, url string, html string"))
+    assert [(r.strategy, r.n_words) for r in pages.main_text(parts).collect()] == [("main", 132)]
+    assert [r.url for r in pages.expanded_links(parts).collect()] == ["https://x.com/news/12345"]
+
+
 def test_days_are_replaced(spark, tmp_path):
     path = str(tmp_path / "t")
     day = dt.date(2024, 1, 1)
