@@ -23,6 +23,11 @@ def test_ids_equal_tokenizers(spark, reference):
         assert np.frombuffer(tokens.of(text), "<u4").tolist() == want.ids, text[:80]
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "a" * 5_000_000, "x" + "\t" * 10_000 + "y" + "\n " * 1_000_000 + "z", " " * 9_999 + "x" + " " * 300_000, "word " * 1_000_000])
+def test_very_long_texts(reference, text):
+    assert np.frombuffer(packing.Tokens().of(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 def held(rows, texts, reference):
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
