@@ -15,10 +15,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder if all run on this machine, else an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="storyline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -45,6 +47,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
+def set_apart(docs: DataFrame, *named: str) -> tuple:
+    """``docs`` with its columns called _0, _1, …, which no operator calls its own, and what the ``named`` ones are called now."""
+    have = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"_{k}" for k in range(len(have))]), *[f"_{have.index(c.lower())}" for c in named]
+
+
+def put_back(out: DataFrame, docs: DataFrame, **more: Column) -> DataFrame:
+    """The columns of ``docs`` under their own names, but for those that ``more`` replaces, and ``more``."""
+    given = {c.lower() for c in more}
+    kept = [F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in given]
+    return out.select(*kept, *[v.alias(c) for c, v in more.items()])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges``: (node, root), root the smallest node; only nodes with an edge.
 

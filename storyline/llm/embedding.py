@@ -124,7 +124,8 @@ def near_vectors(
 
     Vectors that are null, zero, or hold null or non-finite components, and vectors of a null label, link with nothing. Rows that repeat an id are
     one vector, the first in the order of label and components. All rows of a null id are one row that links with nothing and is kept. No
-    vector above the threshold is linked wrongly; of pairs above it, those that meet in no bucket are missed.
+    vector above the threshold is linked wrongly; of pairs above it, those that meet in no bucket are missed. Vectors may be of any length, and only
+    those of equal length are compared. Other columns, whatever their names, are left out. No rows: no rows.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     single = given.groupBy("id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("id", "x.label", "x.embedding")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let
+from .common import checkpointed, let, put_back, set_apart
 
 
 @dataclass(frozen=True)
@@ -126,25 +126,33 @@ def key(id_: Column, pass_: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), pass_, id_), 1)
 
 
+#: Columns that a mix adds.
+ADDED = ["mix_pass", "mix_block", "mix_order", "mix_tokens"]
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, mix: Mix | None = None) -> DataFrame:
-    """``docs`` repeated or cut to the weights, with mix_pass, mix_block, mix_order and mix_tokens.
+    """``docs`` repeated or cut to the weights, with mix_pass, mix_block, mix_order and mix_tokens; columns of these names are replaced.
 
     Blocks are read in order, and documents in a block by mix_order, a hash. Each source's cuts say which of its documents are in which block; few
-    enough of them are broadcast, so that texts aren't shuffled. Documents of a source without tokens come once, in block 0. Null sources are one source; null and repeated ids take
-    part, all documents of an id in the same place. No rows: no rows.
+    enough of them are broadcast, so that texts aren't shuffled. Documents of a source without tokens come once, in block 0. Null sources are one
+    source; null and repeated ids take part, all documents of an id in the same place. A null number of tokens is none. A document longer than a block's
+    share is in the block in which it starts. Other columns stay as they are, whatever their names. No rows: no rows.
     """
     mix = mix or Mix()
     size = F.coalesce((tokens if tokens is not None else F.lit(1)).cast("long"), F.lit(0).cast("long"))
-    thin = checkpointed(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), size.alias("tokens")))
+    own = docs.select("*", size)  # before the columns lose their names
+    own = own.toDF(*[f"_{k}" for k in range(len(docs.columns))], "tokens")
+    _, i, s = set_apart(docs, id_col, source_col)
+    thin = checkpointed(own.select(F.col(s).alias("source"), F.col(i).alias("id"), "tokens"))
     sources = checkpointed(source_tokens(thin, "source", F.col("tokens")))
     cuts = checkpointed(plan(thin, weights(sources, mix), mix))
     if (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
         cuts = F.broadcast(cuts)
-    out = docs.alias("d").join(cuts.alias("c"), F.col(f"d.{source_col}").eqNullSafe(F.col("c.source")), "left")
-    last = F.greatest(F.coalesce(F.ceil("c.passes").cast("int"), F.lit(1)), F.lit(1)) - 1
-    out = out.select("d.*", F.col("c.cuts").alias("_cuts"), F.explode(F.sequence(F.lit(0), last)).alias("mix_pass"))
-    out = out.withColumn("_key", key(F.col(id_col), F.col("mix_pass"), mix.seed))
-    mine = let(F.col("_key"), lambda k: F.array_max(F.transform(F.filter("_cuts", lambda x: (x["pass"] == F.col("mix_pass")) & (x["key"] <= k)), lambda x: x["block"])))
-    out = out.withColumn("mix_block", F.coalesce(mine, F.lit(0))).where(F.col("mix_block") < mix.blocks)
-    order = F.xxhash64(F.lit(mix.seed), F.lit("block"), F.col("mix_pass"), F.col(id_col))
-    return out.withColumn("mix_order", order).withColumn("mix_tokens", size).drop("_cuts", "_key")
+    out = own.join(cuts, F.col(s).eqNullSafe(F.col("source")), "left")
+    last = F.greatest(F.coalesce(F.ceil("passes").cast("int"), F.lit(1)), F.lit(1)) - 1
+    out = out.select(*own.columns, "cuts", F.explode(F.sequence(F.lit(0), last)).alias("pass"))
+    out = out.withColumn("key", key(F.col(i), F.col("pass"), mix.seed))
+    mine = let(F.col("key"), lambda k: F.array_max(F.transform(F.filter("cuts", lambda x: (x["pass"] == F.col("pass")) & (x["key"] <= k)), lambda x: x["block"])))
+    out = out.withColumn("block", F.coalesce(mine, F.lit(0))).where(F.col("block") < mix.blocks)
+    order = F.xxhash64(F.lit(mix.seed), F.lit("block"), F.col("pass"), F.col(i))
+    return put_back(out, docs, **dict(zip(ADDED, (F.col("pass"), F.col("block"), order, F.col("tokens")), strict=True)))

@@ -21,7 +21,7 @@ l AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '{S}', ' ', 'g')
 c AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM l GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT t) AS n_host FROM d GROUP BY source),
 f AS (SELECT l.source, norm FROM l JOIN hosts ON hosts.source IS NOT DISTINCT FROM l.source GROUP BY l.source, norm, n_host
-    HAVING count(DISTINCT t) >= {_L.min_docs} AND 100 * count(DISTINCT t) > {_L.max_percent} * n_host),
+    HAVING count(DISTINCT t) >= {_L.min_docs} AND (count(DISTINCT t) >= {_L.enough_docs} OR 100 * count(DISTINCT t) > {_L.max_percent} * n_host)),
 x AS (SELECT doc_id, sum(n) AS gone FROM l JOIN f ON f.norm = l.norm AND f.source IS NOT DISTINCT FROM l.source GROUP BY doc_id),
 a AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
     coalesce(n_repeat, 0) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),

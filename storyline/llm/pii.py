@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
-from .spans import count, masked, matches, written
+from .common import let, put_back, set_apart
+from .spans import count, cut, masked, matches, pieces, written
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ssn"]
@@ -71,38 +71,41 @@ def _card(m: Column) -> Column:
     return let(_digits(m), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False))
 
 
-def _scored(text: Column, spans: Column) -> Column:
-    """Spans with their score: that of the kind, more if a context word stands within NEARBY code points before or after."""
+def _scored(text: Column, kind: str, spans: Column) -> Column:
+    """Spans of a kind with their score: that of the kind, more if a context word stands within NEARBY code points before or after."""
 
-    def score(s: Column) -> Column:
-        around = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - NEARBY), s["end"] - s["start"] + 2 * NEARBY))
-        kind = F.get(F.array(*[F.lit(SCORE[k]) for k in KINDS]), s["k"])
-        words = F.get(F.array(*[F.lit(f"(?:{CONTEXT[k]})") for k in KINDS]), s["k"])
-        return F.least(F.lit(1.0), kind + F.when(F.regexp_like(around, words), F.lit(BONUS)).otherwise(F.lit(0.0)))
+    def score(held: Column, s: Column) -> Column:
+        around = F.lower(cut(held, s["start"] - NEARBY, s["end"] + NEARBY))
+        return F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(around.rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0.0)))
 
-    return F.transform(spans, lambda s: F.struct(s["start"], s["k"], s["end"], score(s).alias("score")))
+    none = F.array().cast("array<struct<start:int,k:int,end:int,score:double>>")
+    some = let(F.struct(spans.alias("spans")), lambda x: F.when(F.size(x["spans"]) > 0, let(pieces(text), lambda held: F.transform(x["spans"], lambda s: F.struct(s["start"], s["k"], s["end"], score(held, s).alias("score"))))).otherwise(none))
+    return some
 
 
 def with_personal_data(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with an array of struct<start, k, end, score> in ``into``, by start and kind; k counts KINDS.
 
     Base kinds (email, ip, card, phone) stay whatever their score. iban (mod-97) and ssn need a score of THRESHOLD; ssn gets there only with a
-    context word. A null text has none. Repeated rows each get theirs.
+    context word. A null text has none. Repeated rows each get theirs. Long texts are looked at whole, in time that grows with their length. Other
+    columns stay as they are, whatever their names; a column of the name ``into`` is replaced. No rows: no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(
+    own, name = set_apart(docs, text_col)
+    text = F.coalesce(F.col(name), F.lit(""))
+    found = [
         matches(text, 0, EMAIL),
         matches(text, 1, IP, _octets),
         matches(text, 2, CARD, _card),
         matches(text, 3, PHONE, lambda m: F.length(_digits(m)).between(9, 15)),
-    )
-    more = F.concat(matches(text, 4, IBAN, mod97), matches(text, 5, SSN))
-    found = docs.withColumn(into, F.concat(base, more))
-    return found.withColumn(into, F.filter(F.sort_array(_scored(text, F.col(into))), lambda s: (s["k"] < len(BASE)) | (s["score"] >= THRESHOLD)))
+        matches(text, 4, IBAN, mod97),
+        matches(text, 5, SSN),
+    ]
+    held = own.select("*", F.concat(*[_scored(text, kind, x) for kind, x in zip(KINDS, found, strict=True)]).alias("found"))
+    return put_back(held, docs, **{into: F.filter(F.sort_array("found"), lambda s: (s["k"] < len(BASE)) | (s["score"] >= THRESHOLD))})
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_<kind> of the base kinds, base_sha256, spans) for each row."""
+    """(id, n_<kind> of the base kinds, base_sha256, spans) for each row; other columns are left out. No rows: no rows."""
     found, spans = with_personal_data(docs.select(id_col, text_col), text_col, "_spans"), F.col("_spans")
     counts = [count(spans, k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     base = F.filter(spans, lambda s: s["k"] < len(BASE))
@@ -110,6 +113,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[PERSONAL]") -> DataFrame:
-    """``docs`` with personal data in the text replaced by ``mark``; a null text stays null."""
-    found = with_personal_data(docs, text_col, "_pii")
-    return found.withColumn(text_col, masked(F.col(text_col), F.col("_pii"), mark)).drop("_pii")
+    """``docs`` with personal data in the text replaced by ``mark``; a null text stays null, and so do all other columns. No rows: no rows."""
+    own, text = set_apart(docs, text_col)
+    found = with_personal_data(own, text, "found")
+    return put_back(found.withColumn(text, masked(F.col(text), F.col("found"), mark)), docs)

@@ -7,8 +7,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
-from .spans import SPAN, count, masked, matches, written
+from .common import let, put_back, set_apart
+from .spans import count, masked, matches, running, written
 
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "entropy"]
@@ -103,23 +103,35 @@ def _any(found: Column) -> Column:
     return out
 
 
+def _uncovered(spans: Column) -> Column:
+    """Spans, but for those of entropy that a base span covers: one that starts no later and reaches as far."""
+
+    def kept(x: Column) -> Column:
+        before = running(F.transform(x, lambda s: F.when(s["k"] < len(BASE), s["end"]).otherwise(0)), F.greatest)
+        return let(before, lambda b: F.filter(x, lambda s, i: (s["k"] < len(BASE)) | (F.get(b, i) < s["end"])))
+
+    return let(spans, kept)
+
+
 def with_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
     """``docs`` with an array of struct<start, k, end, found> in ``into``, by start and kind; k counts KINDS.
 
     Base kinds are assign, access and hex. entropy spans are added where no base span covers them: strings of 20 characters and more, cut
-    to the windows whose entropy reaches the limit of their character class, unless the allow-list suppresses them. A null text has none.
+    to the windows whose entropy reaches the limit of their character class, unless the allow-list suppresses them. A null text has none. Repeated
+    rows each get theirs. Long texts are looked at whole. Other columns stay as they are, whatever their names; a column of the name ``into`` is
+    replaced. No rows: no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    own, name = set_apart(docs, text_col)
+    text = F.coalesce(F.col(name), F.lit(""))
     assign = matches(text, 0, ASSIGN, lambda m: F.length(F.regexp_extract(m, "(?s)^" + ASSIGN + "$", 1)) >= 6)
     base = F.concat(assign, matches(text, 1, ACCESS), matches(text, 2, HEX))
-    found = docs.withColumn("_base", base).withColumn("_odd", matches(text, 3, CANDIDATE))
-    more = F.when(F.size("_odd") > 0, F.filter(_random(F.col("_odd")), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))))
-    both = F.concat(F.col("_base"), F.coalesce(more, F.array().cast(SPAN)))
-    return found.withColumn(into, F.sort_array(both)).drop("_base", "_odd")
+    found = own.select("*", base.alias("base"), matches(text, 3, CANDIDATE).alias("odd"))
+    more = F.when(F.size("odd") > 0, _uncovered(F.sort_array(F.concat("base", _random(F.col("odd"))))))
+    return put_back(found, docs, **{into: F.coalesce(more, F.sort_array("base"))})
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_<kind> of the base kinds, base_sha256, spans) for each row."""
+    """(id, n_<kind> of the base kinds, base_sha256, spans) for each row; other columns are left out. No rows: no rows."""
     found, spans = with_secrets(docs.select(id_col, text_col), text_col, "_spans"), F.col("_spans")
     counts = [count(spans, k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     base = F.filter(spans, lambda s: s["k"] < len(BASE))
@@ -127,6 +139,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with secrets in the text replaced by ``mark``; a null text stays null."""
-    found = with_secrets(docs, text_col, "_secrets")
-    return found.withColumn(text_col, masked(F.col(text_col), F.col("_secrets"), mark)).drop("_secrets")
+    """``docs`` with secrets in the text replaced by ``mark``; a null text stays null, and so do all other columns. No rows: no rows."""
+    own, text = set_apart(docs, text_col)
+    found = with_secrets(own, text, "found")
+    return put_back(found.withColumn(text, masked(F.col(text), F.col("found"), mark)), docs)

@@ -17,11 +17,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, components
+from .common import checkpointed, components, put_back, set_apart
 
 BLOCKS, WIDE, KEPT = 4, 16, 48
 LOW = (1 << KEPT) - 1
@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fingerprint, component_id) for each row: documents whose fingerprints differ in 3 bits or fewer link.
 
     ``component_id`` is the smallest id that can be reached. Null and blank texts have fingerprint zero and link like any other. A null id
-    is never a component's id unless all its rows have null ids. Repeated rows come out as often as they came in. No rows: no rows.
+    is never a component's id unless all its rows have null ids. Repeated rows come out as often as they came in. Long texts are read whole. Other
+    columns, whatever their names, are left out. No rows: no rows.
     """
     own = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
     least = own.groupBy("fp").agg(F.min("id").alias("least"))
@@ -160,14 +161,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, with all its columns.
+    """One document of each group of near-duplicates: that with the smallest id, with all its columns, whatever their names.
 
-    Rows that repeat an id count as one document, of which one row stays. Rows with a null id can't be named and all stay.
+    Rows that repeat an id count as one document, of which one row stays. Rows with a null id can't be named and all stay. No rows: no rows.
     """
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    out = docs.join(kept, docs[id_col] == kept["_kept"], "left").where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
-    out = out.withColumn("_n", F.row_number().over(first)).where((F.col("_n") == 1) | F.col(id_col).isNull())
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, i, t = set_apart(docs, id_col, text_col)
+    found = near_duplicates(own, i, t)
+    kept = found.where(F.col(i) == F.col("component_id")).select(F.col(i).alias("kept")).distinct()
+    first = Window.partitionBy(i).orderBy(F.col(t).asc_nulls_last())
+    out = own.join(kept, F.col(i) == F.col("kept"), "left").where(F.col("kept").isNotNull() | F.col(i).isNull())
+    return put_back(out.withColumn("n", F.row_number().over(first)).where((F.col("n") == 1) | F.col(i).isNull()), docs)

@@ -15,21 +15,49 @@ from .common import let
 SPAN = "array<struct<start:int,k:int,end:int,found:string>>"
 
 
-def running(lengths: Column) -> Column:
-    """Sums of what stands before each element. In blocks of the root of their number, as appending copies an array."""
-    n = F.size(lengths)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+def running(values: Column, joined: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """What stands before each element, joined: sums unless ``joined`` says otherwise. Of no element it is 0, so that it suits numbers from 0 on.
 
-    def sums(x: Column) -> Column:
-        return F.aggregate(x, F.array(F.lit(0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+    In blocks of the root of their number, as appending copies an array.
+    """
 
-    def joined(inner: Column) -> Column:
+    def before(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0)), lambda acc, v: F.array_append(acc, joined(F.element_at(acc, -1), v)))
+
+    def whole(inner: Column) -> Column:
         return let(
-            sums(F.transform(inner, lambda p: F.element_at(p, -1))),
-            lambda before: F.flatten(F.transform(inner, lambda p, k: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: v + F.get(before, k)))),
+            before(F.transform(inner, lambda p: F.element_at(p, -1))),
+            lambda first: F.flatten(F.transform(inner, lambda p, k: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: joined(v, F.get(first, k))))),
         )
 
-    return let(F.transform(F.sequence(F.lit(0), n - 1, step), lambda s: sums(F.slice(lengths, s + 1, step))), joined)
+    def blocks(x: Column) -> Column:
+        def cut_up(step: Column) -> Column:
+            return let(F.transform(F.sequence(F.lit(0), F.size(x) - 1, step), lambda s: before(F.slice(x, s + 1, step))), whole)
+
+        none = F.array().cast("array<int>")
+        return F.when(F.size(x) > 0, let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int")), cut_up)).otherwise(none)
+
+    return let(values, blocks)
+
+
+#: Code points of a piece of a text that is cut in many places.
+PIECE = 256
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points, so that ``cut`` needn't walk it from its start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(held: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text in ``pieces``; places before or after the text are left out."""
+    return let(
+        F.struct(F.greatest(start, F.lit(0)).alias("a"), end.alias("b")),
+        lambda x: F.when(
+            x["b"] > x["a"],
+            F.substring(F.array_join(F.slice(held, F.floor(x["a"] / PIECE).cast("int") + 1, (F.floor((x["b"] - 1) / PIECE) - F.floor(x["a"] / PIECE)).cast("int") + 1), ""), x["a"] % PIECE + 1, x["b"] - x["a"]),
+        ).otherwise(F.lit("")),
+    )
 
 
 def matches(text: Column, k: int, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -75,14 +103,11 @@ def count(spans: Column, k: int) -> Column:
 
 def masked(text: Column, spans: Column, mark: str) -> Column:
     """The text with ``mark`` in place of each span; of spans that overlap, in place of all they cover."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def put(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        return F.struct(
-            F.when(clear, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
+    def put(x: Column) -> Column:
+        before = running(F.transform(x["spans"], lambda s: s["end"]), F.greatest)  # how far the spans before reach
+        gaps = F.filter(F.zip_with(x["spans"], before, lambda s, at: F.struct(at.alias("a"), s["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        last = F.struct(F.array_max(F.transform(x["spans"], lambda s: s["end"])).alias("a"), F.length(text).alias("b"))
+        return F.array_join(F.transform(F.array_append(gaps, last), lambda g: cut(x["held"], g["a"], g["b"])), mark)
 
-    whole = F.aggregate(F.sort_array(spans), start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.struct(F.sort_array(spans).alias("spans"), pieces(text).alias("held")), put)).otherwise(text)

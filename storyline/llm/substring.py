@@ -413,7 +413,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs without ASCII white space, unchanged. A window is ``window`` words; it is a repeat if its words also start in a row with a
     smaller id. Windows are judged on the input. Null and blank texts have no words. Rows with a null id are never removed from and never make
-    others repeats; rows of equal ids never do so to each other. No rows: no rows.
+    others repeats; rows of equal ids never do so to each other. A very long text is one batch of its own, some 60 bytes for each of its words. Other
+    columns, whatever their names, are left out. No rows: no rows.
     """
     block, parts = window // 2, shuffle_partitions(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -89,7 +89,8 @@ def _packages(folder: str, size: int) -> Callable:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(page_id, url, payload, digest, refers_to) of each row; refers_to is the smallest id with an equal payload, if that is another row's.
 
-    A null payload is empty. Payloads under LEAST_REVISIT bytes and rows with a null id refer to nothing, nor are they referred to.
+    A null payload is empty. Payloads under LEAST_REVISIT bytes and rows with a null id refer to nothing, nor are they referred to. Repeated rows are
+    a record each; of rows that share their id none is another's revisit. Other columns, whatever their names, are left out. No rows: no rows.
     """
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))

@@ -115,7 +115,8 @@ def _features(measured: DataFrame, buckets: int) -> DataFrame:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[np.ndarray, LogisticRegressionModel | None]:
     """Posteriors by combination of votes, and the scorer; None if there are no documents.
 
-    The sample has the documents whose hashed id falls below ``sample`` in as many as there are: about ``sample`` of any number.
+    The sample has the distinct documents whose hash of id and text falls below ``sample`` in as many rows as there are: about ``sample`` at most,
+    of any number, and however many rows repeat a document or have no id.
     """
     measured = coded(measures(docs, id_col, text_col))
     counts = {r.votes: r["count"] for r in measured.groupBy("votes").count().collect()}  # 3 ** 7 rows at most
@@ -123,9 +124,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     n = sum(counts.values())
     if not n:
         return post, None
-    part = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)) < sample)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    part = own.where(F.pmod("h", F.lit(n)) < sample).dropDuplicates(["h"])
     posterior = F.get(F.array(*[F.lit(float(x)) for x in post]), F.col("votes"))
-    held = _features(coded(measures(part, id_col, text_col)), buckets).select("features", posterior.alias("p"))
+    held = _features(coded(measures(part, "id", "text")), buckets).select("features", posterior.alias("p"))
     both = held.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("x"))
     train = checkpointed(both.select("features", "x.label", "x.weight")).coalesce(8)
     if train.isEmpty():
@@ -136,7 +138,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, buckets: int = BUCKETS) -> DataFrame:
     """(id, votes, posterior, score, kept) of each row; kept if the scorer gives ``threshold`` or more.
 
-    A null text is an empty one. Equal texts of one id get the same score; repeated rows come out as often as they came in. No rows: no rows.
+    A null text is an empty one. Equal texts of one id get the same score; repeated rows come out as often as they came in, null ids as well. Long
+    texts are measured whole. Other columns, whatever their names, are left out. No rows: no rows.
     """
     post, model = fit(docs, id_col, text_col, sample, buckets)
     measured = coded(measures(docs, id_col, text_col))
