@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, components, put_back, set_apart
+from .common import checkpointed, components, put_back, set_apart, shuffle_partitions
 
 BLOCKS, WIDE, KEPT = 4, 16, 48
 LOW = (1 << KEPT) - 1
@@ -140,7 +140,8 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that join all of three differing bits or fewer; each is such a pair."""
-    dealt = variants(fps).repartition("key").sortWithinPartitions("key")
+    # Dealt by count first: fingerprints are few bytes, which few tasks would otherwise turn into 196 rows each.
+    dealt = variants(fps.repartition(shuffle_partitions(fps.sparkSession))).repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(_link, "a long, b long").distinct()
 
 
