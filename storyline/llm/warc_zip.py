@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_dicts, arrow_rows, shared_dir
+from .common import arrow_dicts, arrow_rows, shared_dir, shuffle_partitions
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed when its records have so many bytes; a reader's range has so many at most, unless one record is longer.
 PACKAGE_BYTES, RANGE_BYTES = 32 << 20, 4 << 20
+#: Bytes of packages that a task reads, about.
+TASK_BYTES = 2 * RANGE_BYTES
 #: Payloads shorter than this are stored again each time.
 LEAST_REVISIT = 100
 MANIFEST = "path string, bytes long, records long"
@@ -264,10 +266,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_packages(packages: DataFrame) -> DataFrame:
     """Records of the packages whose ``path`` is listed: RECORDS. Ranges of records, not packages, are dealt to the tasks that read them.
 
-    payload is null for revisits; payload_bytes and payload_digest are those of the full payload. No packages: no rows.
+    As ranges are few bytes that stand for many, the number of tasks follows from the packages' ``bytes`` if the list has them. payload is null for
+    revisits; payload_bytes and payload_digest are those of the full payload. A record that is longer than a range is read by itself. Other columns
+    are left out. No packages: no rows.
     """
+    tasks = shuffle_partitions(packages.sparkSession)
+    if "bytes" in packages.columns:
+        tasks = -(-(packages.agg(F.sum("bytes")).first()[0] or 1) // TASK_BYTES)
     ranges = packages.select("path").mapInArrow(_ranges, "path string, start long, lengths binary")
-    return ranges.repartition("path", "start").mapInArrow(_read, RECORDS)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_read, RECORDS)
 
 
 def page_records(records: DataFrame) -> DataFrame:
