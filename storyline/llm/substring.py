@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_dicts, arrow_rows, shuffle_partitions
 
 WINDOW = 50
-#: Words handled at a time, and distinct words whose hashes are remembered.
-BATCH_WORDS, CACHE = 1 << 20, 300_000
+#: Words handled at a time at least, and most; distinct words whose hashes are remembered.
+BATCH_WORDS, MOST_WORDS, CACHE = 1 << 20, 1 << 24, 300_000
+#: Bytes of texts for which there is a part of the hash space; what a task holds grows with it. Words of a batch for each part.
+PART_BYTES, PART_WORDS = 64 << 20, 64
 #: Odd multipliers of the two rolling hashes.
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 INDEX, PROBE, KNOWN = 0, 1, 2
@@ -100,6 +102,11 @@ def _wide(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, "<u2" if len(b) == 2 * n else "<u4").astype(np.int64)
 
 
+def batch_words(parts: int) -> int:
+    """Words of a batch: more where there are more parts, so that packed rows don't become too short."""
+    return min(MOST_WORDS, max(BATCH_WORDS, PART_WORDS * parts))
+
+
 def _parts(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(34)) % np.uint64(parts)).astype(np.int64)
 
@@ -212,7 +219,7 @@ def _anchored(parts: int, block: int, window: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        hashes, rolling = _Hashes(), _Rolling(M1)
+        hashes, rolling, most = _Hashes(), _Rolling(M1), batch_words(parts)
 
         def settled(b: _Batch) -> Iterator[tuple]:
             h, n, start, ids, tags = b.laid_out()
@@ -248,7 +255,7 @@ def _anchored(parts: int, block: int, window: int) -> Callable:
                 if x["id"] is None or len(w := text.split()) < window:
                     continue
                 b.add(x["id"], crc32(text), hashes.of(w))
-                if b.size >= BATCH_WORDS:
+                if b.size >= most:
                     yield from settled(b)
                     b = _Batch()
             if b.size:
@@ -319,7 +326,7 @@ def _extended(parts: int, block: int, window: int) -> Callable:
     """From documents with their anchors to the packed windows around these."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, one, two = _Hashes(), _Rolling(M1), _Rolling(M2)
+        hashes, one, two, most = _Hashes(), _Rolling(M1), _Rolling(M2), batch_words(parts)
 
         def settled(b: _Batch) -> Iterator[tuple]:
             h, n, start, ids, tags = b.laid_out()
@@ -348,7 +355,7 @@ def _extended(parts: int, block: int, window: int) -> Callable:
                 if not x["pos"]:
                     continue
                 b.add(x["id"], x["tag"], hashes.of(_opened(x)), np.unique(np.frombuffer(x["pos"], "<u4")).astype(np.int64))
-                if b.size >= BATCH_WORDS:
+                if b.size >= most:
                     yield from settled(b)
                     b = _Batch()
             if b.size:
@@ -416,8 +423,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others repeats; rows of equal ids never do so to each other. A very long text is one batch of its own, some 60 bytes for each of its words. Other
     columns, whatever their names, are left out. No rows: no rows.
     """
-    block, parts = window // 2, shuffle_partitions(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block, parts = window // 2, max(shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
     # Texts are dealt by id once, compressed; extending and removing both read that exchange.
     whole = texts.mapInArrow(_packer(), "id long, tag long, z binary")
 
