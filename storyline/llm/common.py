@@ -60,12 +60,21 @@ def put_back(out: DataFrame, docs: DataFrame, **more: Column) -> DataFrame:
     return out.select(*kept, *[v.alias(c) for c, v in more.items()])
 
 
+def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u``. least: (u, m), one row each.
+
+    Joined by a hash beside the node: then both sides are exchanged for this join alone, and Spark can split the partition of a node that has very
+    many edges. On the node alone the minima would stay where they were aggregated, which takes that from it.
+    """
+    left, right = edges.withColumn("h", F.xxhash64("u")), least.select(F.xxhash64("u").alias("h"), "u", "m")
+    return left.join(right, ["h", "u"]).drop("h")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges``: (node, root), root the smallest node; only nodes with an edge.
 
     Alternating large and small stars: each round links every node to the smallest of its neighbours, in a logarithmic number of rounds.
-    Minima are taken before the shuffle; the joins have plain keys, so that Spark splits those of a hot node.
-    No edges: no rows. Loops and null ends are left out.
+    Minima are taken before the shuffle, and joins are such that Spark splits those of a hot node. No edges: no rows. Loops and null ends are left out.
     """
     now = checkpointed(
         edges.where((F.col(a) != F.col(b)))
@@ -78,9 +87,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _told(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = _told(large, low).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")
         )
         now = checkpointed(small.select("e.*").where("u <> v").distinct())

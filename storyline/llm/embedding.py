@@ -80,7 +80,7 @@ def _roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _compared(least: float) -> Callable:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket and pair of blocks."""
+        """Rows come sorted by bucket, table and pair of blocks."""
 
         def met(held: list[dict]) -> Iterator[tuple]:
             table, ids = held[0]["t"], np.array([x["id"] for x in held], np.int64)
@@ -103,7 +103,7 @@ def _compared(least: float) -> Callable:
             held: list[dict] = []
             at = None
             for x in arrow_dicts(batches):
-                if at != (now := (x["key"], x["i"], x["j"])):
+                if at != (now := (x["key"], x["label"], x["dim"], x["t"], x["i"], x["j"])):
                     if len(held) > 1:
                         yield from met(held)
                     held, at = [], now
@@ -137,14 +137,16 @@ def near_vectors(
 
     reps = member.where("id = rep").select("id", "label", "embedding", "copies")
     hashed = reps.select("id", "label", "embedding").mapInArrow(_hashed(lambda: Projections(tables, hashes, width, seed)), HASHED)
-    hashed = checkpointed(hashed.join(reps.select("id", "copies"), "id"))
+    hashed = checkpointed(hashed.join(reps.select("id", "label", F.size("embedding").alias("dim"), "copies"), "id"))
     longs = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.conv(F.hex(F.reverse(F.substring("keys", t * 8 + 1, F.lit(8)))), 16, -10).cast("long"))
-    dealt = hashed.select("id", F.posexplode(longs).alias("t", "key"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    # The label and the length beside the key, as of very many keys some are equal by chance.
+    bucket = ["key", "label", "dim"]
+    dealt = hashed.select("id", "label", "dim", F.posexplode(longs).alias("t", "key"))
+    sizes = dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    met = dealt.join(sizes, bucket).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     met = met.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", "t", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    pairs = met.join(hashed, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = met.select(*bucket, "t", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    pairs = met.join(hashed.select("id", "vec", "keys", "copies"), "id").repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "t", "i", "j")
     found = checkpointed(pairs.mapInArrow(_compared(least), MET).groupBy("id", "root").agg(F.sum("n").alias("n")))
 
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
