@@ -14,6 +14,9 @@ from .lexicon import ACTOR_ID, ACTOR_SUFFIX_DENY, ACTOR_SUFFIXES, ADVISORY_ID, B
 TOKEN = "[0-9a-zçğıöşü]+"
 CAPITAL = "A-ZÇĞİÖŞÜ"
 LETTER = "A-Za-zÇĞİÖŞÜçğıöşü"
+# Actors named after weather; from how many words on, and of which share of capitals, a sentence is a title.
+WEATHER = r"\b(?:Water|Earth|Void) [A-Z][a-z]{3,}\b"
+TITLE_LEAST, TITLE_SHARE = 4, 0.6
 
 
 def _among(values: tuple[str, ...]) -> Column:
@@ -38,20 +41,36 @@ def actors(text: Column, lexicon: Lexicon | None = None) -> Column:
     suffix = "|".join(ACTOR_SUFFIXES + [x.upper() for x in ACTOR_SUFFIXES])
     ids = bare(F.regexp_extract_all(F.lower(raw), F.lit(ACTOR_ID), F.lit(0)))
     named = F.filter(_among(lexicon.named_actors), lambda n: F.contains(F.lower(raw), n))
-    weather = bare(F.regexp_extract_all(raw, F.lit(r"\b(?:Water|Earth|Void) [A-Z][a-z]{3,}\b"), F.lit(0)))
+    weather = bare(F.regexp_extract_all(raw, F.lit(WEATHER), F.lit(0)))
     taxonomy = F.filter(bare(F.regexp_extract_all(raw, F.lit(rf"\b[A-Z][A-Za-z]{{2,}}\s+(?:{suffix})\b"), F.lit(0))), lambda x: ~x.isin(ACTOR_SUFFIX_DENY))
     return F.array_distinct(F.concat(ids, F.transform(named, lambda n: F.replace(n, F.lit(" "), F.lit(""))), weather, taxonomy))
 
 
 def keywords(text: Column, limit: int | None = None, lexicon: Lexicon | None = None) -> Column:
     """Distinct five-letter stems of words of four letters and more that aren't stop words; the first ``limit`` of them."""
-    stop = _among((lexicon or Lexicon()).stop_words)
+    stop = list((lexicon or Lexicon()).stop_words)
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ACTOR_ID, " ")
-    kept = F.filter(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), lambda t: (F.length(t) >= 4) & ~F.array_contains(stop, t))
+    # A list of this length is looked up as a hash set.
+    kept = F.filter(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), lambda t: (F.length(t) >= 4) & ~t.isin(stop))
     stems = F.array_distinct(F.transform(kept, lambda t: F.substring(t, 1, 5)))
     return stems if limit is None else F.slice(stems, 1, limit)
 
 
+def title_words(title: Column) -> Column:
+    """Distinct five-letter stems of the title's words of four letters and digits and more, by which similar titles are found."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 5)))
+
+
+def counted_letters(title: Column) -> Column:
+    """Each character of a short title with how many of it came before, so that sets of them overlap as the letters do."""
+
+    def each(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
+
+    return F.element_at(F.transform(F.array(F.filter(F.split(title, ""), lambda c: c != "")), each), 1)
+
+
 def title_stems(title: Column) -> Column:
     """Distinct five-letter stems of the title's words of five letters and more."""
     low = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"\S+"), F.lit(0))
@@ -87,6 +106,44 @@ def entities(text: Column, lexicon: Lexicon | None = None) -> Column:
     return F.struct(certain.alias("certain"), F.array_except(first, certain).alias("candidate"))
 
 
+def proper_names(fields: list[Column], lexicon: Lexicon | None = None) -> Column:
+    """Struct(certain, candidate) of eight-letter stems of capitalised words of the fields, sentence by sentence.
+
+    Sentences of four words and more of which most have a capital are titles and are left out. The first word of a sentence is a candidate.
+    """
+    lexicon = lexicon or Lexicon()
+    deny = list(lexicon.entity_deny + lexicon.codename_deny + lexicon.acronym_deny)
+    sentences = F.flatten(F.array(*[F.split(F.coalesce(f, F.lit("")), r"(?<=[.!?])\s+|\n+", -1) for f in fields]))
+
+    def plain(x: Column) -> Column:
+        n = lambda p: F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0)))
+        return (n(r"\S+") < TITLE_LEAST) | (n(r"(?<!\S)\p{Lu}\S*") <= TITLE_SHARE * n(r"\S+"))
+
+    def stems(kept: Column, pattern: str) -> Column:
+        found = F.flatten(F.transform(kept, lambda x: F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda w: F.lower(w))))
+        return F.array_distinct(F.transform(F.filter(found, lambda w: ~w.isin(deny)), lambda w: F.substring(w, 1, 8)))
+
+    word = rf"([{CAPITAL}][{LETTER}0-9]{{3,}})"
+
+    def both(kept: Column) -> Column:
+        certain, first = stems(kept, r"(?<=[^\p{L}\p{N}_])" + word), stems(kept, "^" + word)
+        return F.struct(certain.alias("certain"), F.array_except(first, certain).alias("candidate"))
+
+    return F.element_at(F.transform(F.array(F.filter(sentences, plain)), both), 1)
+
+
+def actor_stems(text: Column, found: Column, lexicon: Lexicon | None = None) -> Column:
+    """Eight-letter stems of the words of a text's actors, of which names of events aren't made. found: its ``actors``."""
+    lexicon = lexicon or Lexicon()
+    raw = F.coalesce(text, F.lit(""))
+    suffix = "|".join(ACTOR_SUFFIXES + [x.upper() for x in ACTOR_SUFFIXES])
+    own = F.filter(found, lambda a: ~a.startswith("cve"))
+    named = F.flatten(F.transform(F.filter(_among(lexicon.named_actors), lambda n: F.contains(F.lower(raw), n)), lambda n: F.split(n, " ")))
+    taxonomy = F.regexp_extract_all(raw, F.lit(rf"\b([A-Z][A-Za-z]{{2,}})\s+(?:{suffix})\b"), F.lit(1))
+    weather = F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(WEATHER), F.lit(0)), lambda w: F.split(w, " ")))
+    return F.array_distinct(F.transform(F.concat(own, named, taxonomy, weather), lambda w: F.substring(F.lower(w), 1, 8)))
+
+
 def story_entities(body: Column, source: Column, lexicon: Lexicon | None = None) -> Column:
     """Distinctive names of a story: certain and candidate ones of five letters and more, without the story deny list."""
     both = entities(F.concat_ws(" . ", F.when(body != "", body), F.substring(source, 1, 1500)), lexicon)
@@ -122,8 +179,9 @@ def bundle(out_title: Column, out_body: Column, src_title: Column, src_body: Col
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (F.coalesce(F.when(out_title != "", out_title), src_title), out_body, src_title, F.substring(src_body, 1, BODY_CHARS))])
 
 
-def keyword_sets(body: Column, blob: Column, lexicon: Lexicon | None = None) -> Column:
-    return F.struct(keywords(body, None, lexicon).alias("body"), keywords(blob, None, lexicon).alias("blob"), keywords(body, LEAD_STEMS, lexicon).alias("lead"))
+def keyword_sets(body: Column, blob: Column) -> Column:
+    """The three sets of stems whose overlaps make the topic, from the ``keywords`` of the body and of all text."""
+    return F.struct(body.alias("body"), blob.alias("blob"), F.slice(body, 1, LEAD_STEMS).alias("lead"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -77,7 +77,7 @@ class Lexicon:
 TOPIC_ALONE, TOPIC_ACTOR, TOPIC_ACTOR_XDAY, TOPIC_PACKAGE, TOPIC_ENTITY = 0.42, 0.10, 0.14, 0.22, 0.22
 TITLE_SAME_RUN, TITLE_XDAY, TOPIC_TITLE_XDAY = 0.62, 0.74, 0.20
 LEAD_STEMS, LEAD_WORDS, BODY_CHARS = 40, 60, 2000
-GENERIC_SHARE, LEAST_CORPUS, SHARED_NAMES, NEW_NAMES = 0.03, 25, 2, 3
+GENERIC_SHARE, LEAST_CORPUS, SHARED_NAMES, NEW_NAMES, HEADLINE_TOPIC, SUSPICIOUS_TOPIC = 0.03, 25, 2, 3, 0.25, 0.20
 
 # Scoring. Points at most by dimension; priority by category; categories that can't be headlines, are vulnerabilities, or have no points.
 POINTS = {"strategic": 40, "impact": 25, "urgency": 20, "trust": 15}

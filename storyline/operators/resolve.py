@@ -9,12 +9,21 @@ from ..functions import fingerprints as fp
 from ..functions import lexicon as lx
 from ..functions.lexicon import Lexicon
 from .base import checkpointed
+from .pairs import set_classes, sharing_pairs, similar_sets, similar_titles, title_classes
 
 #: Columns of a view.
 VIEW = ["out_title", "out_body", "src_title", "src_body"]
 SAME, NEW, ACTOR, UNRELATED = "same", "new_development", "same_actor_other_event", "unrelated"
 
 
+def view_classes(views: DataFrame) -> DataFrame:
+    """``views`` with ``rep``: views of equal texts have the smallest of their ids. Rules look at one view of each class, as copies are told apart by nothing."""
+    filled = views.select("id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in VIEW])
+    key = F.xxhash64(*[F.md5(c) for c in VIEW])
+    keyed = filled.withColumn("_key", key)
+    return keyed.join(keyed.groupBy("_key").agg(F.min("id").alias("rep")), "_key").select("id", "rep", *VIEW)
+
+
 def fingerprinted(views: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """views (id, and VIEW) with all that the rules look at, computed once and kept."""
     lexicon = lexicon or Lexicon()
@@ -22,66 +31,111 @@ def fingerprinted(views: DataFrame, lexicon: Lexicon | None = None) -> DataFrame
     head = F.when(F.trim("out_title") != "", F.trim("out_title")).otherwise(F.trim("src_title"))
     held = filled.withColumn("head", head).withColumn("blob", F.concat_ws(" ", "head", "out_body", "src_title", F.substring("src_body", 1, lx.BODY_CHARS)))
     lead = F.concat_ws(" ", "out_title", "src_title", F.array_join(F.slice(F.regexp_extract_all(F.when(F.col("out_body") != "", F.col("out_body")).otherwise(F.col("src_body")), F.lit(r"\S+"), F.lit(0)), 1, lx.LEAD_WORDS), " "))
-    body = F.concat_ws("\n", "out_body", F.substring("src_body", 1, lx.BODY_CHARS))
-    held = held.withColumn("lead", lead)
+    lead_body = F.array_join(F.slice(F.regexp_extract_all(F.when(F.col("out_body") != "", F.col("out_body")).otherwise(F.col("src_body")), F.lit(r"\S+"), F.lit(0)), 1, lx.LEAD_WORDS), " ")
+    source = F.substring("src_body", 1, lx.BODY_CHARS)
+    held = held.withColumn("lead", lead).withColumn("_body", fp.keywords(F.col("out_body"), None, lexicon)).withColumn("_blob", fp.keywords(F.col("blob"), None, lexicon))
+    held = held.withColumn("body_names", fp.proper_names([F.col("out_body"), source], lexicon)).withColumn("actors", fp.actors(F.col("blob"), lexicon)).withColumn("lead_actors", fp.actors(F.col("lead"), lexicon))
     out = held.select(
         "id",
         "head",
         fp.codenames(F.concat_ws(" ", "head", "src_title"), lexicon).alias("title_codes"),
         fp.codenames(F.col("blob"), lexicon).alias("codes"),
-        fp.actors(F.col("blob"), lexicon).alias("actors"),
+        "actors",
+        fp.actor_stems(F.col("blob"), F.col("actors"), lexicon).alias("actor_stems"),
         fp.package_names(F.col("blob"), lexicon).alias("packages"),
-        fp.keyword_sets(F.col("out_body"), F.col("blob"), lexicon).alias("keys"),
+        fp.keyword_sets(*[F.transform(c, lambda t: F.xxhash64(t)) for c in ("_body", "_blob")]).alias("keys"),
         fp.entities(F.col("out_body"), lexicon).alias("names"),
-        fp.entities(body, lexicon).alias("body_names"),
+        "body_names",
         fp.bulletin_product(F.concat_ws(" ", "head", "src_body")).alias("product"),
         fp.codenames(F.col("lead"), lexicon).alias("lead_codes"),
-        fp.actors(F.col("lead"), lexicon).alias("lead_actors"),
+        "lead_actors",
+        fp.actor_stems(F.col("lead"), F.col("lead_actors"), lexicon).alias("lead_actor_stems"),
         fp.package_names(F.col("lead"), lexicon).alias("lead_packages"),
-        fp.entities(F.array_join(F.slice(F.split("lead", " "), 1, 200), " "), lexicon).alias("lead_names"),
+        fp.proper_names([lead_body], lexicon).alias("lead_names"),
     )
     return checkpointed(out)
 
 
 def generic_names(views: DataFrame) -> DataFrame:
-    """(name): names in over GENERIC_SHARE of the views; none if the views are fewer than LEAST_CORPUS. views: fingerprinted."""
+    """(name, df): names in over GENERIC_SHARE of the views; none if the views are fewer than LEAST_CORPUS. views: fingerprinted."""
     each = views.select("id", F.explode(F.array_union("body_names.certain", "body_names.candidate")).alias("name")).distinct()
     total = views.agg(F.count("*").alias("n"))
     return each.groupBy("name").agg(F.count("*").alias("df")).join(F.broadcast(total)).where(f"n >= {lx.LEAST_CORPUS} AND df > {lx.GENERIC_SHARE} * n").select("name", "df")
 
 
-def event_ids(codes: Column, actors: Column, packages: Column, certain: Column) -> Column:
+def without_generic(views: DataFrame) -> DataFrame:
+    """``views`` with ``generic``: those of their names that are generic. Ids of events are made of the other ones. views: fingerprinted."""
+    each = views.select("id", F.explode(F.array_union(F.array_union("body_names.certain", "body_names.candidate"), F.array_union("lead_names.certain", "lead_names.candidate"))).alias("name"))
+    held = each.join(generic_names(views).select("name"), "name").groupBy("id").agg(F.collect_set("name").alias("generic"))
+    return views.join(held, "id", "left").withColumn("generic", F.coalesce("generic", F.array().cast("array<string>")))
+
+
+def event_ids(codes: Column, actors: Column, packages: Column, names: Column) -> Column:
     """Typed ids of an event. Actors aren't among them: one actor does many things."""
     typed = lambda kind, a: F.transform(a, lambda x: F.concat(F.lit(kind + ":"), x))
-    stems = F.transform(F.filter(actors, lambda x: ~x.startswith("cve")), lambda x: F.substring(x, 1, 8))
-    return F.array_distinct(F.concat(typed("cve", F.filter(actors, lambda x: x.startswith("cve"))), typed("pkg", packages), typed("code", codes), typed("name", F.array_except(certain, stems))))
-
+    return F.array_distinct(F.concat(typed("cve", F.filter(actors, lambda x: x.startswith("cve"))), typed("pkg", packages), typed("code", codes), typed("name", names)))
 
-def candidate_pairs(views: DataFrame, least: float = lx.TOPIC_ALONE, generic: bool = False) -> DataFrame:
-    """(a, b), a < b: pairs that share a typed token, or whose keyword sets overlap by ``least``. All that a rule on ids or topics can accept.
 
-    Names that over GENERIC_SHARE of the views hold bring no pairs together, as their pairs grow with the square of the views; ``generic`` lets
-    them, for small corpora where a generic name and a topic of TOPIC_ENTITY are to be enough.
-    """
-    from .pairs import set_classes, sharing_pairs, similar_sets
-
-    out = sharing_pairs(views.select("id", F.concat("codes", "actors", "packages").alias("tokens"))).select("a", "b")
-    # Names count if one of the two has them within a sentence; what both only start a sentence with brings no pair together.
-    certain = views.select("id", F.explode(F.array_union("names.certain", "body_names.certain")).alias("t"))
-    every = certain.unionByName(views.select("id", F.explode(F.array_union("names.candidate", "body_names.candidate")).alias("t"))).distinct()
-    if not generic:
-        certain = certain.join(generic_names(views).select(F.col("name").alias("t")), "t", "left_anti").select("id", "t")
+def _sharing_names(views: DataFrame, field: str) -> DataFrame:
+    """(a, b): pairs that share a name, which one of them at least has within a sentence."""
+    every = views.select("id", F.explode(F.array_union(f"{field}.certain", f"{field}.candidate")).alias("t"))
+    certain = views.select("id", F.explode(f"{field}.certain").alias("t"))
     met = certain.alias("x").join(every.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.id") != F.col("y.id")))
-    out = out.unionByName(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def topic_pairs(views: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: pairs of which one of the three keyword sets overlaps by ``least``. Exact."""
+    out = None
     for kind in ("body", "blob", "lead"):
         classes = checkpointed(set_classes(views.select("id", F.col(f"keys.{kind}").alias("tokens"))))
         pairs = similar_sets(classes, least).select("a", "b").unionByName(classes.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
         x, y = classes.select(F.col("rep").alias("a"), F.col("id").alias("i")), classes.select(F.col("rep").alias("b"), F.col("id").alias("j"))
         each = pairs.join(x, "a").join(y, "b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-        out = out.unionByName(each)
+        out = each if out is None else out.unionByName(each)
     return out.distinct()
 
 
+def candidate_pairs(views: DataFrame, cross_day: bool = False) -> DataFrame:
+    """(a, b), a < b: all pairs that a rule of ``same_event`` can accept. views: fingerprinted, one of each class.
+
+    Pairs share a typed id or a name, or have a topic of TOPIC_ALONE, or similar titles. A name that over GENERIC_SHARE of the views hold needs a topic
+    of TOPIC_ENTITY beside it, so its pairs are searched among pairs of that topic and not by the name, whose pairs grow with the square of the views.
+    """
+    own = without_generic(views)
+    out = _typed_pairs(views).unionByName(_sharing_names(_rare(own, "names"), "names")).unionByName(topic_pairs(views, lx.TOPIC_ALONE))
+    held = checkpointed(own.where(F.size(F.array_intersect("generic", F.array_union("names.certain", "names.candidate"))) > 0))
+    near = topic_pairs(held, lx.TOPIC_ENTITY)
+    names = lambda k, n: held.select(F.col("id").alias(k), F.array_union("names.certain", "names.candidate").alias(n))
+    out = out.unionByName(near.join(names("a", "p"), "a").join(names("b", "q"), "b").where(F.arrays_overlap("p", "q")).select("a", "b"))
+    named = checkpointed(title_classes(views.select("id", F.col("head").alias("title"))))
+    alike = similar_titles(named.select("id", "title"), lx.TITLE_XDAY if cross_day else lx.TITLE_SAME_RUN).select("a", "b")
+    alike = alike.unionByName(named.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    x, y = named.select(F.col("rep").alias("a"), F.col("id").alias("i")), named.select(F.col("rep").alias("b"), F.col("id").alias("j"))
+    return out.unionByName(alike.join(x, "a").join(y, "b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))).distinct()
+
+
+def related_candidates(views: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs that are related at all by ``relation``: they share a typed id or a name that isn't generic, or have a topic of TOPIC_ALONE."""
+    names = _sharing_names(_rare(without_generic(views), "body_names"), "body_names")
+    return _typed_pairs(views).unionByName(names).unionByName(topic_pairs(views, lx.TOPIC_ALONE)).distinct()
+
+
+def _typed_pairs(views: DataFrame) -> DataFrame:
+    return sharing_pairs(views.select("id", F.concat("codes", "actors", "packages").alias("tokens"))).select("a", "b")
+
+
+def _rare(views: DataFrame, field: str) -> DataFrame:
+    return views.select("id", F.struct(*[F.array_except(f"{field}.{k}", "generic").alias(k) for k in ("certain", "candidate")]).alias(field))
+
+
+def meeting(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(a, b): an old view and a new one that share an actor, code name, package or name. For few new views: rows follow the old ones that hold a new one's token."""
+    tokens = F.array_distinct(F.concat("codes", "actors", "packages", *[f"{f}.{k}" for f in ("names", "body_names") for k in ("certain", "candidate")]))
+    x, y = new.select(F.col("id").alias("b"), F.explode(tokens).alias("t")), old.select(F.col("id").alias("a"), F.explode(tokens).alias("t"))
+    return x.join(y, "t").where("a <> b").select("a", "b").distinct()
+
+
 def paired(pairs: DataFrame, views: DataFrame) -> DataFrame:
     """Pairs with both fingerprints as structs ``x`` (of the later, b) and ``y`` (of the earlier, a)."""
     x = views.select(F.col("id").alias("b"), F.struct("*").alias("x"))
@@ -117,12 +171,16 @@ def same_event(pairs: DataFrame, cross_day: bool = False) -> DataFrame:
 
 
 def relation(pairs: DataFrame) -> DataFrame:
-    """Pairs (x the later, y the earlier) with ``topic``, ``shared`` and ``relation``, one of four; not symmetric: new means new in x."""
+    """Pairs (x the later, y the earlier) with ``topic``, ``shared`` and ``relation``, one of four; not symmetric: new means new in x.
+
+    The views of the pairs have ``generic``, their names that don't count.
+    """
     c = F.col
-    ids = lambda v, lead="": event_ids(c(f"{v}.{lead}codes"), c(f"{v}.{lead}actors"), c(f"{v}.{lead}packages"), c(f"{v}.{lead or 'body_'}names.certain"))
+    names = lambda v, lead: F.array_except(F.array_except(c(f"{v}.{lead or 'body_'}names.certain"), c(f"{v}.{lead}actor_stems")), c(f"{v}.generic"))
+    ids = lambda v, lead="": event_ids(c(f"{v}.{lead}codes"), c(f"{v}.{lead}actors"), c(f"{v}.{lead}packages"), names(v, lead))
     held = pairs.withColumn("topic", fp.topic(c("x.keys"), c("y.keys"))).withColumn("_x", ids("x")).withColumn("_y", ids("y")).withColumn("_lead", ids("x", "lead_"))
-    names = F.transform(fp.shared_entities(c("x.body_names"), c("y.body_names")), lambda n: F.concat(F.lit("name:"), n))
-    held = held.withColumn("shared", F.array_sort(F.array_union(F.array_intersect("_x", "_y"), names))).withColumn("_new", F.array_except("_lead", "_y"))
+    both = F.array_except(fp.shared_entities(c("x.body_names"), c("y.body_names")), c("x.generic"))
+    held = held.withColumn("shared", F.array_sort(F.array_union(F.array_intersect("_x", "_y"), F.transform(both, lambda n: F.concat(F.lit("name:"), n))))).withColumn("_new", F.array_except("_lead", "_y"))
     high = lambda a: F.exists(a, lambda k: k.startswith("cve:") | k.startswith("code:"))
     enough = (high(c("shared")) | (F.size("shared") >= lx.SHARED_NAMES)) & (c("topic") >= lx.TOPIC_ACTOR)
     told = F.when(high(c("_new")) | (F.size("_new") >= lx.NEW_NAMES), NEW).otherwise(SAME)

@@ -9,20 +9,16 @@ from ..functions import fingerprints as fp
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions import predicates as pr
-from ..operators import resolve, select, stories
+from ..operators import select
 from ..operators.base import checkpointed, first_wins
 from ..operators.runfilter import run_filter
 from ..operators.pairs import set_classes, similar_sets, similar_titles
 from ..sources import pages as pg
-from .tables import ARTICLES, articles, table
+from .tables import ARTICLES, articles, joined, table
 
 TURKISH = "çğıöşüÇĞİÖŞÜ"
 
 
-def joined(a):
-    return F.array_join(F.array_sort(a), ",")
-
-
 def _text(name, **columns):
     """A query that computes columns of each article."""
 
@@ -73,42 +69,8 @@ def generic_stems(spark, sf_dir):
     return each.groupBy("stem").agg(F.count("*").alias("df")).join(F.broadcast(n)).where(f"df > {lx.GENERIC_SHARE} * n").select("stem", "df")
 
 
-def _views(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    return a.select(F.col("article_id").alias("id"), F.lit("").alias("out_title"), tx.first_words(F.col("src_body"), 80).alias("out_body"), F.col("title").alias("src_title"), "src_body")
-
-
-def _relations(spark, sf_dir):
-    views = resolve.fingerprinted(_views(spark, sf_dir))
-    return resolve.paired(resolve.candidate_pairs(views), views)
-
-
-def same_events(spark, sf_dir):
-    return resolve.same_event(_relations(spark, sf_dir)).where("same").select("a", "b", "rule", F.round("topic", 6).alias("topic"))
-
-
-def event_relations(spark, sf_dir):
-    return resolve.relation(_relations(spark, sf_dir)).where("relation <> 'unrelated'").select("a", "b", "relation", joined(F.col("shared")).alias("shared"), F.round("topic", 6).alias("topic"))
-
-
-def near_misses(spark, sf_dir):
-    return resolve.near_misses(resolve.same_event(_relations(spark, sf_dir), cross_day=True)).select("a", "b", joined(F.col("shared")).alias("shared"))
-
-
-def event_ledger(spark, sf_dir):
-    related = resolve.relation(_relations(spark, sf_dir)).select("a", "b", "relation")
-    return stories.event_ledger(articles(spark, sf_dir).select(F.col("article_id").alias("id")), related)
-
-
-def story_chains(spark, sf_dir):
-    """Chains of articles whose titles share three stems and more, on three days and more."""
-    nodes = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "day", "title", fp.title_stems(F.col("title")).alias("entities")).where(F.size("entities").between(3, 12))
-    found = stories.story_chains(nodes, linked_by=5)
-    return found.select("chain", F.size("days").cast("long").alias("n_days"), "n_nodes", joined(F.col("entities")).alias("entities"), "title")
-
-
 def similar_titles_072(spark, sf_dir):
-    return similar_titles(articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.substring("title", 1, 120).alias("title")), 0.72)
+    return similar_titles(articles(spark, sf_dir).select(F.col("article_id").alias("id"), "title"), 0.72)
 
 
 def page_texts(spark, sf_dir):
@@ -223,11 +185,6 @@ QUERIES = {
     "first_wins_titles": first_wins_titles,
     "same_code_names": same_code_names,
     "generic_stems": generic_stems,
-    "same_events": same_events,
-    "event_relations": event_relations,
-    "near_misses": near_misses,
-    "event_ledger": event_ledger,
-    "story_chains": story_chains,
     "similar_titles": similar_titles_072,
     "page_texts": page_texts,
     "page_links": page_links,

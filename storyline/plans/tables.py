@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined(a):
+    return F.array_join(F.array_sort(a), ",")
+
+
 def day_of(id_: str):
     return F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col(id_) % 30).cast("int"))
 
