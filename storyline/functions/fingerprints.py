@@ -50,8 +50,8 @@ def keywords(text: Column, limit: int | None = None, lexicon: Lexicon | None = N
     """Distinct five-letter stems of words of four letters and more that aren't stop words; the first ``limit`` of them."""
     stop = list((lexicon or Lexicon()).stop_words)
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ACTOR_ID, " ")
-    # A list of this length is looked up as a hash set.
-    kept = F.filter(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), lambda t: (F.length(t) >= 4) & ~t.isin(stop))
+    # Short words aren't even cut out; a list of this length is looked up as a hash set.
+    kept = F.filter(F.regexp_extract_all(clean, F.lit(TOKEN.replace("+", "{4,}")), F.lit(0)), lambda t: ~t.isin(stop))
     stems = F.array_distinct(F.transform(kept, lambda t: F.substring(t, 1, 5)))
     return stems if limit is None else F.slice(stems, 1, limit)
 

@@ -93,3 +93,24 @@ def brief(rows: DataFrame, by: list[str], lead: str, most: int = 8) -> DataFrame
     titles = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "title"))), 1, most), lambda x: x["title"])
     near = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).where(F.col("_k") <= most)
     return near.groupBy(*by).agg(F.concat(F.lit(lead), F.array_join(titles, "; ")).alias("brief"))
+
+
+def early(text: Column, terms: list[str], most: int = 60) -> Column:
+    """Whether a term stands in a text's first ``most`` words."""
+    return any_of(F.array_join(F.slice(words(text), 1, most), " "), terms)
+
+
+def newsletter(url: Column, patterns: list[str]) -> Column:
+    """Whether a URL is that of a newsletter or digest."""
+    return any_of(url, patterns)
+
+
+def social_filter(signals: DataFrame, least: dict[str, float], chars: int, skip: list[str]) -> DataFrame:
+    """Signals (platform, title, score, …) of their platform's least score, if it has one, with ``chars`` characters and none of the skipped terms."""
+    limit = F.coalesce(*[F.when(F.col("platform") == p, F.lit(x)) for p, x in least.items()], F.lit(0.0))
+    return signals.where((F.col("score") >= limit) & (F.length("title") >= chars) & ~any_of(F.col("title"), skip))
+
+
+def published(items: Column, least: Column, is_fallback: Column) -> Column:
+    """Status of a report: a fallback isn't published, one below the least number of items is thin."""
+    return F.when(is_fallback, "fallback").when(items < least, "thin").otherwise("ok")

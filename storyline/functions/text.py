@@ -125,3 +125,10 @@ def casual_past(text: Column, allowed: list[str]) -> Column:
     """Words in the spoken past tense at the end of a sentence, without those that end in an allowed suffix."""
     found = F.regexp_extract_all(text, F.lit(r"(?iU)(\w+(?:d|t)[ıiuü](?:lar|ler)?)(?=[.!?…](?:\s|$))"), F.lit(1))
     return F.filter(found, lambda w: ~F.exists(F.array(*[F.lit(s) for s in allowed]), lambda s: F.endswith(F.lower(w), s)))
+
+
+def without_commentary(text: Column, verbs: list[str]) -> Column:
+    """A text without its last sentences that end in an evaluative word, one after another; if all do, as it is."""
+    last = "|".join(f"\\Q{v}\\E" for v in verbs)
+    bare = F.regexp_replace(text, rf"(?iU)(?:(?:^|(?<=[.!?…]))\s*[^.!?…]*\b(?:{last})[.!?…]+\s*)+$", "")
+    return F.when(F.trim(bare) == "", text).otherwise(F.regexp_replace(bare, r"\s+$", ""))

@@ -115,3 +115,10 @@ def overridden(report: DataFrame, overrides: DataFrame) -> DataFrame:
     kept = cut.join(swap, ["day", "section", "article_id"], "left").select("day", "section", F.coalesce("by_id", "article_id").alias("article_id"), F.col("pos").cast("double").alias("pos"))
     new = overrides.where("op = 'add'").select("day", "section", "article_id", (F.col("pos") - 0.5).alias("pos"))
     return kept.unionByName(new).withColumn("pos", F.row_number().over(Window.partitionBy("day", "section").orderBy("pos", "article_id")))
+
+
+def completed(placed: DataFrame, pool: DataFrame, by: list[str]) -> DataFrame:
+    """Placements (…, article_id, pos) of ids of the pool, and at their end, in order, the pool's ids (…, article_id, seq) that are placed nowhere."""
+    known = placed.join(pool.select(*by, "article_id"), [*by, "article_id"], "left_semi").groupBy(*by, "article_id").agg(F.min("pos").alias("k")).withColumn("_t", F.lit(0))
+    rest = pool.join(known.select(*by, "article_id"), [*by, "article_id"], "left_anti").select(*by, "article_id", F.col("seq").alias("k"), F.lit(1).alias("_t"))
+    return known.unionByName(rest).withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("_t", "k", "article_id"))).drop("_t", "k")

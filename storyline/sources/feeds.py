@@ -78,3 +78,21 @@ def answers(raw: DataFrame, ids: list[str]) -> DataFrame:
         found = hit.unionByName(listed) if found is None else found.unionByName(hit).unionByName(listed)
         level = each.where(~F.coalesce(F.col("k").rlike("^[0-9]+$"), F.lit(False)) & own.isNull() & F.schema_of_variant("x").rlike("^(OBJECT|ARRAY)")).select("batch", F.col("x").alias("v"))
     return found
+
+
+def last_titles(links: DataFrame) -> DataFrame:
+    """(link, title): of each raw link of a ledger the title of its last line. links: (line_no, link, title, …)."""
+    return links.groupBy("link").agg(F.max_by("title", "line_no").alias("title"))
+
+
+def flags(raw: DataFrame, asked: DataFrame) -> DataFrame:
+    """(batch, article_id) that annotators' lists (batch, text) flag: whole numbers that were asked in the batch, each once."""
+    each = raw.select("batch", F.explode(F.from_json("text", "array<string>")).alias("x"))
+    return each.select("batch", F.col("x").try_cast("long").alias("article_id")).distinct().join(asked.select("batch", "article_id"), ["batch", "article_id"], "left_semi")
+
+
+def unusable(raw: DataFrame, ids: tuple[str, ...] = ("id", "article_id")) -> DataFrame:
+    """(shape, n) of answers (batch, text) that gave no row: none, or the type of what they hold. A batch has one answer."""
+    some = answers(raw, list(ids)).select("batch").distinct()
+    left = raw.join(some, "batch", "left_anti")
+    return left.select(F.coalesce(F.regexp_extract(F.schema_of_variant(json_object(F.col("text"))), "^[A-Z]+", 0), F.lit("none")).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))

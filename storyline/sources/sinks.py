@@ -52,3 +52,26 @@ def kept_report(old_published: Column, old_count: Column, new_count: Column) ->
 
 def reset_day(tables: list[DataFrame], day: Column) -> list[DataFrame]:
     return [t.where(F.col("day") != day) for t in tables]
+
+
+def staged(items: DataFrame, today: Column) -> DataFrame:
+    """Links of today's run that wait for its report: (day, link, title, description) of rows with a link."""
+    return items.where((F.col("day") == today) & (F.coalesce("link", F.lit("")) != "")).select("day", "link", "title", "description")
+
+
+def archived(archive: DataFrame, today: DataFrame, most: int = 43) -> DataFrame:
+    """An archive (day, article_id, pos, is_headline) with today's rows, numbered through: headlines first, then ``most`` body rows; days that it has stay as they are."""
+    new = today.join(archive.select("day").distinct(), "day", "left_anti")
+    both = archive.unionByName(new.select(archive.columns))
+    ranked = both.withColumn("_k", F.row_number().over(Window.partitionBy("day", "is_headline").orderBy("pos"))).where(F.col("is_headline") | (F.col("_k") <= most))
+    return ranked.withColumn("number", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("is_headline"), "pos"))).drop("_k")
+
+
+def appended_log(log: DataFrame, new: DataFrame, now: Column, days: int) -> DataFrame:
+    """A log (ts, …) with new rows and without those older than ``days``."""
+    return log.unionByName(new).where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def retained(reports: DataFrame, today: Column, days: int = 30) -> DataFrame:
+    """(day): days of reports that are kept, those of the last ``days`` that exist."""
+    return reports.select("day").distinct().where((F.col("day") > F.date_sub(today, days)) & (F.col("day") <= today))
