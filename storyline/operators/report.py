@@ -122,3 +122,101 @@ def completed(placed: DataFrame, pool: DataFrame, by: list[str]) -> DataFrame:
     known = placed.join(pool.select(*by, "article_id"), [*by, "article_id"], "left_semi").groupBy(*by, "article_id").agg(F.min("pos").alias("k")).withColumn("_t", F.lit(0))
     rest = pool.join(known.select(*by, "article_id"), [*by, "article_id"], "left_anti").select(*by, "article_id", F.col("seq").alias("k"), F.lit(1).alias("_t"))
     return known.unionByName(rest).withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("_t", "k", "article_id"))).drop("_t", "k")
+
+
+def silent_losses(funnel: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(source, alarm) of sources that lose all they bring: no text, or nothing left though not all had been reported. reasons: (source, seen, filtered)."""
+    held = funnel.join(reasons.select("source", "seen", "filtered"), "source", "left").na.fill(0, ["seen", "filtered"])
+    known = (F.col("filtered") == 0) & (F.col("seen") > 0)
+    alarm = F.when((F.col("kept") > 0) & (F.col("text_ok") == 0), "extraction zero").when((F.col("text_ok") > 0) & (F.col("pool") == 0) & ~known, "dedup zero")
+    return held.withColumn("alarm", alarm).where("alarm IS NOT NULL").select("source", "alarm")
+
+
+def grouped_ids(rows: DataFrame, by: list[str], kind: str, most: int = 20, key: str = "article_id") -> DataFrame:
+    """(…, kind, n, first): how many rows there are of each kind, and the first ``most`` ids."""
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by, kind).orderBy(key)))
+    return ranked.groupBy(*by, kind).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.col(key)))).alias("first"))
+
+
+def feed_freshness(items: DataFrame, now: Column, hours: int = 96, words: int = 100) -> DataFrame:
+    """(source, n, in_window, rescuable, newest_hours) of feeds: items in the window, those with a body long enough, hours since the newest. items: (source, ts, n_words)."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp("ts")) / 3600
+    fresh = F.col("ts").isNull() | (age <= hours)
+    return items.groupBy("source").agg(F.count("*").alias("n"), F.count_if(fresh).alias("in_window"), F.count_if(fresh & (F.col("n_words") >= words)).alias("rescuable"), F.min(age).alias("newest_hours"))
+
+
+def supply(rows: DataFrame, by: list[str], most_share: float = 0.5) -> DataFrame:
+    """(…, cyber, dups, fresh, dup_share, relaxed): rows in scope, of which flagged, and whether so many are that the flag is relaxed."""
+    out = rows.groupBy(*by).agg(F.count_if("cyber_gate").alias("cyber"), F.count_if(F.col("cyber_gate") & F.col("dup_flag")).alias("dups"))
+    share = F.when(F.col("cyber") > 0, F.col("dups") / F.col("cyber")).otherwise(0.0)
+    return out.withColumn("fresh", F.col("cyber") - F.col("dups")).withColumn("dup_share", share).withColumn("relaxed", F.col("dup_share") > most_share)
+
+
+def high_dropped(rows: DataFrame, reported: DataFrame, by: list[str], n: int = 8) -> DataFrame:
+    """The ``n`` best rows of each report that aren't in it though they are in scope and score above its lowest headline. reported: (…, article_id, section)."""
+    lowest = rows.join(reported.where("section = 'headline'").select(*by, "article_id"), [*by, "article_id"], "left_semi").groupBy(*by).agg(F.min("total").alias("lowest"))
+    left = rows.where("cyber_gate AND NOT no_points").join(reported.select(*by, "article_id"), [*by, "article_id"], "left_anti").join(lowest, by).where("total > lowest")
+    return left.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "article_id"))).where(F.col("k") <= n)
+
+
+def placements(rows: DataFrame, headlines: DataFrame, best: DataFrame, body: DataFrame, reasons: DataFrame, by: list[str]) -> DataFrame:
+    """Scored rows with ``placement`` (headline, top10, body, dropped) and the reason that dropped them."""
+    out = rows
+    for c, t in (("_h", headlines), ("_t", best), ("_b", body)):
+        out = out.join(t.select(*by, "article_id", F.lit(True).alias(c)).distinct(), [*by, "article_id"], "left")
+    out = out.withColumn("placement", F.when(F.col("_h"), "headline").when(F.col("_t"), "top10").when(F.col("_b"), "body").otherwise("dropped")).drop("_h", "_t", "_b")
+    return out.join(reasons.select(*by, "article_id", "reason"), [*by, "article_id"], "left").withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
+def headline_trace(layers: DataFrame, by: list[str]) -> DataFrame:
+    """(…, layer_no, gone, come): headlines that a layer took out and put in, the k-th with the k-th. layers: (…, layer_no, article_id, pos), headlines only."""
+    now = layers.select(*by, "layer_no", "article_id", "pos")
+    before = now.withColumn("layer_no", F.col("layer_no") + 1)
+    last = now.groupBy(*by).agg(F.max("layer_no").alias("_last"))
+    key = [*by, "layer_no", "article_id"]
+    first = now.groupBy(*by).agg(F.min("layer_no").alias("_first"))
+    gone = before.join(now.select(*key), key, "left_anti").join(last, by).where("layer_no <= _last")
+    come = now.join(before.select(*key), key, "left_anti").join(first, by).where("layer_no > _first")
+    k = lambda t, c: t.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "layer_no").orderBy("pos", "article_id"))).select(*by, "layer_no", "_k", F.col("article_id").alias(c))
+    return k(gone, "gone").join(k(come, "come"), [*by, "layer_no", "_k"], "full").drop("_k")
+
+
+def report_meta(sections: DataFrame, pool: DataFrame, by: list[str]) -> DataFrame:
+    """(…, n_items, fresh, least, status) of reports: items, the supply they had, the least number that asks for, and ok or thin. pool: (…, fresh)."""
+    from ..functions.predicates import published
+    from ..functions.text import floor_of
+
+    out = sections.groupBy(*by).agg(F.count("*").alias("n_items")).join(pool.select(*by, "fresh"), by, "left").withColumn("least", floor_of(F.col("fresh")))
+    return out.withColumn("status", published(F.col("n_items"), F.col("least"), F.lit(False)))
+
+
+def unexplained(candidates: DataFrame, reported: DataFrame, reasons: DataFrame, by: list[str]) -> DataFrame:
+    """Candidates that are neither reported nor have a reason."""
+    key = [*by, "article_id"]
+    return candidates.select(*key).join(reported.select(*key), key, "left_anti").join(reasons.where("reason IS NOT NULL").select(*key), key, "left_anti")
+
+
+def repaired(before: DataFrame, now: DataFrame, reasons: DataFrame, by: list[str]) -> DataFrame:
+    """Body rows (…, article_id, pos) after a layer, each id once, those that left without a reason put back at their head, renumbered."""
+    key = [*by, "article_id"]
+    once = distinct_in_order(now, by)
+    lost = distinct_in_order(before, by).join(once.select(*key), key, "left_anti").join(reasons.where("reason IS NOT NULL").select(*key), key, "left_anti")
+    both = once.withColumn("_t", F.lit(1)).unionByName(lost.withColumn("_t", F.lit(0)))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("_t", "pos", "article_id"))).drop("_t")
+
+
+def gaps(days: DataFrame, by: list[str]) -> DataFrame:
+    """(…, day, gap): for each day of a report, days since the last one before it; null for the first."""
+    own = days.select(*by, "day").distinct()
+    return own.withColumn("gap", F.date_diff("day", F.lag("day").over(Window.partitionBy(*by).orderBy("day"))))
+
+
+def flagged_out(body: DataFrame, flags: DataFrame, enabled: bool = False) -> DataFrame:
+    """Body rows without those that an annotator flags as told on earlier days, if that is switched on. flags: (article_id)."""
+    return body.join(flags.select("article_id").distinct(), "article_id", "left_anti") if enabled else body
+
+
+def with_scores(rows: DataFrame, scores: DataFrame, key: str = "article_id") -> DataFrame:
+    """Rows with category, gate and total; those without a score count as a breach in scope with one point."""
+    out = rows.join(scores.select(key, "category", "cyber_gate", "total"), key, "left")
+    return out.withColumns({"category": F.coalesce("category", F.lit("veri_ihlali")), "cyber_gate": F.coalesce("cyber_gate", F.lit(True)), "total": F.coalesce("total", F.lit(1))})
