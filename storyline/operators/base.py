@@ -4,23 +4,34 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder if all run on this machine, else an error."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="storyline-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyline-"))
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, which outlives a lost executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected ``edges`` (a, b); root is the component's smallest node. Labels jump to their label's label in each round."""
     both = checkpointed(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         least = now.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
         hop = least.select(F.col("node").alias("at"), F.col("root").alias("next"))
@@ -29,18 +40,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = after
         if moved:
             return now
-    raise RuntimeError("components did not settle")
 
 
-def first_wins(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, accepted): in the order of ids, a node is accepted unless an earlier accepted node has an edge to it.
 
     nodes: (id). edges: (a, b) with a < b. The same result as walking the nodes in order: a node with no undecided earlier neighbour is accepted,
-    and all later neighbours of accepted nodes are rejected, until all are decided. Only the counts of rounds come to the driver.
+    and all later neighbours of accepted nodes are rejected, until all are decided: at least the first open node is in each round.
     """
     edges = checkpointed(edges.select("a", "b").distinct())
     state = checkpointed(nodes.select("id").distinct().withColumn("accepted", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
+    while True:
         open_ = state.where("accepted IS NULL").select("id")
         if open_.isEmpty():
             return state
@@ -50,4 +60,3 @@ def first_wins(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFra
         state = checkpointed(
             state.join(accept, "id", "left").join(reject, "id", "left").select("id", F.coalesce("accepted", F.when(F.col("_in"), True), F.when(F.col("_out"), False)).alias("accepted"))
         )
-    raise RuntimeError("selection did not settle")

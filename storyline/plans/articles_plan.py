@@ -10,7 +10,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions import predicates as pr
 from ..operators import select
-from ..operators.base import checkpointed, first_wins
+from ..operators.base import checkpointed
 from ..operators.runfilter import run_filter
 from ..operators.pairs import set_classes, similar_sets, similar_titles
 from ..sources import pages as pg
@@ -42,18 +42,28 @@ def unseen_articles(spark, sf_dir):
 
 
 def _title_classes(spark, sf_dir):
-    return checkpointed(set_classes(articles(spark, sf_dir).select(F.col("article_id").alias("id"), fp.title_stems(F.col("title")).alias("tokens"))))
+    """(id, rep, tokens) of every article: those of equal stems of titles are a class; without stems each is its own."""
+    return checkpointed(set_classes(articles(spark, sf_dir).select(F.col("article_id").alias("id"), fp.title_stems(F.col("title")).alias("tokens")), empty=True))
+
+
+def _same_titles(classes: DataFrame) -> DataFrame:
+    """(a, b, overlap): pairs of classes whose titles have similar stems."""
+    return checkpointed(similar_sets(classes.where(F.size("tokens") > 0), 0.45))
+
+
+def title_classes(spark, sf_dir):
+    return _title_classes(spark, sf_dir).select(F.col("id").alias("article_id"), F.col("rep").alias("representative"))
 
 
 def similar_title_stems(spark, sf_dir):
-    return similar_sets(_title_classes(spark, sf_dir), 0.45).select("a", "b", F.round("overlap", 6).alias("overlap"))
+    """Pairs of classes of articles with similar titles; title_classes has their members."""
+    return _same_titles(_title_classes(spark, sf_dir)).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 def first_wins_titles(spark, sf_dir):
     """Run filter: articles in order, each dropped if an accepted earlier one has a similar title."""
     classes = _title_classes(spark, sf_dir)
-    decided = first_wins(classes.where("id = rep").select("id"), similar_sets(classes, 0.45))
-    return decided.where("accepted").select(F.col("id").alias("article_id"))
+    return select.first_of_classes(classes, _same_titles(classes)).where("accepted").select(F.col("id").alias("article_id"))
 
 
 def same_code_names(spark, sf_dir):
@@ -86,31 +96,42 @@ def page_yield(spark, sf_dir):
     return page_texts(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("n"), F.avg("n_words").alias("avg_words"), F.max("n_words").alias("max_words"))
 
 
-def _same_titles(spark, sf_dir):
-    """Pairs of articles whose titles have similar stems, and the articles that are in one."""
-    return checkpointed(similar_sets(_title_classes(spark, sf_dir), 0.45).select("a", "b"))
-
-
 def title_clusters(spark, sf_dir):
-    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
-    return select.clusters(items, _same_titles(spark, sf_dir)).select(F.col("id").alias("article_id"), F.col("rep").alias("representative"))
+    """Each article joins the first representative with a similar title."""
+    classes = _title_classes(spark, sf_dir)
+    reps = classes.where("id = rep").select("id")
+    found = select.clusters(reps, _same_titles(classes).select("a", "b")).select(F.col("id").alias("_c"), F.col("rep").alias("representative"))
+    return classes.join(found, F.col("rep") == F.col("_c")).select(F.col("id").alias("article_id"), "representative")
 
 
 def distinct_picks(spark, sf_dir):
     """The first 50 articles in order that aren't excluded and tell nothing that an earlier pick does."""
-    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
-    return select.pick_distinct(items, _same_titles(spark, sf_dir), items.where("id % 4 = 1"), 50).select(F.col("id").alias("article_id"))
+    classes = _title_classes(spark, sf_dir)
+    decided = select.first_of_classes(classes.where("id % 4 <> 1"), _same_titles(classes))
+    return decided.where("accepted").orderBy("id").limit(50).select(F.col("id").alias("article_id"))
 
 
 def new_against_history(spark, sf_dir):
     """Articles with an odd id that repeat neither an even one nor an earlier odd one."""
-    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
-    return select.drop_against(items.where("id % 2 = 1"), items.where("id % 2 = 0"), _same_titles(spark, sf_dir)).select(F.col("id").alias("article_id"))
+    classes = _title_classes(spark, sf_dir)
+    pairs = _same_titles(classes)
+    old = classes.where("id % 2 = 0").select(F.col("rep").alias("to")).distinct()
+    told = select.class_links(classes, pairs).join(old, "to", "left_semi").select("rep").distinct()
+    return select.first_of_classes(classes.where("id % 2 = 1").join(told, "rep", "left_anti"), pairs).where("accepted").select(F.col("id").alias("article_id"))
 
 
 def restored_orphans(spark, sf_dir):
-    items = _title_classes(spark, sf_dir).where("id = rep").select("id")
-    return select.restored(items.where("id % 3 > 0"), items.where("id % 3 = 0"), _same_titles(spark, sf_dir)).select(F.col("id").alias("article_id"))
+    """Of the dropped articles (ids not divisible by three), those that had a twin among the dropped and that nothing kept or taken back tells of."""
+    classes = _title_classes(spark, sf_dir)
+    pairs = _same_titles(classes)
+    links = select.class_links(classes, pairs)
+    kept = classes.where("id % 3 = 0").select(F.col("rep").alias("to")).distinct()
+    told = links.join(kept, "to", "left_semi").select("rep").distinct()
+    dropped = classes.where("id % 3 > 0")
+    n = dropped.groupBy(F.col("rep").alias("to")).agg(F.count("*").alias("n"))
+    twins = links.join(n, "to").groupBy("rep").agg(F.sum("n").alias("n")).where("n > 1").select("rep")
+    orphans = dropped.join(told, "rep", "left_anti").join(twins, "rep", "left_semi")
+    return select.first_of_classes(orphans, pairs).where("accepted").select(F.col("id").alias("article_id"))
 
 
 def group_removals(spark, sf_dir):
@@ -122,18 +143,19 @@ def group_removals(spark, sf_dir):
 def related_passages(spark, sf_dir):
     """For each passage of the benchmark, the six articles with the most similar titles' stems; passages as titles."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), fp.keywords(F.col("text")).alias("tokens"))
-    history = articles(spark, sf_dir).select(F.col("article_id").alias("id"), fp.keywords(F.col("src_body"), 60).alias("tokens"))
+    history = articles(spark, sf_dir).select(F.col("article_id").alias("id"), fp.keywords(F.col("src_body")).alias("tokens"))
     return select.related(items, history).select("id", "other", F.round("overlap", 6).alias("overlap"))
 
 
 def body_origins(spark, sf_dir):
-    own = articles(spark, sf_dir).withColumn("x", pr.body_origin(F.substring("src_body", 1, 800), F.col("src_body")))
+    own = articles(spark, sf_dir).withColumn("x", pr.body_origin(F.when(F.col("article_id") % 3 > 0, F.col("src_body")), F.concat("title", F.lit(" "), F.col("src_body"))))
     return own.select("article_id", F.col("x.origin").alias("origin"), F.md5(F.coalesce("x.text", F.lit(""))).alias("text"))
 
 
 def repair_actions(spark, sf_dir):
-    a = articles(spark, sf_dir).withColumn("body", F.substring("src_body", 1, 160))
-    action = pr.repair(tx.truncated(F.col("body")), tx.last_full_sentence(F.col("body")), F.substring("src_body", 1, 500), F.col("body"), F.col("article_id") % 9 == 0)
+    """Bodies, every second of which breaks off; the title is all there is to write them anew from."""
+    a = articles(spark, sf_dir).withColumn("body", F.concat("src_body", F.when(F.col("article_id") % 2 == 0, " and").otherwise("")))
+    action = pr.repair(tx.truncated(F.col("body")), tx.last_full_sentence(F.col("body")), F.col("title"), F.col("body"), F.col("article_id") % 9 == 0)
     return a.select("article_id", action.alias("action"), pr.needs_longer(F.col("body"), F.col("src_body")).alias("needs_longer"))
 
 
@@ -147,18 +169,32 @@ def daily_briefs(spark, sf_dir):
     return pr.brief(articles(spark, sf_dir).select("day", F.col("seq").alias("pos"), "title"), ["day"], "Today: ")
 
 
-def run_filter_levels(spark, sf_dir):
-    """The five-level filter over a day's articles against those of the week before; ids of history come first."""
-    own = articles(spark, sf_dir).where("day >= DATE'2024-01-10'").withColumn("in_history", F.col("day") < F.lit("2024-01-24").cast("date"))
+def filtered(spark, sf_dir):
+    """(article_id, accepted, level) of the last week's articles, run against all before; ids of history come first. A source's copies share a link."""
+    own = articles(spark, sf_dir).withColumn("in_history", F.col("day") < F.lit("2024-01-24").cast("date"))
     items = own.select(
-        F.when(F.col("in_history"), F.col("article_id")).otherwise(F.col("article_id") + (1 << 40)).alias("id"), F.concat(F.lit("https://x/"), F.col("article_id") % 5000).alias("url"),
-        tx.content_hash(F.col("title"), F.col("lang")).alias("content_hash"), F.substring("title", 1, 120).alias("title"), "in_history",
+        F.when(F.col("in_history"), F.col("article_id")).otherwise(F.col("article_id") + (1 << 40)).alias("id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.md5("src_body")).alias("url"),
+        tx.content_hash(F.col("title"), F.col("lang")).alias("content_hash"), "title", "in_history",
     )
     return run_filter(items).select((F.col("id") - (1 << 40)).alias("article_id"), "accepted", F.col("level").cast("long").alias("level"))
 
 
+def run_filter_levels(spark, sf_dir):
+    """The five-level filter over a week's articles against all those of the days before."""
+    return filtered(spark, sf_dir)
+
+
+def dedup_counts(spark, sf_dir):
+    """Articles of the week by source and the level of the run filter that drops them."""
+    level = F.get(F.array(*[F.lit(x) for x in ("link", "hash", "title", "stems", "code")]), F.col("level").cast("int") - 1)
+    own = articles(spark, sf_dir).join(filtered(spark, sf_dir), "article_id").withColumn("level", level)
+    return own.groupBy("source").pivot("level", ["link", "hash", "title", "stems", "code"]).count().na.fill(0)
+
+
 QUERIES = {
     "run_filter_levels": run_filter_levels,
+    "dedup_counts": dedup_counts,
+    "title_classes": title_classes,
     "title_clusters": title_clusters,
     "distinct_picks": distinct_picks,
     "new_against_history": new_against_history,
@@ -202,9 +238,11 @@ _CODES = (
     f" lambda w: NOT list_contains([{_q(lx.CODENAME_DENY + lx.ACRONYM_DENY)}], w) AND NOT regexp_matches(w, '^[a-z]{{1,4}}aas$') AND length(replace(w, w[1:1], '')) > 0))"
 )
 _CLASSES = (
-    f"c0 AS (SELECT article_id, list_sort({_TITLE}) AS toks FROM a), c AS (SELECT min(article_id) AS id, toks FROM c0 WHERE len(toks) > 0 GROUP BY toks),"
+    f"c0 AS (SELECT article_id AS id, list_sort({_TITLE}) AS toks FROM a), c AS (SELECT min(id) AS id, toks FROM c0 WHERE len(toks) > 0 GROUP BY toks),"
     " t AS (SELECT id, unnest(toks) AS t FROM c), m AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY ALL),"
-    " e AS (SELECT a, b, k / (len(p.toks) + len(q.toks) - k) AS overlap FROM m JOIN c p ON p.id = a JOIN c q ON q.id = b WHERE k / (len(p.toks) + len(q.toks) - k) >= 0.45)"
+    " ce AS (SELECT a, b, k / (len(p.toks) + len(q.toks) - k) AS overlap FROM m JOIN c p ON p.id = a JOIN c q ON q.id = b WHERE k / (len(p.toks) + len(q.toks) - k) >= 0.45),"
+    " mem AS (SELECT c0.id, c.id AS rep FROM c0 JOIN c USING (toks)),"
+    " e AS (SELECT x.id AS a, y.id AS b FROM mem x JOIN mem y ON x.rep = y.rep AND x.id < y.id UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM ce JOIN mem x ON x.rep = ce.a JOIN mem y ON y.rep = ce.b)"
 )
 
 _WALK = """w(k, acc) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
@@ -214,33 +252,34 @@ _ADJ = "adj AS (SELECT b AS id, list(a) AS earlier FROM e GROUP BY b)"
 _BOTH = "z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
 
 ORACLE_SQL = {
+    "title_classes": f"WITH {ARTICLES}, {_CLASSES} SELECT c0.id AS article_id, coalesce(rep, c0.id) AS representative FROM c0 LEFT JOIN mem ON mem.id = c0.id",
     "title_clusters": f"""
-        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c), {_ADJ}, {_WALK}
-        SELECT c.id AS article_id, CASE WHEN c.id IN (SELECT id FROM p) THEN c.id ELSE (SELECT min(a) FROM e WHERE e.b = c.id AND e.a IN (SELECT id FROM p)) END AS representative FROM c""",
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c0), {_ADJ}, {_WALK}
+        SELECT c0.id AS article_id, CASE WHEN c0.id IN (SELECT id FROM p) THEN c0.id ELSE (SELECT min(a) FROM e WHERE e.b = c0.id AND e.a IN (SELECT id FROM p)) END AS representative FROM c0""",
     "distinct_picks": f"""
-        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c WHERE id % 4 <> 1), {_ADJ}, {_WALK} SELECT id AS article_id FROM p ORDER BY id LIMIT 50""",
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c0 WHERE id % 4 <> 1), {_ADJ}, {_WALK} SELECT id AS article_id FROM p ORDER BY id LIMIT 50""",
     "new_against_history": f"""
-        WITH RECURSIVE {ARTICLES}, {_CLASSES}, {_BOTH}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM z WHERE z.a = c.id AND z.b % 2 = 0)),
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, {_BOTH}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c0 WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM z WHERE z.a = c0.id AND z.b % 2 = 0)),
         {_ADJ}, {_WALK} SELECT id AS article_id FROM p""",
     "restored_orphans": f"""
-        WITH RECURSIVE {ARTICLES}, {_CLASSES}, {_BOTH}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c WHERE id % 3 > 0
-            AND EXISTS (SELECT 1 FROM z WHERE z.a = c.id AND z.b % 3 > 0) AND NOT EXISTS (SELECT 1 FROM z WHERE z.a = c.id AND z.b % 3 = 0)),
+        WITH RECURSIVE {ARTICLES}, {_CLASSES}, {_BOTH}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c0 WHERE id % 3 > 0
+            AND EXISTS (SELECT 1 FROM z WHERE z.a = c0.id AND z.b % 3 > 0) AND NOT EXISTS (SELECT 1 FROM z WHERE z.a = c0.id AND z.b % 3 = 0)),
         {_ADJ}, {_WALK} SELECT id AS article_id FROM p""",
     "group_removals": f"""
         WITH {ARTICLES}, k AS (SELECT article_id, row_number() OVER (PARTITION BY md5(title) ORDER BY article_id % 10 = 0 DESC, len(regexp_extract_all(src_body, '\\S+')) DESC, length(src_body) DESC, article_id) AS k FROM a)
         SELECT article_id FROM k WHERE k > 1 AND article_id % 10 <> 0""",
     "related_passages": f"""
-        WITH h0 AS (SELECT doc_id AS other, coalesce(text, '') AS src_body FROM documents), h1 AS (SELECT other, {_STEMS} AS x FROM h0), h AS (SELECT other, ({_FIRST})[1:60] AS toks FROM h1),
+        WITH h0 AS (SELECT doc_id AS other, coalesce(text, '') AS src_body FROM documents), h1 AS (SELECT other, {_STEMS} AS x FROM h0), h AS (SELECT other, list_distinct(x) AS toks FROM h1),
         i0 AS (SELECT item_id AS id, coalesce(text, '') AS src_body FROM benchmark), i AS (SELECT id, list_distinct({_STEMS}) AS toks FROM i0),
         m AS (SELECT p.id, q.other, count(*) AS c FROM (SELECT id, unnest(toks) AS t FROM i) p JOIN (SELECT other, unnest(toks) AS t FROM h) q USING (t) GROUP BY ALL),
         o AS (SELECT m.id, m.other, c / (len(i.toks) + len(h.toks) - c) AS overlap FROM m JOIN i USING (id) JOIN h USING (other)),
         k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS k FROM o) SELECT id, other, round(overlap, 6) AS overlap FROM k WHERE k <= 6""",
     "body_origins": f"""
-        WITH {ARTICLES}, n AS (SELECT *, len(regexp_extract_all(src_body[1:800], '\\S+')) AS p, len(regexp_extract_all(src_body, '\\S+')) AS f FROM a)
-        SELECT article_id, CASE WHEN p > 100 THEN 'page' WHEN f >= 100 THEN 'feed' ELSE 'none' END AS origin, md5(CASE WHEN p > 100 THEN src_body[1:800] WHEN f >= 100 THEN src_body ELSE '' END) AS text FROM n""",
+        WITH {ARTICLES}, n AS (SELECT *, title || ' ' || src_body AS feed, CASE WHEN article_id % 3 > 0 THEN len(regexp_extract_all(src_body, '\\S+')) ELSE 0 END AS p FROM a), m AS (SELECT *, len(regexp_extract_all(feed, '\\S+')) AS f FROM n)
+        SELECT article_id, CASE WHEN p > 100 THEN 'page' WHEN f >= 100 THEN 'feed' ELSE 'none' END AS origin, md5(CASE WHEN p > 100 THEN src_body WHEN f >= 100 THEN feed ELSE '' END) AS text FROM m""",
     "repair_actions": f"""
-        WITH {ARTICLES}, b AS (SELECT *, src_body[1:160] AS body FROM a), c AS (SELECT *, regexp_extract(body, '(?s)^.*[.!?…]["''”’»)]*') AS cut, regexp_replace(body, '\\s+$', '') AS bare,
-            len(regexp_extract_all(src_body[1:500], '\\S+')) AS ns, len(regexp_extract_all(body, '\\S+')) AS nb, len(regexp_extract_all(src_body, '\\S+')) AS na FROM b)
+        WITH {ARTICLES}, b AS (SELECT *, src_body || CASE WHEN article_id % 2 = 0 THEN ' and' ELSE '' END AS body FROM a), c AS (SELECT *, regexp_extract(body, '(?s)^.*[.!?…]["''”’»)]*') AS cut, regexp_replace(body, '\\s+$', '') AS bare,
+            len(regexp_extract_all(title, '\\S+')) AS ns, len(regexp_extract_all(body, '\\S+')) AS nb, len(regexp_extract_all(src_body, '\\S+')) AS na FROM b)
         SELECT article_id, CASE WHEN bare = '' OR regexp_matches(bare, '[.!?…"''”’»)]$') THEN 'keep' WHEN ns > 80 THEN 'regenerate'
             WHEN len(regexp_extract_all(CASE WHEN cut <> '' THEN cut ELSE body END, '\\S+')) >= 15 THEN 'cut' WHEN article_id % 9 <> 0 AND nb < 25 THEN 'drop' ELSE 'keep' END AS action,
             nb < 110 AND na >= 60 AS needs_longer FROM c""",
@@ -273,12 +312,8 @@ ORACLE_SQL = {
     "unseen_articles": f"""
         WITH {ARTICLES}, h AS (SELECT article_id, day, md5(regexp_replace(lower(title || coalesce(lang, '')), '^\\s+|\\s+$', '', 'g')) AS content_hash FROM a)
         SELECT article_id, content_hash FROM h WHERE day = DATE '2024-01-30' AND content_hash NOT IN (SELECT content_hash FROM h WHERE day >= DATE '2024-01-23' AND day < DATE '2024-01-30')""",
-    "similar_title_stems": f"WITH {ARTICLES}, {_CLASSES} SELECT a, b, round(overlap, 6) AS overlap FROM e",
-    "first_wins_titles": f"""
-        WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c), adj AS (SELECT b AS id, list(a) AS earlier FROM e GROUP BY b),
-        w(k, acc) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
-            SELECT w.k + 1, CASE WHEN list_has_any(coalesce(adj.earlier, []), w.acc) THEN w.acc ELSE list_append(w.acc, n.id) END FROM w JOIN n ON n.k = w.k + 1 LEFT JOIN adj ON adj.id = n.id)
-        SELECT unnest(acc) AS article_id FROM w WHERE k = (SELECT max(k) FROM n)""",
+    "similar_title_stems": f"WITH {ARTICLES}, {_CLASSES} SELECT a, b, round(overlap, 6) AS overlap FROM ce",
+    "first_wins_titles": f"WITH RECURSIVE {ARTICLES}, {_CLASSES}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id FROM c0), {_ADJ}, {_WALK} SELECT id AS article_id FROM p",
     "same_code_names": f"""
         WITH {ARTICLES}, n AS (SELECT article_id, day, unnest({_CODES}) AS code FROM a), f AS (SELECT day, code, min(article_id) AS first FROM n GROUP BY ALL)
         SELECT article_id, min(first) AS first FROM n JOIN f USING (day, code) WHERE article_id <> first GROUP BY article_id""",

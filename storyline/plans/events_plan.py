@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints as fp
-from ..operators import resolve, stories
+from ..functions import lexicon as lx
+from ..operators import report as rp
+from ..operators import resolve, select, stories
 from ..operators.base import checkpointed
-from .tables import articles, joined
+from .tables import ARTICLES, articles, joined
 
 #: Bits of an ordered id that name the article; those above count days.
 ARTICLE = 40
@@ -69,5 +71,134 @@ def story_chains(spark, sf_dir):
     return found.select("chain", F.size("days").cast("long").alias("n_days"), "n_nodes", F.size("entities").cast("long").alias("n_entities"), "title")
 
 
-QUERIES = {f.__name__: f for f in (view_classes, same_events, event_relations, event_ledger, story_chains)}
-ORACLE_SQL: dict[str, str] = {}
+#: The last day, whose articles are a run's, and how many days before are its history.
+LAST, HISTORY = 29, 7
+
+
+def _history(spark, sf_dir):
+    """Related pairs of the run's views, b, with those of the days before, a."""
+    own = fingerprints(spark, sf_dir).where(day("id") >= LAST - HISTORY)
+    return own, related(own).where((day("b") == LAST) & (day("a") < LAST))
+
+
+def _run(own: DataFrame) -> DataFrame:
+    return own.where(day("id") == LAST).select("id")
+
+
+def strongest_to_history(spark, sf_dir):
+    """Of each of the run's articles that is related to history, the strongest relation."""
+    return select.strongest(_history(spark, sf_dir)[1]).select(article("id").alias("article_id"), "relation")
+
+
+def relation_summary(spark, sf_dir):
+    own, pairs = _history(spark, sf_dir)
+    told = _run(own).join(select.strongest(pairs), "id", "left").select(F.coalesce("relation", F.lit("none")).alias("relation"), article("id").alias("article_id"))
+    return rp.grouped_ids(told, [], "relation").select("relation", "n", F.array_join("first", ",").alias("first"))
+
+
+def new_across_days(spark, sf_dir):
+    """The run's articles that tell nothing that history tells the same."""
+    own, pairs = _history(spark, sf_dir)
+    return _run(own).join(pairs.where("relation = 'same'").select(F.col("b").alias("id")), "id", "left_anti").select(article("id").alias("article_id"))
+
+
+def leak_audit(spark, sf_dir):
+    """Pairs that tell the same within a day, or within a week."""
+    pairs = related(fingerprints(spark, sf_dir)).where("relation = 'same'")
+    apart = day("b") - day("a")
+    return pairs.where(apart <= HISTORY).select(article("a"), article("b"), F.when(apart == 0, "within").otherwise("across").alias("leak"), F.round("topic", 6).alias("topic"))
+
+
+def shadow_clusters(spark, sf_dir):
+    """Groups of a day's articles around representatives, with what ties each member to its own; groups of one aren't shown."""
+    own = fingerprints(spark, sf_dir)
+    pairs = checkpointed(related(own).where((F.col("relation") == "same") & (day("a") == day("b"))).select("a", "b", joined(F.col("shared")).alias("reason")))
+    found = select.clusters(own.select("id"), pairs.select("a", "b")).where("id <> rep")
+    why = found.join(pairs.select(F.col("a").alias("rep"), F.col("b").alias("id"), "reason"), ["rep", "id"])
+    return why.select(article("id").alias("article_id"), article("rep").alias("representative"), "reason")
+
+
+def _across(spark, sf_dir):
+    """Pairs of views a week apart at most, decided by the rules across days."""
+    own = fingerprints(spark, sf_dir)
+    pairs = resolve.candidate_pairs(own, cross_day=True).where((day("b") > day("a")) & (day("b") - day("a") <= HISTORY))
+    return own, resolve.same_event(resolve.paired(pairs, own), cross_day=True)
+
+
+def entity_matches(spark, sf_dir):
+    """Pairs across days that names alone bring together."""
+    return _across(spark, sf_dir)[1].where("rule = 'entity'").select(article("a"), article("b"), F.round("topic", 6).alias("topic"))
+
+
+def repeat_scan(spark, sf_dir):
+    """By day, pairs with the week before that the rules catch, and those that are only suspicious: a topic in common and no signal."""
+    own, decided = _across(spark, sf_dir)
+    caught = decided.where("same").select("a", "b", F.lit("caught").alias("kind"))
+    near = resolve.topic_pairs(own, lx.SUSPICIOUS_TOPIC).where((day("b") > day("a")) & (day("b") - day("a") <= HISTORY)).select("a", "b")
+    weak = resolve.paired(near.join(caught.select("a", "b"), ["a", "b"], "left_anti"), own)
+    shared = F.arrays_overlap("x.actors", "y.actors") | F.arrays_overlap("x.codes", "y.codes") | (F.size(fp.shared_entities(F.col("x.names"), F.col("y.names"))) > 0)
+    both = caught.unionByName(weak.where(~F.coalesce(shared, F.lit(False))).select("a", "b", F.lit("suspicious").alias("kind")))
+    return both.groupBy(day("b").cast("long").alias("day"), "kind").agg(F.count("*").alias("n"))
+
+
+def _headline(c: str = "id"):
+    """Headlines of the days: every 23rd article."""
+    return F.col(c).bitwiseAND(F.lit((1 << ARTICLE) - 1)) % 23 == 0
+
+
+def headline_repeats(spark, sf_dir):
+    """The run's articles that repeat a headline of the week before."""
+    return _across(spark, sf_dir)[1].where(F.col("same") & (day("b") == LAST) & _headline("a")).select(article("b").alias("article_id")).distinct()
+
+
+def near_misses(spark, sf_dir):
+    """Headlines and articles of the week before that share an actor, code name or name, and yet aren't the same event."""
+    own = fingerprints(spark, sf_dir)
+    pairs = resolve.meeting(own.where(_headline()), own).where((day("a") < day("b")) & (day("b") - day("a") <= HISTORY))
+    return resolve.near_misses(resolve.same_event(resolve.paired(pairs, own), cross_day=True)).select(article("a"), article("b"), joined(F.col("shared")).alias("shared"))
+
+
+def _ledger(spark, sf_dir):
+    own = fingerprints(spark, sf_dir)
+    pairs = checkpointed(related(own).select("a", "b", "relation", "shared", "topic"))
+    old = own.where(day("id") < LAST).select("id")
+    return own, pairs, checkpointed(stories.event_ledger(old, pairs.where(day("b") < LAST).select("a", "b", "relation")))
+
+
+def event_history(spark, sf_dir):
+    """Days of each event, on how many it was a headline, and when last."""
+    _, _, ledger = _ledger(spark, sf_dir)
+    out = stories.event_days(ledger.select("event", day("id").cast("long").alias("day"), _headline().alias("is_headline")))
+    return out.select(article("event"), joined(F.col("days").cast("array<string>")).alias("days"), "n_headline_days", "last_headline")
+
+
+def ledger_matches(spark, sf_dir):
+    """The event of the ledger that each of the run's articles belongs to, strictly by relations, or for headlines also loosely."""
+    own, pairs, ledger = _ledger(spark, sf_dir)
+    reps = checkpointed(stories.event_representatives(ledger))
+    new = pairs.where((day("b") == LAST) & (day("a") < LAST))
+    strict = stories.ledger_match(new.select("a", "b", "relation"), reps)
+    run = own.where(day("id") == LAST)
+    met = resolve.meeting(run, own.join(reps.select("id"), "id", "left_semi"))
+    rules = resolve.same_event(resolve.paired(met, own), cross_day=True).where("same").select("a", "b")
+    loose = new.where((F.size("shared") > 0) & (F.col("topic") >= lx.HEADLINE_TOPIC)).select("a", "b").unionByName(rules).distinct()
+    heads = ledger.where(_headline()).select("event")
+    found = stories.headline_match(new.select("a", "b", "relation"), loose, reps, heads)
+    return found.join(strict.select("id", "relation"), "id", "left").select(article("id").alias("article_id"), article("event"), F.coalesce("relation", F.lit("loose")).alias("relation"))
+
+
+def chain_matches(spark, sf_dir):
+    """The run's articles that belong to a chain of the days before, the first that shares a name with them."""
+    nodes = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "day", "title", fp.story_entities(F.lit(""), F.col("src_body")).alias("entities"))
+    last = F.lit("2024-01-30").cast("date")
+    return stories.matching_chain(nodes.where(F.col("day") == last), stories.story_chains(nodes.where(F.col("day") < last))).select(F.col("id").alias("article_id"), "chain")
+
+
+_NAMES = [
+    view_classes, same_events, event_relations, event_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan,
+    headline_repeats, near_misses, event_history, ledger_matches, chain_matches,
+]
+QUERIES = {f.__name__: f for f in _NAMES}
+ORACLE_SQL = {
+    "view_classes": f"WITH {ARTICLES} SELECT article_id, arg_min(article_id, article_id % 30 * 1099511627776 + article_id) OVER (PARTITION BY title, src_body) AS representative FROM a",
+}

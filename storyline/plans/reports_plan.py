@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ranking as rk
+from ..operators.base import shared_dir
 from ..operators import report as rp
 from ..sources import feeds, sinks
 from ..streaming import stream
+from .articles_plan import ORACLE_SQL as _ARTICLES_SQL
 from .tables import ARTICLES, FIRST_DAY, ORDER, SCORES, articles, day_of, raw_scores, table
 
 DAY = ["day"]
@@ -95,12 +96,6 @@ def source_funnel(spark, sf_dir):
     return rp.source_funnel(items, a)
 
 
-def dedup_counts(spark, sf_dir):
-    """Articles by source and the level that drops them."""
-    level = F.when(F.col("article_id") % 5 == 0, "link").when(F.col("article_id") % 7 == 0, "hash").when(F.col("article_id") % 11 == 0, "title")
-    return articles(spark, sf_dir).withColumn("level", level).groupBy("source").pivot("level", ["link", "hash", "title"]).count().na.fill(0)
-
-
 def elimination_funnel(spark, sf_dir):
     own = scores(spark, sf_dir).withColumn("reported", F.col("total") >= 40)
     reason = F.when(~F.col("reported"), F.when(~F.col("cyber_gate"), "gate").when(F.col("dup_flag"), "duplicate").when(F.col("no_points"), "category"))
@@ -115,15 +110,16 @@ def clean_streak(spark, sf_dir):
 
 
 def label_confusion(spark, sf_dir):
-    own = raw_scores(spark, sf_dir).select(F.when(F.col("trust") == "15", "same").otherwise("unrelated").alias("label"), F.when(F.col("article_id") % 3 == 0, "same").otherwise("unrelated").alias("predicted"))
-    return rp.confusion(own)
+    """Labels of quality against a rule of thumb: at least 100 words."""
+    own = articles(spark, sf_dir).join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "article_id"), "article_id")
+    told = lambda c: F.when(c, "same").otherwise("unrelated")
+    return rp.confusion(own.select(told(F.col("quality") == 1).alias("label"), told(tx.word_count(F.col("src_body")) >= 100).alias("predicted")))
 
 
 def report_gaps(spark, sf_dir):
-    """For each day of a purchase, days since the last one before it."""
-    days = table(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id % 50 = 3").select(F.to_date("ts").alias("day"), "user_id").distinct()
-    before = F.lag("day").over(Window.partitionBy("user_id").orderBy("day"))
-    return days.select("user_id", "day", F.date_diff("day", before).cast("long").alias("gap"))
+    """For each day of a user's purchases, days since the last one before it."""
+    days = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.to_date("ts").alias("day"))
+    return rp.gaps(days, ["user_id"]).withColumn("gap", F.col("gap").cast("long"))
 
 
 def _layers(spark, sf_dir):
@@ -217,7 +213,7 @@ def _events_stream(spark, sf_dir):
 
 
 def _folder(spark):
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='storyline-')}/stream-{uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid4().hex}"
 
 
 def stream_funnel(spark, sf_dir):
@@ -231,7 +227,7 @@ def stream_unseen(spark, sf_dir):
 
 _NAMES = [
     score_totals, daily_rank, rescued_rank, critique_scope, headlines, soft_gate, numbered_report, executive_set, rank_inversions, annotation_batches, top_signals, admitted_events, source_funnel,
-    dedup_counts, elimination_funnel, clean_streak, label_confusion, report_gaps, report_violations, report_decisions, corrected_scores, content_or_source, history_upsert, ledger_after_run,
+    elimination_funnel, clean_streak, label_confusion, report_gaps, report_violations, report_decisions, corrected_scores, content_or_source, history_upsert, ledger_after_run,
     reconciled_body, overridden_report, fresh_supply, answers_to_rows, daily_digest, stream_funnel, stream_unseen,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -245,7 +241,7 @@ _LAYERS = f"""
     l AS (SELECT * FROM one UNION ALL SELECT day, article_id, headline_ok, total, dup_flag, 2, CASE WHEN dup_flag OR article_id % 17 = 0 THEN 'dropped' WHEN total >= 50 THEN 'headline' ELSE 'body' END,
         CASE WHEN dup_flag THEN 'duplicate' END FROM one)"""
 _N = "len(regexp_extract_all(src_body, '\\S+'))"
-_URL = "rtrim('https://' || replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/')"
+_URLS = _ARTICLES_SQL["canonical_urls"]
 _DAY = f"DATE '{FIRST_DAY}' + CAST"
 
 ORACLE_SQL = {
@@ -285,18 +281,15 @@ ORACLE_SQL = {
         WITH {ARTICLES}, f AS (SELECT source, count(*) AS raw, count(*) FILTER (article_id % 4 <> 0) AS kept, count(*) FILTER (article_id % 4 <> 0 AND {_N} >= 100) AS text_ok,
             count(*) FILTER (article_id % 4 <> 0 AND article_id % 3 = 0 AND {_N} >= 100) AS pool, count(*) FILTER (article_id % 5 = 0) AS seen FROM a GROUP BY source)
         SELECT source, raw, kept, text_ok, pool, CASE WHEN kept = 0 THEN 'window zero' WHEN text_ok = 0 THEN 'extraction zero' WHEN pool = 0 AND seen >= text_ok THEN 'already reported' WHEN pool = 0 THEN 'dedup zero' ELSE 'ok' END AS status FROM f""",
-    "dedup_counts": f"""
-        WITH {ARTICLES} SELECT source, count(*) FILTER (article_id % 5 = 0) AS link, count(*) FILTER (article_id % 5 <> 0 AND article_id % 7 = 0) AS hash,
-            count(*) FILTER (article_id % 5 <> 0 AND article_id % 7 <> 0 AND article_id % 11 = 0) AS title FROM a GROUP BY source""",
     "elimination_funnel": f"""
         WITH {SCORES}, r AS (SELECT *, total >= 40 AS reported, CASE WHEN total < 40 THEN CASE WHEN NOT cyber_gate THEN 'gate' WHEN dup_flag THEN 'duplicate' WHEN no_points THEN 'category' END END AS reason FROM s),
         d AS (SELECT day, string_agg(reason || '=' || n, ',' ORDER BY reason) AS by_reason FROM (SELECT day, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY day)
         SELECT day, count(*) AS candidates, count(*) FILTER (cyber_gate) AS cyber, count(*) FILTER (total > 0) AS scored, count(*) FILTER (reported) AS reported,
             count(*) FILTER (NOT reported AND reason IS NULL) AS unexplained, coalesce(any_value(by_reason), '') AS by_reason, count(*) FILTER (reported) < 12 AS thin FROM r LEFT JOIN d USING (day) GROUP BY day""",
     "clean_streak": f"WITH {ARTICLES}, d AS (SELECT DISTINCT day FROM a), l AS (SELECT max(day) AS last FROM d WHERE day(day) % 9 = 0) SELECT count(*) AS streak FROM d, l WHERE last IS NULL OR day > last",
-    "label_confusion": "SELECT CASE WHEN quality = 1 THEN 'same' ELSE 'unrelated' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'same' ELSE 'unrelated' END AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
+    "label_confusion": f"WITH {ARTICLES} SELECT CASE WHEN quality = 1 THEN 'same' ELSE 'unrelated' END AS label, CASE WHEN {_N} >= 100 THEN 'same' ELSE 'unrelated' END AS predicted, count(*) AS n FROM a JOIN labels ON doc_id = article_id GROUP BY ALL",
     "report_gaps": """
-        WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE event_type = 'purchase' AND user_id % 50 = 3)
+        WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE event_type = 'purchase')
         SELECT user_id, day, date_diff('day', lag(day) OVER (PARTITION BY user_id ORDER BY day), day) AS gap FROM d""",
     "report_violations": f"""
         WITH {_LAYERS} SELECT day, 2 AS layer_no, 'unexplained' AS kind, article_id FROM l WHERE layer_no = 2 AND section = 'dropped' AND reason IS NULL
@@ -314,6 +307,9 @@ ORACLE_SQL = {
     "history_upsert": f"""
         WITH {ARTICLES} SELECT day, article_id, title, md5(src_body) AS body FROM a WHERE day <> DATE '2024-01-30' AND day >= DATE '2024-01-23'
         UNION ALL SELECT DATE '2024-01-30', article_id, title[1:40], md5(src_body[1:60]) FROM a WHERE article_id % 10 = 0""",
+    "ledger_after_run": f"""
+        WITH u AS ({_URLS}), p AS (SELECT page_id, {_DAY}(page_id % 30 AS INTEGER) AS day, url_norm AS link FROM u)
+        SELECT day, link, CASE WHEN day = DATE '2024-01-30' THEN 't ' || page_id ELSE ' t' || chr(9) || page_id END AS title FROM p WHERE day >= DATE '2024-01-23' AND (day < DATE '2024-01-30' OR link <> '')""",
     "reconciled_body": f"""
         WITH {_SECTIONS}, b AS (SELECT day, article_id, 1 AS t, pos FROM p WHERE section = 'body' AND article_id % 5 <> 1 UNION ALL SELECT day, article_id, 0, pos FROM p WHERE section = 'headline')
         SELECT day, article_id, row_number() OVER (PARTITION BY day ORDER BY t, pos) AS pos FROM b""",
