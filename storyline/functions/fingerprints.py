@@ -171,7 +171,8 @@ def package_names(text: Column, lexicon: Lexicon | None = None) -> Column:
         for texts in batches:
             yield texts.map(one)
 
-    return of(text)
+    # Texts without a sign have no names; they don't go to Python.
+    return F.coalesce(of(F.when(text.rlike(rf"(?iU)\b(?:{ECOSYSTEM})\b"), text)), F.array().cast("array<string>"))
 
 
 def bundle(out_title: Column, out_body: Column, src_title: Column, src_body: Column) -> Column:

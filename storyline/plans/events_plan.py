@@ -24,16 +24,20 @@ def day(c: str):
     return F.shiftright(c, ARTICLE)
 
 
-def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles as views in the order of days; an article's text also stands for the generated one."""
+def views(spark: SparkSession, sf_dir: str, generated: bool = False) -> DataFrame:
+    """Articles as views of their sources, in the order of days; with ``generated`` an article's text also stands for the generated one.
+
+    Without it, as before a report is written, rules look at titles and at what of a source they ever look at, its first BODY_CHARS characters.
+    """
     own = articles(spark, sf_dir)
     ordered = F.shiftleft(F.date_diff("day", F.lit("2024-01-01").cast("date")).cast("long"), ARTICLE).bitwiseOR(F.col("article_id"))
-    return own.select(ordered.alias("id"), F.lit("").alias("out_title"), F.col("src_body").alias("out_body"), F.col("title").alias("src_title"), "src_body")
+    body = F.col("src_body") if generated else F.lit("")
+    return own.select(ordered.alias("id"), F.lit("").alias("out_title"), body.alias("out_body"), F.col("title").alias("src_title"), "src_body")
 
 
-def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fingerprints(spark: SparkSession, sf_dir: str, generated: bool = False) -> DataFrame:
     """One view of each class of equal ones; ``view_classes`` has the members."""
-    return resolve.fingerprinted(resolve.view_classes(views(spark, sf_dir)).where("id = rep"))
+    return resolve.fingerprinted(resolve.view_classes(views(spark, sf_dir, generated)).where("id = rep"))
 
 
 def view_classes(spark, sf_dir):
@@ -120,7 +124,7 @@ def shadow_clusters(spark, sf_dir):
 
 def _across(spark, sf_dir):
     """Pairs of views a week apart at most, decided by the rules across days."""
-    own = fingerprints(spark, sf_dir)
+    own = fingerprints(spark, sf_dir, generated=True)
     pairs = resolve.candidate_pairs(own, cross_day=True).where((day("b") > day("a")) & (day("b") - day("a") <= HISTORY))
     return own, resolve.same_event(resolve.paired(pairs, own), cross_day=True)
 
@@ -153,7 +157,7 @@ def headline_repeats(spark, sf_dir):
 
 def near_misses(spark, sf_dir):
     """Headlines and articles of the week before that share an actor, code name or name, and yet aren't the same event."""
-    own = fingerprints(spark, sf_dir)
+    own = fingerprints(spark, sf_dir, generated=True)
     pairs = resolve.meeting(own.where(_headline()), own).where((day("a") < day("b")) & (day("b") - day("a") <= HISTORY))
     return resolve.near_misses(resolve.same_event(resolve.paired(pairs, own), cross_day=True)).select(article("a"), article("b"), joined(F.col("shared")).alias("shared"))
 

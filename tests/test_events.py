@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def views(spark):
-    return checkpointed(resolve.without_generic(events_plan.fingerprints(spark, SF)))
+    return checkpointed(resolve.without_generic(events_plan.fingerprints(spark, SF, generated=True)))
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_candidates_have_all_related_pairs(views, every):
 def test_titles_against_all_pairs(spark):
     from difflib import SequenceMatcher
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").select(F.col("doc_id").alias("id"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
     rows = sorted((r.id, r.title.lower()) for r in docs.collect() if r.title.strip(" "))
     first = {}
     for i, t in rows:
