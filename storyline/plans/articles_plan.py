@@ -88,7 +88,10 @@ def page_texts(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    return pg.expanded_links(pg.page_parts(table(spark, sf_dir, "pages")))
+    """Links of pages as digests: before each page's own HTML come a story, the same again, an issue of the digest and one with a short text."""
+    link = lambda to, text: F.concat(F.lit(f'<li><a href="{to}'), F.col("page_id").cast("string"), F.lit(f'">{text} '), F.col("page_id").cast("string"), F.lit("</a></li>"))
+    items = link("/story/1000", "All about story"), link("/story/1000", "Read more about it:"), link("/digest/1000", "All about issue"), link("/brief/1000", "In brief")
+    return pg.expanded_links(pg.page_parts(table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit("<ul>"), *items, F.lit("</ul>"), F.coalesce("html", F.lit(""))))))
 
 
 def page_yield(spark, sf_dir):
@@ -295,6 +298,8 @@ ORACLE_SQL = {
         k AS (SELECT *, list_sort(list_filter(q, lambda x: contains(x, '=') AND length(split_part(x, '=', 2)) > 0 AND NOT list_contains([{_q(lx.TRACKING)}], lower(split_part(x, '=', 1))))) AS kept FROM p)
         SELECT page_id, regexp_replace('https://' || domain || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, '/+$', '') AS url_norm, domain,
             CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE '#' END AS link FROM k""",
+    "page_links": """
+        SELECT page_id, 'https://' || replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') || '/story/1000' || page_id AS url, 'All about story ' || page_id AS title FROM pages""",
     "content_hashes": f"WITH {ARTICLES} SELECT article_id, md5(regexp_replace(lower(title || coalesce(lang, '')), '^\\s+|\\s+$', '', 'g')) AS content_hash FROM a",
     "word_counts": f"WITH {ARTICLES} SELECT article_id, len(regexp_extract_all(src_body, '\\S+')) AS n_words, array_to_string(regexp_extract_all(src_body, '\\S+')[1:60], ' ') AS lead FROM a",
     "full_sentences": f"""

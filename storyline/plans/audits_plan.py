@@ -37,17 +37,19 @@ def verified_duplicates(spark, sf_dir):
     return own.select("article_id", "dup_flag", "relation")
 
 
-def _alike(spark, sf_dir):
-    """Pairs of a day's scored articles that tell the same, here of one source, both ways round."""
-    own = scores(spark, sf_dir).select("day", "article_id", "source")
-    x, y = own.alias("x"), own.alias("y")
+def _alike(own):
+    """Pairs of a day's articles that tell the same, here of one source, both ways round."""
+    x, y = own.select("day", "article_id", "source").alias("x"), own.select("day", "article_id", "source").alias("y")
     met = x.join(y, (F.col("x.day") == F.col("y.day")) & (F.col("x.source") == F.col("y.source")) & (F.col("x.article_id") != F.col("y.article_id")))
     return met.select(F.col("x.article_id").alias("article_id"), F.col("y.article_id").alias("other"))
 
 
 def distinct_headlines(spark, sf_dir):
+    """Headlines of three sources, as far as the pool has them. Of the pool, only a source's first row can come in, so only those and the picks are paired."""
     picks, pool = _picks(spark, sf_dir)
-    return hd.replaced_within(picks, pool, _alike(spark, sf_dir), DAY).select("day", F.col("slot").cast("long").alias("slot"), "article_id")
+    first = pool.groupBy("day", "source").agg(F.min(F.struct("rank", "article_id")).alias("x")).select("day", "source", "x.*")
+    alike = _alike(picks.select("day", "article_id", "source").unionByName(first.select("day", "article_id", "source")))
+    return hd.replaced_within(picks, first, alike, DAY).select("day", F.col("slot").cast("long").alias("slot"), "article_id")
 
 
 def editor_categories(spark, sf_dir):

@@ -75,35 +75,33 @@ def story_chains(spark, sf_dir):
     return found.select("chain", F.size("days").cast("long").alias("n_days"), "n_nodes", F.size("entities").cast("long").alias("n_entities"), "title")
 
 
-#: The last day, whose articles are a run's, and how many days before are its history.
+#: The last day, whose articles are a run's where there is one run, and how many days before are a run's history.
 LAST, HISTORY = 29, 7
 
 
 def _history(spark, sf_dir):
-    """Related pairs of the run's views, b, with those of the days before, a."""
-    own = fingerprints(spark, sf_dir).where(day("id") >= LAST - HISTORY)
-    return own, related(own).where((day("b") == LAST) & (day("a") < LAST))
-
-
-def _run(own: DataFrame) -> DataFrame:
-    return own.where(day("id") == LAST).select("id")
+    """Related pairs of views, b, with those of the week before, a: each day is a run. Of equal views, the first is looked at."""
+    own = fingerprints(spark, sf_dir)
+    return own, related(own).where((day("b") > day("a")) & (day("b") - day("a") <= HISTORY))
 
 
 def strongest_to_history(spark, sf_dir):
-    """Of each of the run's articles that is related to history, the strongest relation."""
+    """Of each article that is related to the week before, the strongest relation."""
     return select.strongest(_history(spark, sf_dir)[1]).select(article("id").alias("article_id"), "relation")
 
 
 def relation_summary(spark, sf_dir):
+    """By day, how many articles have which strongest relation to the week before, and the first of them."""
     own, pairs = _history(spark, sf_dir)
-    told = _run(own).join(select.strongest(pairs), "id", "left").select(F.coalesce("relation", F.lit("none")).alias("relation"), article("id").alias("article_id"))
-    return rp.grouped_ids(told, [], "relation").select("relation", "n", F.array_join("first", ",").alias("first"))
+    relation = F.coalesce("relation", F.lit("none")).alias("relation")
+    told = own.select("id").join(select.strongest(pairs), "id", "left").select(day("id").cast("long").alias("day"), relation, article("id").alias("article_id"))
+    return rp.grouped_ids(told, ["day"], "relation").select("day", "relation", "n", F.array_join("first", ",").alias("first"))
 
 
 def new_across_days(spark, sf_dir):
-    """The run's articles that tell nothing that history tells the same."""
+    """Articles that tell nothing that the week before tells the same."""
     own, pairs = _history(spark, sf_dir)
-    return _run(own).join(pairs.where("relation = 'same'").select(F.col("b").alias("id")), "id", "left_anti").select(article("id").alias("article_id"))
+    return own.select("id").join(pairs.where("relation = 'same'").select(F.col("b").alias("id")), "id", "left_anti").select(article("id").alias("article_id"))
 
 
 def leak_audit(spark, sf_dir):
@@ -151,8 +149,8 @@ def _headline(c: str = "id"):
 
 
 def headline_repeats(spark, sf_dir):
-    """The run's articles that repeat a headline of the week before."""
-    return _across(spark, sf_dir)[1].where(F.col("same") & (day("b") == LAST) & _headline("a")).select(article("b").alias("article_id")).distinct()
+    """Articles that repeat a headline of the week before."""
+    return _across(spark, sf_dir)[1].where(F.col("same") & _headline("a")).select(article("b").alias("article_id")).distinct()
 
 
 def near_misses(spark, sf_dir):

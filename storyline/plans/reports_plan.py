@@ -225,10 +225,37 @@ def stream_unseen(spark, sf_dir):
     return stream.drained(stream.unseen(_events_stream(spark, sf_dir), "user_id"), _folder(spark)).select("user_id").distinct()
 
 
+def stream_weekly(spark, sf_dir):
+    """Events of seven days by source, a window from each day on."""
+    found = stream.drained(stream.funnel(_events_stream(spark, sf_dir), "7 days", "1 day"), _folder(spark), "complete")
+    return found.select(F.to_date("start").alias("day"), "source", "n", F.round("value", 4).alias("value"))
+
+
+def stream_links(spark, sf_dir):
+    """Links of the pages' stream that the ledger of the days before doesn't have, each once."""
+    own = table(spark, sf_dir, "pages")
+    pages = spark.readStream.schema(own.schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    linked = lambda t: t.select(day_of("page_id").alias("day"), day_of("page_id").cast("timestamp").alias("pub_ts"), tx.canonical_url(F.col("url")).alias("url_norm"))
+    ledger = linked(own).where("day < DATE'2024-01-16'")
+    found = stream.fresh_links(linked(pages).where("day >= DATE'2024-01-16'"), ledger)
+    return stream.drained(found.select("url_norm"), _folder(spark)).select("url_norm").distinct()
+
+
+def stream_history(spark, sf_dir):
+    """The history of reports after a stream of reported articles, each of which comes twice: by day, once, clipped, of the last seven days."""
+    own = articles(spark, sf_dir).select("day", "article_id", (F.col("article_id") * 2).alias("pos"), "title")
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    new = docs.where("doc_id % 3 > 0").select(day_of("doc_id").alias("day"), F.col("doc_id").alias("article_id"), F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).alias("pos"), title.alias("title"))
+    update = lambda history, batch: sinks.upserted_days(history, batch.where("day >= DATE'2024-01-26'"), F.lit("2024-01-30").cast("date"), 7, {"title": 40})
+    return stream.versioned(new, own, update, _folder(spark)).select("day", "article_id", "pos", "title")
+
+
 _NAMES = [
     score_totals, daily_rank, rescued_rank, critique_scope, headlines, soft_gate, numbered_report, executive_set, rank_inversions, annotation_batches, top_signals, admitted_events, source_funnel,
     elimination_funnel, clean_streak, label_confusion, report_gaps, report_violations, report_decisions, corrected_scores, content_or_source, history_upsert, ledger_after_run,
     reconciled_body, overridden_report, fresh_supply, answers_to_rows, daily_digest, stream_funnel, stream_unseen,
+    stream_weekly, stream_links, stream_history,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -326,4 +353,10 @@ ORACLE_SQL = {
         SELECT day, rank, article_id, category, total, headline_ok AND row_number() OVER (PARTITION BY day ORDER BY NOT headline_ok, rank) <= 3 AS is_headline FROM r""",
     "stream_funnel": "SELECT CAST(ts AS DATE) AS day, event_type AS source, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "stream_unseen": "SELECT DISTINCT user_id FROM events",
+    "stream_weekly": "SELECT CAST(ts AS DATE) - CAST(k AS INTEGER) AS day, event_type AS source, count(*) AS n, round(sum(value), 4) AS value FROM events, unnest(range(7)) AS u(k) WHERE ts IS NOT NULL GROUP BY ALL",
+    "stream_links": f"""
+        WITH u AS ({_URLS}) SELECT DISTINCT url_norm FROM u WHERE page_id % 30 >= 15 AND url_norm <> '' AND url_norm NOT IN (SELECT url_norm FROM u WHERE page_id % 30 < 15)""",
+    "stream_history": f"""
+        WITH {ARTICLES} SELECT day, article_id, article_id * 2 AS pos, CASE WHEN day >= DATE '2024-01-26' AND article_id % 3 > 0 THEN title[1:40] ELSE title END AS title
+        FROM a WHERE day >= DATE '2024-01-23' AND (day < DATE '2024-01-26' OR article_id % 3 > 0 OR day NOT IN (SELECT day FROM a WHERE article_id % 3 > 0))""",
 }

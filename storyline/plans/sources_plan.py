@@ -259,10 +259,9 @@ def capped_priorities(spark, sf_dir):
 def strongest_relations(spark, sf_dir):
     """Of an article's relations to earlier ones of its source, the strongest; relations follow from equal texts and languages."""
     a = articles(spark, sf_dir).select("article_id", "source", "lang", F.md5("src_body").alias("h"))
-    x, y = a.alias("x"), a.alias("y")
-    met = y.join(x, (F.col("x.h") == F.col("y.h")) & (F.col("x.article_id") < F.col("y.article_id")))
-    rel = F.when(F.col("x.source") == F.col("y.source"), "same").when(F.col("x.lang") == F.col("y.lang"), "new_development").otherwise("unrelated")
-    return select.strongest(met.select(F.col("y.article_id").alias("b"), rel.alias("relation"))).select(F.col("id").alias("article_id"), "relation")
+    # The first of equal texts stands for all before an article, so copies aren't paired with one another.
+    told = lambda c, relation: a.join(a.groupBy("h", c).agg(F.min("article_id").alias("first")), ["h", c]).where("first < article_id").select(F.col("article_id").alias("b"), F.lit(relation).alias("relation"))
+    return select.strongest(told("source", "same").unionByName(told("lang", "new_development"))).select(F.col("id").alias("article_id"), "relation")
 
 
 def placed_everywhere(spark, sf_dir):

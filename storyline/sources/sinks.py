@@ -27,6 +27,14 @@ def upserted(history: DataFrame, today: DataFrame, day: Column, keep_days: int,
     return old.unionByName(new.select(old.columns))
 
 
+def upserted_days(history: DataFrame, new: DataFrame, day: Column, keep_days: int, clip: dict[str, int]) -> DataFrame:
+    """As ``upserted`` for new rows (day, article_id, pos, …) of any days: each replaces what the history has for it, an article counts once, at its first place."""
+    first = new.groupBy("day", "article_id").agg(F.min_by(F.struct(*[c for c in history.columns if c not in ("day", "article_id")]), "pos").alias("x"))
+    rows = first.select("day", "article_id", "x.*").withColumns({c: F.substring(c, 1, n) for c, n in clip.items()})
+    both = history.join(new.select("day").distinct(), "day", "left_anti").unionByName(rows)
+    return both.where((F.col("day") <= day) & (F.col("day") >= F.date_sub(day, keep_days)))
+
+
 def appended_ledger(ledger: DataFrame, pending: DataFrame, today: Column, published: bool, keep_days: int = 7) -> DataFrame:
     """The seen-link ledger after a run: pending rows of today join it if the report was published; stale pending rows and old days go."""
     rows = pending.where((F.col("day") == today) & (F.coalesce("link", F.lit("")) != ""))

@@ -21,9 +21,15 @@ def unseen(items: DataFrame, key: str, days: int = 7) -> DataFrame:
     return items.withWatermark("pub_ts", f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
-def funnel(items: DataFrame, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """(start, source, n, value) by tumbling window."""
-    by = items.withWatermark("pub_ts", late).groupBy(F.window("pub_ts", window), "source")
+def fresh_links(items: DataFrame, ledger: DataFrame, days: int = 7) -> DataFrame:
+    """Each link once within the watermark, without those of the ledger (url_norm) and blank ones. items: (pub_ts, url_norm, …)."""
+    known = ledger.select("url_norm").distinct()
+    return unseen(items.where(F.col("url_norm") != "").join(known, "url_norm", "left_anti"), "url_norm", days)
+
+
+def funnel(items: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "7 days") -> DataFrame:
+    """(start, source, n, value) by window, tumbling or, with ``slide``, sliding."""
+    by = items.withWatermark("pub_ts", late).groupBy(F.window("pub_ts", window, slide), "source")
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "source", "n", "value")
 
 
@@ -40,6 +46,25 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def versioned(stream: DataFrame, start: DataFrame, update: Callable[[DataFrame, DataFrame], DataFrame], path: str) -> DataFrame:
+    """A state table after all that the stream has now: ``update(state, batch)`` for each micro-batch, from ``start`` on.
+
+    Each micro-batch reads the version before it and writes its own, so one that comes twice gives the same state; versions lie under ``path``,
+    a new folder.
+    """
+    spark = stream.sparkSession
+    version = lambda n: f"{path}/state={n}"
+    start.write.parquet(version(-1))
+    done = [-1]
+
+    def put(batch: DataFrame, n: int) -> None:
+        update(spark.read.schema(start.schema).parquet(version(n - 1)), batch).select(start.columns).write.mode("overwrite").parquet(version(n))
+        done.append(n)
+
+    daily(stream, put, f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(start.schema).parquet(version(max(done)))
+
+
 def written(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
