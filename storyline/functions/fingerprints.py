@@ -171,8 +171,8 @@ def package_names(text: Column, lexicon: Lexicon | None = None) -> Column:
         for texts in batches:
             yield texts.map(one)
 
-    # Texts without a sign have no names; they don't go to Python.
-    return F.coalesce(of(F.when(text.rlike(rf"(?iU)\b(?:{ECOSYSTEM})\b"), text)), F.array().cast("array<string>"))
+    # Texts without a sign have no names; they don't go to Python. Letters of all cases are made small ones here, as by far most texts have no sign.
+    return F.coalesce(of(F.when(F.lower(F.upper(F.translate(text, "İ", "i"))).rlike(f"(?:{ECOSYSTEM})"), text)), F.array().cast("array<string>"))
 
 
 def bundle(out_title: Column, out_body: Column, src_title: Column, src_body: Column) -> Column:

@@ -21,7 +21,8 @@ def view_classes(views: DataFrame) -> DataFrame:
     filled = views.select("id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in VIEW])
     key = F.xxhash64(*[F.md5(c) for c in VIEW])
     keyed = filled.withColumn("_key", key)
-    return keyed.join(keyed.groupBy("_key").agg(F.min("id").alias("rep")), "_key").select("id", "rep", *VIEW)
+    # Dealt by key, also where one side is small: fingerprints are much work for few bytes, which else stays in the few tasks that read a small table.
+    return keyed.join(keyed.groupBy("_key").agg(F.min("id").alias("rep")).hint("shuffle_hash"), "_key").select("id", "rep", *VIEW)
 
 
 def fingerprinted(views: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:

@@ -142,3 +142,10 @@ def test_similar_sets_and_titles_miss_nothing(spark):
         if t.strip():
             first.setdefault(t, i)
     assert found == {(i, j) for p, i in first.items() for q, j in first.items() if i < j and SequenceMatcher(None, q, p).ratio() >= 0.72}
+
+
+def test_signs_of_packages_in_any_case(spark):
+    rows = [(1, "NPM module left-pad", ["left-pad", "module"]), (2, "PİP has foo-bar", ["foo-bar"]), (3, "PYPI: foo-bar", ["foo-bar"]), (4, "xnpmx foo-bar", []), (5, None, []), (6, "", []), (7, "maven " + "x " * 60 + "far-away", [])]
+    df = spark.createDataFrame(rows, "id long, t string, want array<string>")
+    for r in df.select("id", fp.package_names(F.col("t")).alias("got"), "want").collect():
+        assert r.got == r.want, r.id
