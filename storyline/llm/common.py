@@ -110,7 +110,7 @@ def _mark(df: DataFrame) -> tuple:
 
 def arrow_rows(rows: Iterator[tuple], ddl: str, most: int = 4000, weight: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of rows, of at most ``most`` rows and about ``weight`` bytes. ``ddl`` as in Spark, of the types below."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "doubles": pa.list_(pa.float64()), "ints": pa.list_(pa.int32())}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
     held: list[tuple] = []
     size = 0

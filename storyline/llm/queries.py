@@ -15,6 +15,7 @@ from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import packed_pieces
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_zip": op2_warc_zip,
@@ -75,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding": op8_embedding,
     "op9_weak_labels": op9_weak_labels,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
 }
 
