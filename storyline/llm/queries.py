@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import pii, quality_rules, secret_scan, warc_zip, weak_labels
 from .common import words
 from .embedding import near_vectors
+from .language import with_languages
 from .mixing import Mix, mixed
 from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import packed_pieces
@@ -70,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_zip": op2_warc_zip,
@@ -82,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_labels": op9_weak_labels,
     "op10_secrets": op10_secrets,
     "op11_whitening": op11_whitening,
+    "op12_language_id": op12_language_id,
 }
 
