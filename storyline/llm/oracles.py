@@ -100,4 +100,24 @@ e AS (SELECT doc_id, 3 AS k, 'entropy' AS kind, a + min(i) - 1 AS a, a + max(i)
 v AS (SELECT * FROM base UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = e.doc_id AND base.a <= e.a AND base.b >= e.b))
 {_digest(secret_scan.BASE, "v")}"""
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_warc_zip": WARC, "op5_substring": SUBSTRING, "op7_pii": PII, "op10_secrets": SECRETS}
+# CRC-32 of an id's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END)), 4294967295)"""
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, len(regexp_extract_all(coalesce(text, ''), '{W}')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS i FROM t),
+c AS (SELECT conv_id, {_CRC} % 4 AS h, conv_id - conv_id % 20 AS lender FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, o.i, o.d, o.w FROM c JOIN o ON o.conv_id = c.lender AND o.i <= c.h UNION ALL SELECT c.conv_id, 1, o.i, o.d, o.w FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+s AS (SELECT conv_id, list(d ORDER BY own, i) AS ds, list(w ORDER BY own, i) AS ws FROM r GROUP BY conv_id),
+a AS (SELECT c.conv_id, coalesce(ds, []) AS ds, coalesce(ws, []) AS ws FROM c LEFT JOIN s USING (conv_id)),
+x AS (SELECT conv_id, depth, array_to_string(ds[1:depth], '') AS k, CASE WHEN depth > 0 THEN array_to_string(ds[1:depth-1], '') END AS up, CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END AS w, len(ds) = depth AS ends
+    FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS depth FROM a)),
+n AS (SELECT depth, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(w) AS saves, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM x GROUP BY depth, k),
+u AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN u USING (depth, k)),
+b AS (SELECT m.depth, m.k, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum(y.saves) AS BIGINT) AS saved_tokens FROM m JOIN m y ON y.depth >= m.depth AND starts_with(y.k, m.k) GROUP BY m.depth, m.k)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN b USING (depth, k) LEFT JOIN n q ON q.depth = m.depth - 1 AND q.k = m.up"""
+
+ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_warc_zip": WARC, "op5_substring": SUBSTRING, "op7_pii": PII, "op10_secrets": SECRETS, "op13_prefix_trie": TRIE}

@@ -14,6 +14,7 @@ from .language import with_languages
 from .mixing import Mix, mixed
 from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import packed_pieces
+from .prefix_trie import prefix_trie
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .whitening import whitened
@@ -75,6 +76,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_languages(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_zip": op2_warc_zip,
@@ -88,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_whitening": op11_whitening,
     "op12_language_id": op12_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in result.description]
@@ -26,4 +26,4 @@ def test_all_are_registered():
     import __spark_entry__
 
     have = __spark_entry__.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in have) for n in range(1, 11)) and "pipeline" in have
+    assert all(any(q.startswith(f"op{n}_") for q in have) for n in range(1, 14)) and "pipeline" in have
