@@ -56,21 +56,6 @@ def keywords(text: Column, limit: int | None = None, lexicon: Lexicon | None = N
     return stems if limit is None else F.slice(stems, 1, limit)
 
 
-def title_words(title: Column) -> Column:
-    """Distinct five-letter stems of the title's words of four letters and digits and more, by which similar titles are found."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0))
-    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 5)))
-
-
-def counted_letters(title: Column) -> Column:
-    """Each character of a short title with how many of it came before, so that sets of them overlap as the letters do."""
-
-    def each(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
-
-    return F.element_at(F.transform(F.array(F.filter(F.split(title, ""), lambda c: c != "")), each), 1)
-
-
 def title_stems(title: Column) -> Column:
     """Distinct five-letter stems of the title's words of five letters and more."""
     low = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"\S+"), F.lit(0))

@@ -115,10 +115,23 @@ def floor_of(fresh: Column) -> Column:
     return F.greatest(F.lit(4), F.least(F.lit(10), F.coalesce(F.bround(0.45 * fresh).cast("int"), F.lit(10))))
 
 
-def json_object(text: Column) -> Column:
-    """The JSON object in an answer: without thinking blocks and fences, from the first brace to the last; null if that doesn't parse."""
-    bare = F.regexp_replace(text, "(?s)<think>.*?</think>|```(?:json)?", "")
-    return F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
+def json_value(text: Column) -> Column:
+    """The JSON value of an answer, as a variant: the whole text if it parses, else what a fence holds, else the first braces that are balanced.
+
+    Thinking blocks are taken out first. Braces within strings count as braces. Null if nothing parses; an object that repeats a key doesn't.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, "(?s)<think>.*?</think>", ""), r"^\s+|\s+$", "")
+    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    rest = F.substring(bare, F.instr(bare, "{"), F.length(bare))
+    # Each piece up to a closing brace: how many are open after it, and where it ends; nothing more is added once none is.
+    step = lambda acc, x: F.when(acc["open"] == 0, acc).otherwise(
+        F.struct((acc["open"] + F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) - 1).alias("open"), (acc["end"] + F.length(x) + 1).alias("end"))
+    )
+    pieces = F.split(rest, r"\}", -1)
+    first = F.struct((F.length(F.get(pieces, F.lit(0))) - F.length(F.replace(F.get(pieces, F.lit(0)), F.lit("{"), F.lit(""))) - 1).alias("open"), (F.length(F.get(pieces, F.lit(0))) + 1).alias("end"))
+    walked = F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 2)), first, step)
+    balanced = F.when((F.instr(bare, "{") > 0) & (walked["open"] == 0), F.substring(rest, F.lit(1), walked["end"]))
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(fenced), F.try_parse_json(balanced))
 
 
 def casual_past(text: Column, allowed: list[str]) -> Column:

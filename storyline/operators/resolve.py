@@ -9,7 +9,8 @@ from ..functions import fingerprints as fp
 from ..functions import lexicon as lx
 from ..functions.lexicon import Lexicon
 from .base import checkpointed
-from .pairs import set_classes, sharing_pairs, similar_sets, similar_titles, title_classes
+from .pairs import set_classes, sharing_pairs, similar_sets
+from .titles import similar_titles, title_classes
 
 #: Columns of a view.
 VIEW = ["out_title", "out_body", "src_title", "src_body"]

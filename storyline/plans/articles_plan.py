@@ -12,7 +12,8 @@ from ..functions import predicates as pr
 from ..operators import select
 from ..operators.base import checkpointed
 from ..operators.runfilter import run_filter
-from ..operators.pairs import set_classes, similar_sets, similar_titles
+from ..operators.pairs import set_classes, similar_sets
+from ..operators.titles import similar_titles
 from ..sources import pages as pg
 from .tables import ARTICLES, articles, joined, table
 

@@ -185,15 +185,26 @@ def fresh_supply(spark, sf_dir):
     return own.withColumn("least", tx.floor_of(F.col("fresh")).cast("long"))
 
 
+#: Articles that one question asks for.
+BATCH = 12
+
+
 def answers_to_rows(spark, sf_dir):
-    """Annotators' answers in three shapes, one a day, back to a row for each article."""
-    own = raw_scores(spark, sf_dir).select("day", "article_id", F.struct(F.col("category").alias("kat")).alias("v"))
-    shape = F.dayofmonth("day") % 3
-    named = own.where(shape < 2).groupBy("day").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("article_id").cast("string"), "v")))).alias("t"))
-    text = F.when(F.dayofmonth("day") % 3 == 0, F.col("t")).otherwise(F.concat(F.lit('<think>{"9":1}</think>```json\n{"articles": '), F.col("t"), F.lit("}\n```")))
-    listed = own.where(shape == 2).groupBy("day").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("article_id").alias("id"), F.col("v.kat").alias("kat"))).alias("rows"))).alias("text"))
-    raw = named.select(F.col("day").alias("batch"), text.alias("text")).unionByName(listed.select(F.col("day").alias("batch"), "text"))
-    return feeds.answers(raw, ["id", "article_id"]).select(F.col("batch").alias("day"), "article_id", F.get_json_object("value", "$.kat").alias("category"))
+    """Annotators' answers in the shapes that were seen, and two that can't be used, back to a row for each article.
+
+    By batch in turn: a map; the map in a list; a list of maps of one id; contents without ids, in order; a fenced wrapper after a thinking block; contents
+    with ids; contents without ids, one of them missing; a map that breaks off.
+    """
+    own = raw_scores(spark, sf_dir).select(F.floor(F.col("article_id") / BATCH).alias("batch"), "article_id", "seq", F.col("source").alias("tr_title"), F.col("category").alias("kat"))
+    content = F.struct("tr_title", "kat")
+    x = own.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("seq", "article_id", content.alias("v")))).alias("x"))  # BATCH rows at most
+    entry = lambda r: F.struct(r["article_id"].cast("string").alias("key"), r["v"].alias("value"))
+    map_, each = F.to_json(F.map_from_entries(F.transform("x", entry))), F.to_json(F.transform("x", lambda r: F.map_from_entries(F.array(entry(r)))))
+    bare, named = F.transform("x", lambda r: r["v"]), F.to_json(F.transform("x", lambda r: F.struct(r["article_id"].alias("id"), r["v"]["tr_title"].alias("tr_title"), r["v"]["kat"].alias("kat"))))
+    fenced = F.concat(F.lit('<think>{"9": {"kat": "no"}}</think>Here it is:\n```json\n{"summaries": '), map_, F.lit("}\n```\nDone."))
+    shapes = [map_, F.concat(F.lit("["), map_, F.lit("]")), each, F.to_json(bare), fenced, named, F.to_json(F.slice(bare, F.lit(2), F.size("x"))), F.substring(map_, F.lit(1), F.length(map_) - 1)]
+    text = F.coalesce(*[F.when(F.col("batch") % len(shapes) == k, v) for k, v in enumerate(shapes)])
+    return feeds.answers(x.select("batch", text.alias("text")), asked=own.select("batch", "article_id", "seq")).select("batch", "article_id", F.get_json_object("value", "$.kat").alias("category"))
 
 
 def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +357,7 @@ ORACLE_SQL = {
     "fresh_supply": f"""
         WITH {SCORES}, f AS (SELECT day, count(*) FILTER ({_OK}) AS fresh, count(*) FILTER (dup_flag) AS dups FROM s GROUP BY day)
         SELECT day, fresh, dups, CAST(greatest(4, least(10, round_even(0.45 * fresh, 0))) AS BIGINT) AS least FROM f""",
-    "answers_to_rows": f"WITH {SCORES} SELECT day, article_id, category FROM s",
+    "answers_to_rows": f"WITH {SCORES} SELECT article_id // {BATCH} AS batch, article_id, category FROM s WHERE article_id // {BATCH} % 8 < 6",
     "daily_digest": f"""
         WITH {SCORES}, {ARTICLES}, f AS (SELECT min(article_id) AS article_id FROM a GROUP BY regexp_replace(lower(title || src_body), '^\\s+|\\s+$', '', 'g')),
         r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {ORDER}) AS rank FROM s WHERE {_OK} AND total > 0 AND article_id IN (SELECT article_id FROM f))

@@ -11,7 +11,7 @@ from ..operators import ranking as rk
 from ..operators import report as rp
 from ..operators import select
 from ..sources import feeds, histories, sinks
-from .tables import ARTICLES, FIRST_DAY, articles, day_of, joined, table
+from .tables import ARTICLES, FIRST_DAY, SCORES, articles, day_of, joined, table
 
 TODAY = "2024-01-30"
 NEWSLETTER = ["newsletter", "weekly", "digest", "page-1"]
@@ -206,9 +206,12 @@ def flagged_ids(spark, sf_dir):
 
 
 def unusable_answers(spark, sf_dir):
-    """Answers that gave no row, by their outer shape."""
-    n = F.col("article_id")
-    text = F.when(n % 4 == 0, F.concat(F.lit('{"'), n.cast("string"), F.lit('": {"kat": "x"}}'))).when(n % 4 == 1, "[1, 2]").when(n % 4 == 2, '"sorry"').otherwise("no json")
+    """Answers that gave no row, by their outer shape: of each article a map, its lines' lengths, its title, no JSON, a map without ids, or a list of such."""
+    n, title = F.col("article_id"), F.col("title")
+    named = F.to_json(F.map_from_entries(F.array(F.struct(F.col("source").alias("k"), n.alias("v")), F.struct(F.coalesce("lang", F.lit("none")).alias("k"), n.alias("v")))))
+    lengths = F.to_json(F.transform(F.slice(F.split("src_body", "\n", -1), 1, 5), lambda x: F.length(x)))
+    good = F.concat(F.lit('{"'), n.cast("string"), F.lit('": '), F.to_json(F.struct(title.alias("tr_title"))), F.lit("}"))
+    text = F.coalesce(*[F.when(n % 6 == k, v) for k, v in enumerate([good, lengths, F.concat(F.lit('"'), F.regexp_replace(title, r"[^\p{L} ]", ""), F.lit('"')), F.concat(F.lit("Sorry: "), title), named, F.concat(F.lit("["), named, F.lit("]"))])])
     return feeds.unusable(articles(spark, sf_dir).select(n.alias("batch"), text.alias("text")))
 
 
@@ -216,7 +219,7 @@ def term_signals(spark, sf_dir):
     """Which articles speak of a term, blame a state, and are vulnerabilities by category or title."""
     body, title = F.col("src_body"), F.col("title")
     terms = {"terms": ["wanes"], "countries": ["the", "der"], "links": ["tion"], "actors": ["heren"]}
-    blamed = pr.attributed(F.substring(body, 1, 4000), **terms)
+    blamed = pr.attributed(body, **terms)
     category = F.when(F.col("article_id") % 3 == 0, "zafiyet_rutin").when(F.col("article_id") % 3 == 1, "phishing")
     vulnerable = pr.vulnerability(category, F.col("article_id") % 7 == 0, title, ["tion"], ["zafiyet_rutin"])
     return articles(spark, sf_dir).select("article_id", pr.any_of(body, ["tion", "ouer", "[x]"]).alias("has_term"), blamed.alias("is_blamed"), vulnerable.alias("is_vulnerability"))
@@ -337,10 +340,13 @@ ORACLE_SQL = {
     "commentary_stripped": """
         SELECT doc_id AS article_id, 'Fact one. Fact two.' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' It remains open.' END AS body, 'That is notable.' AS rest FROM documents""",
     "flagged_ids": f"WITH {ARTICLES} SELECT day, article_id FROM a",
-    "unusable_answers": "SELECT CASE doc_id % 4 WHEN 1 THEN 'none' WHEN 2 THEN 'none' ELSE 'none' END AS shape, count(*) AS n FROM documents WHERE doc_id % 4 > 0 GROUP BY ALL",
+    "unusable_answers": f"""
+        WITH {ARTICLES}, k AS (SELECT *, CASE WHEN source < coalesce(lang, 'none') THEN source || ',' || coalesce(lang, 'none') ELSE coalesce(lang, 'none') || ',' || source END AS names FROM a WHERE article_id % 6 > 0)
+        SELECT CASE article_id % 6 WHEN 1 THEN 'array ' || least(5, len(string_split(src_body, chr(10)))) || ' of number' WHEN 2 THEN 'string' WHEN 3 THEN 'none' WHEN 4 THEN 'object ' || names ELSE 'array 1 of object ' || names END AS shape, count(*) AS n
+        FROM k GROUP BY ALL""",
     "term_signals": f"""
         WITH {ARTICLES} SELECT article_id, regexp_matches(lower(src_body), 'tion|ouer|\\[x\\]') AS has_term,
-            contains(lower(src_body[1:4000]), 'wanes') OR regexp_matches(src_body[1:4000], '(?is)(the|der).{{0,60}}(tion|heren)|(tion|heren).{{0,60}}(the|der)') AS is_blamed,
+            contains(lower(src_body), 'wanes') OR regexp_matches(src_body, '(?is)(the|der).{{0,60}}(tion|heren)|(tion|heren).{{0,60}}(the|der)') AS is_blamed,
             article_id % 7 > 0 AND CASE article_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE regexp_matches(title, '(?i)\\bCVE-[0-9]{{4}}-[0-9]{{4,7}}\\b') OR contains(lower(title), 'tion') END AS is_vulnerability FROM a""",
     "early_evidence": f"WITH {ARTICLES} SELECT article_id, regexp_matches(lower(array_to_string({_W.format('src_body')}[1:60], ' ')), 'tion|ouer') AS has_evidence FROM a",
     "newsletters": "SELECT page_id, regexp_matches(lower(url), 'newsletter|weekly|digest|page-1') AS is_newsletter FROM pages",
@@ -348,11 +354,10 @@ ORACLE_SQL = {
         WITH {ARTICLES}, n AS (SELECT *, len({_W.format('src_body')}) AS ns, len({_W.format('title')}) AS nt, src_body[1:300] AS new, len({_W.format('src_body[1:300]')}) AS nn FROM a)
         SELECT article_id, CASE WHEN ns > 80 AND (nt < 50 OR len(list_filter({_W.format('title')}[1:30], lambda w: regexp_matches(w, '^[A-Za-z]+$'))) > 15) THEN 'regenerate' ELSE 'remove' END AS action,
             nn >= greatest(15.0, 0.55 * ns) AS accepted, md5(CASE WHEN nn > nt THEN new ELSE title END) AS longer FROM n""",
-    "capped_priorities": "",
+    "capped_priorities": f"WITH {SCORES} SELECT article_id, CASE WHEN article_id % 2 = 0 THEN priority ELSE least(4, priority) END AS priority FROM s",
     "strongest_relations": f"""
         WITH {ARTICLES}, h AS (SELECT article_id, source, lang, md5(src_body) AS h FROM a), p AS (SELECT y.article_id, CASE WHEN x.source = y.source THEN 0 WHEN x.lang = y.lang THEN 1 END AS r FROM h y JOIN h x ON x.h = y.h AND x.article_id < y.article_id)
         SELECT article_id, CASE min(r) WHEN 0 THEN 'same' ELSE 'new_development' END AS relation FROM p WHERE r IS NOT NULL GROUP BY article_id""",
     "placed_everywhere": f"""
         WITH {ARTICLES} SELECT day, article_id, row_number() OVER (PARTITION BY day ORDER BY article_id % 2 = 1 OR article_id % 10 = 0, article_id) AS pos FROM a""",
 }
-del ORACLE_SQL["capped_priorities"]

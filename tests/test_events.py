@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from storyline.operators import resolve, stories
 from storyline.operators.base import checkpointed
-from storyline.operators.pairs import similar_titles
 from storyline.plans import events_plan
 
 SF = "/root/testdata/sf0.001"
@@ -38,26 +37,6 @@ def test_candidates_have_all_related_pairs(views, every):
     assert found(resolve.paired(resolve.related_candidates(views.drop("generic")), views)) == want and want
 
 
-def test_titles_against_all_pairs(spark):
-    from difflib import SequenceMatcher
-
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").select(F.col("doc_id").alias("id"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
-    rows = sorted((r.id, r.title.lower()) for r in docs.collect() if r.title.strip(" "))
-    first = {}
-    for i, t in rows:
-        first.setdefault(t, i)
-    want = set()
-    own = sorted((i, t) for t, i in first.items() if len(t) <= 2000)
-    for (i, t), (j, u) in combinations(own, 2):
-        if 2 * min(len(t), len(u)) >= 0.62 * (len(t) + len(u)):
-            m = SequenceMatcher(None, u, t)
-            if m.real_quick_ratio() >= 0.62 and m.quick_ratio() >= 0.62 and m.ratio() >= 0.62:
-                want.add((i, j))
-    got = {(r.a, r.b) for r in similar_titles(docs, 0.62).collect()}
-    short = {i for i, _ in own}
-    assert {p for p in got if set(p) <= short} == want
-
-
 def walk(ids, links, most=3):
     """The ledger as its definition reads."""
     events, out = [], {}

@@ -9,6 +9,7 @@ from storyline.functions import fingerprints as fp
 from storyline.functions import text as tx
 from storyline.operators import pairs, resolve, stories
 from storyline.operators.base import components, first_wins
+from storyline.operators.titles import similar_titles
 
 
 def one(spark, column, **values):
@@ -52,7 +53,7 @@ def test_text_rules(spark):
     assert one(spark, tx.clamped(F.col("t"), 40), t="12.5") == 12 and one(spark, tx.clamped(F.col("t"), 40), t="x") == 0 and one(spark, tx.clamped(F.col("t"), 40), t="99") == 40
     assert tuple(one(spark, tx.corrected_year(F.col("o"), F.col("s")), o="In 2019 it", s="since 2021")) == ("In 2021 it", "replaced")
     assert one(spark, tx.shortened_title(F.col("t"), ["yönelik", "olarak"], 3), t="a yönelik b olarak c") == "a b c"
-    assert one(spark, tx.json_object(F.col("t")).cast("string"), t='<think>{"a":2}</think>```json\n{"a": 1}\n```') == '{"a":1}'
+    assert one(spark, tx.json_value(F.col("t")).cast("string"), t='<think>{"a":2}</think>```json\n{"a": 1}\n```') == '{"a":1}'
 
 
 @pytest.mark.parametrize(
@@ -136,7 +137,7 @@ def test_similar_sets_and_titles_miss_nothing(spark):
     from difflib import SequenceMatcher
 
     titles = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(3, 30)))) for i in range(120)]
-    found = {(r.a, r.b) for r in pairs.similar_titles(spark.createDataFrame(titles, "id long, title string"), 0.72).collect()}
+    found = {(r.a, r.b) for r in similar_titles(spark.createDataFrame(titles, "id long, title string"), 0.72).collect()}
     first = {}
     for i, t in titles:
         if t.strip():

@@ -28,10 +28,45 @@ def test_failed_sources(spark):
     assert [r.source for r in feeds.failed_sources(df, F.lit("2024-01-01").cast("timestamp"), ["RSS hatası"]).collect()] == ["Src A"]
 
 
-def test_answers(spark):
-    raw = ['{"1": {"a": "x"}, "2": "y"}', '{"articles": {"3": {"a": 1}}}', '{"rows": [{"id": 4, "a": 1}, {"id": 5}]}', "no json", '```json\n{"w": {"v": {"6": 1}}}\n```']
-    df = spark.createDataFrame(list(enumerate(raw)), "batch int, text string")
-    assert sorted(r.article_id for r in feeds.answers(df, ["id"]).collect()) == [1, 2, 3, 4, 5, 6]
+SHAPES = [
+    ('{"1": {"tr_title": "x"}, "2": {"paragraph": "y"}}', {1: '{"tr_title":"x"}', 2: '{"paragraph":"y"}'}),
+    ('{"3": {"tr_title": "only"}}', {3: '{"tr_title":"only"}'}),
+    ('[{"72": {"tr_title": "a"}, "29": {"tr_title": "b"}}]', {72: '{"tr_title":"a"}', 29: '{"tr_title":"b"}'}),
+    ('[{"8": {"tr_title": "a"}}, {"13": {"tr_title": "b"}}, 5, "x", null]', {8: '{"tr_title":"a"}', 13: '{"tr_title":"b"}'}),
+    ('[{"tr_title": "a", "paragraph": null}, {"paragraph": "b"}]', {"asked": ['{"paragraph":null,"tr_title":"a"}', '{"paragraph":"b"}']}),
+    ('{"items": [{"tr_title": "a"}, {"tr_title": "b"}]}', {"asked": ['{"tr_title":"a"}', '{"tr_title":"b"}']}),
+    ('[{"tr_title": "a"}]', {}),
+    ('[{"tr_title": "a"}, {"id": 2, "tr_title": "b"}]', {2: '{"id":2,"tr_title":"b"}'}),
+    ('{"summaries": {"3": {"tr_title": "x"}}}', {3: '{"tr_title":"x"}'}),
+    ('{"a": {"b": {"c": [{"d": {"e": {"4": {"paragraph": "deep"}}}}]}}}', {4: '{"paragraph":"deep"}'}),
+    ('[{"id": 3, "tr_title": "x"}, {"ID": "4", "v": 1}, {"Id": "no"}]', {3: '{"id":3,"tr_title":"x"}', 4: '{"ID":"4","v":1}'}),
+    ('[{"5": {"tr_title": "first"}}, {"5": {"tr_title": "last"}}]', {5: '{"tr_title":"last"}'}),
+    ('<think>{"9": {"tr_title": "no"}}</think> {"1": {"tr_title": "{x}"}} and {"2": {"tr_title": "no"}}', {1: '{"tr_title":"{x}"}'}),
+    ('Well:\n```json\n{"6": {"tr_title": "f"}}\n``` }', {6: '{"tr_title":"f"}'}),
+    ('{"7": {"tr_title": "cut"', {}),
+    ("no json", {}), ("", {}), (None, {}), ("[]", {}), ("{}", {}), ("null", {}), ("[1, 2]", {}), ('"sorry"', {}), ('{"note": "x", "n": 3}', {}), ("} {", {}),
+]
+
+
+def test_answers_of_any_shape(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SHAPES)], "batch int, text string").repartition(3)
+    asked = spark.createDataFrame([(k, i, s) for k in range(len(SHAPES)) for s, i in enumerate((900 + k, 100 + k))], "batch int, article_id long, seq int")
+    rows = feeds.answers(df, asked).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.batch, {})[r.article_id] = r.value
+    for k, (text, want) in enumerate(SHAPES):
+        assert got.get(k, {}) == (dict(zip((900 + k, 100 + k), want["asked"], strict=True)) if "asked" in want else want), text
+    assert len(rows) == sum(len(x) for x in got.values())
+    assert {r.batch for r in feeds.answers(df).collect()} == {k for k in got if "asked" not in SHAPES[k][1]}
+    assert feeds.answers(df.where("false"), asked).count() == 0
+    shapes = {r["shape"]: r.n for r in feeds.unusable(df, asked).collect()}
+    assert shapes == {"array 1 of object tr_title": 1, "none": 5, "array 0": 1, "object": 1, "null": 1, "array 2 of number": 1, "string": 1, "object n,note": 1}
+
+
+def test_answers_by_other_fields(spark):
+    df = spark.createDataFrame([(0, '{"articles": {"3": {"a": 1}}}'), (1, '{"rows": [{"key": 4, "a": 1}, {"key": 5}]}')], "batch int, text string")
+    assert sorted(r.article_id for r in feeds.answers(df, ids=("key",), content=("a",)).collect()) == [3, 4, 5]
 
 
 def test_pages(spark):
