@@ -58,18 +58,26 @@ def fingerprinted(views: DataFrame, lexicon: Lexicon | None = None) -> DataFrame
     return checkpointed(out)
 
 
-def generic_names(views: DataFrame) -> DataFrame:
+def _every_name(fields: tuple[str, ...]) -> Column:
+    return F.array_distinct(F.flatten(F.array(*[F.col(f"{f}.{k}") for f in fields for k in ("certain", "candidate")])))
+
+
+def generic_names(views: DataFrame, fields: tuple[str, ...] = ("body_names",)) -> DataFrame:
     """(name, df): names in over GENERIC_SHARE of the views; none if the views are fewer than LEAST_CORPUS. views: fingerprinted."""
-    each = views.select("id", F.explode(F.array_union("body_names.certain", "body_names.candidate")).alias("name")).distinct()
+    each = views.select("id", F.explode(_every_name(fields)).alias("name"))
     total = views.agg(F.count("*").alias("n"))
     return each.groupBy("name").agg(F.count("*").alias("df")).join(F.broadcast(total)).where(f"n >= {lx.LEAST_CORPUS} AND df > {lx.GENERIC_SHARE} * n").select("name", "df")
 
 
+def _without(views: DataFrame, names: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    each = views.select("id", F.explode(_every_name(fields)).alias("name"))
+    held = each.join(names.select("name"), "name").groupBy("id").agg(F.collect_set("name").alias("generic"))
+    return views.join(held, "id", "left").withColumn("generic", F.coalesce("generic", F.array().cast("array<string>")))
+
+
 def without_generic(views: DataFrame) -> DataFrame:
     """``views`` with ``generic``: those of their names that are generic. Ids of events are made of the other ones. views: fingerprinted."""
-    each = views.select("id", F.explode(F.array_union(F.array_union("body_names.certain", "body_names.candidate"), F.array_union("lead_names.certain", "lead_names.candidate"))).alias("name"))
-    held = each.join(generic_names(views).select("name"), "name").groupBy("id").agg(F.collect_set("name").alias("generic"))
-    return views.join(held, "id", "left").withColumn("generic", F.coalesce("generic", F.array().cast("array<string>")))
+    return _without(views, generic_names(views), ("body_names", "lead_names"))
 
 
 def event_ids(codes: Column, actors: Column, packages: Column, names: Column) -> Column:
@@ -86,32 +94,50 @@ def _sharing_names(views: DataFrame, field: str) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
+KINDS = ["body", "blob", "lead"]
+
+
 def topic_pairs(views: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: pairs of which one of the three keyword sets overlaps by ``least``. Exact."""
-    out = None
-    for kind in ("body", "blob", "lead"):
-        classes = checkpointed(set_classes(views.select("id", F.col(f"keys.{kind}").alias("tokens"))))
-        pairs = similar_sets(classes, least).select("a", "b").unionByName(classes.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        x, y = classes.select(F.col("rep").alias("a"), F.col("id").alias("i")), classes.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-        each = pairs.join(x, "a").join(y, "b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-        out = each if out is None else out.unionByName(each)
-    return out.distinct()
-
-
-def candidate_pairs(views: DataFrame, cross_day: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of which one of the three keyword sets overlaps by ``least``. Exact.
+
+    Equal sets are looked at once, whichever views have them and as which of the three: often a view's own are equal. Only sets of one kind are compared.
+    """
+    each = views.select("id", F.explode(F.array(*[F.struct(F.lit(1 << k).alias("kind"), F.array_sort(F.array_distinct(f"keys.{c}")).alias("tokens")) for k, c in enumerate(KINDS)])).alias("x"))
+    held = checkpointed(each.select("id", "x.*").where(F.size("tokens") > 0).withColumn("h", F.xxhash64("tokens")))
+    reps = held.groupBy("h", "tokens").agg(F.min(F.col("id") * len(KINDS) + F.length(F.bin("kind")) - 1).alias("rep"), F.bit_or("kind").alias("kinds"))
+    reps = checkpointed(reps.select("h", "tokens", "rep", "kinds"))
+    pairs = similar_sets(reps.select(F.col("rep").alias("id"), "rep", "tokens", "kinds"), least, "kinds").select("a", "b")
+    pairs = checkpointed(pairs.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"))))
+    members = checkpointed(held.join(reps.select("h", "tokens", "rep"), ["h", "tokens"]).select("id", "rep", "kind"))
+    x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("i"), "kind"), members.select(F.col("rep").alias("b"), F.col("id").alias("j"), F.col("kind").alias("_kind"))
+    met = pairs.join(x, "a").join(y, "b").where("i <> j AND kind = _kind")
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def _of_runs(views: DataFrame, run: Column) -> DataFrame:
+    """``views`` whose tokens all say of which run they are, so that views of different runs have none in common."""
+    own = lambda a: F.transform(a, lambda x: F.concat_ws(":", run.cast("string"), x))
+    sets = F.struct(*[F.transform(f"keys.{k}", lambda x: F.xxhash64(run, x)).alias(k) for k in KINDS])
+    names = F.struct(own("names.certain").alias("certain"), own("names.candidate").alias("candidate"))
+    return checkpointed(views.select("id", "head", *[own(c).alias(c) for c in ("codes", "actors", "packages")], sets.alias("keys"), names.alias("names"), run.alias("run")))
+
+
+def candidate_pairs(views: DataFrame, cross_day: bool = False, run: Column | None = None) -> DataFrame:
     """(a, b), a < b: all pairs that a rule of ``same_event`` can accept. views: fingerprinted, one of each class.
 
-    Pairs share a typed id or a name, or have a topic of TOPIC_ALONE, or similar titles. A name that over GENERIC_SHARE of the views hold needs a topic
+    Pairs share a typed id or a name, or have a topic of TOPIC_ALONE, or similar titles; similar titles are searched whatever their length. A name that over GENERIC_SHARE of the views hold needs a topic
     of TOPIC_ENTITY beside it, so its pairs are searched among pairs of that topic and not by the name, whose pairs grow with the square of the views.
+    With ``run``, only pairs of views of one run are searched, all runs at once.
     """
-    own = without_generic(views)
+    views = views.withColumn("run", F.lit(0)) if run is None else _of_runs(views, run)
+    own = _without(views, generic_names(views, ("names",)), ("names",)) if run is not None else without_generic(views)
     out = _typed_pairs(views).unionByName(_sharing_names(_rare(own, "names"), "names")).unionByName(topic_pairs(views, lx.TOPIC_ALONE))
     held = checkpointed(own.where(F.size(F.array_intersect("generic", F.array_union("names.certain", "names.candidate"))) > 0))
     near = topic_pairs(held, lx.TOPIC_ENTITY)
     names = lambda k, n: held.select(F.col("id").alias(k), F.array_union("names.certain", "names.candidate").alias(n))
     out = out.unionByName(near.join(names("a", "p"), "a").join(names("b", "q"), "b").where(F.arrays_overlap("p", "q")).select("a", "b"))
-    named = checkpointed(title_classes(views.select("id", F.col("head").alias("title"))))
-    alike = similar_titles(named.select("id", "title"), lx.TITLE_XDAY if cross_day else lx.TITLE_SAME_RUN).select("a", "b")
+    named = checkpointed(title_classes(views.select("id", F.col("head").alias("title"), "run"), ("run",)))
+    alike = similar_titles(named.select("id", "title", "run"), lx.TITLE_XDAY if cross_day else lx.TITLE_SAME_RUN, ("run",)).select("a", "b")
     alike = alike.unionByName(named.where("id = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
     x, y = named.select(F.col("rep").alias("a"), F.col("id").alias("i")), named.select(F.col("rep").alias("b"), F.col("id").alias("j"))
     return out.unionByName(alike.join(x, "a").join(y, "b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))).distinct()

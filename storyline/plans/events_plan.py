@@ -44,13 +44,22 @@ def view_classes(spark, sf_dir):
     return resolve.view_classes(views(spark, sf_dir)).select(article("id").alias("article_id"), article("rep").alias("representative"))
 
 
-def _decided(spark, sf_dir):
-    own = fingerprints(spark, sf_dir)
-    return resolve.same_event(resolve.paired(resolve.candidate_pairs(own), own))
+def _decided(own: DataFrame, run=None) -> DataFrame:
+    found = resolve.same_event(resolve.paired(resolve.candidate_pairs(own, run=run), own))
+    return found.where("same").select(article("a"), article("b"), "rule", F.round("topic", 6).alias("topic"))
 
 
 def same_events(spark, sf_dir):
-    return _decided(spark, sf_dir).where("same").select(article("a"), article("b"), "rule", F.round("topic", 6).alias("topic"))
+    """Pairs of a day's articles that tell of the same event, by the whole cascade of rules: the article's whole text stands for the generated one.
+
+    Each day is a run, as these rules are for the articles of one; ``entity_matches`` and ``repeat_scan`` have the rules across days.
+    """
+    return _decided(fingerprints(spark, sf_dir, generated=True), day("id"))
+
+
+def same_source_events(spark, sf_dir):
+    """Pairs of all articles, as before a report is written: no generated text, so neither names nor the topics of bodies count."""
+    return _decided(fingerprints(spark, sf_dir))
 
 
 def related(own: DataFrame) -> DataFrame:
@@ -197,7 +206,7 @@ def chain_matches(spark, sf_dir):
 
 
 _NAMES = [
-    view_classes, same_events, event_relations, event_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan,
+    view_classes, same_events, same_source_events, event_relations, event_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan,
     headline_repeats, near_misses, event_history, ledger_matches, chain_matches,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}

@@ -31,6 +31,14 @@ def test_candidates_have_all_pairs_of_the_same_event(views, every, cross_day):
     assert cross_day or {"title", "topic"} <= {r for _, _, r in want}
 
 
+def test_candidates_of_runs(views, every):
+    """Of days as runs: the pairs of one day that any rule accepts, no more and no fewer."""
+    day = lambda c: F.shiftright(c, events_plan.ARTICLE) % 4
+    found = lambda pairs: {(r.a, r.b, r.rule) for r in resolve.same_event(pairs).where("same").select("a", "b", "rule").collect()}
+    want = found(every.where(day("a") == day("b")))
+    assert found(resolve.paired(resolve.candidate_pairs(views.drop("generic"), run=day("id")), views)) == want and len({r for _, _, r in want}) > 1
+
+
 def test_candidates_have_all_related_pairs(views, every):
     found = lambda pairs: {(r.a, r.b, r.relation, tuple(r.shared)) for r in resolve.relation(pairs).where("relation <> 'unrelated'").select("a", "b", "relation", "shared").collect()}
     want = found(every)
