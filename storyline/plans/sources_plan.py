@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints as fp
+from ..functions import lexicon as lx
 from ..functions import predicates as pr
 from ..functions import text as tx
 from ..operators import ranking as rk
@@ -283,6 +284,7 @@ QUERIES = {f.__name__: f for f in _NAMES}
 
 _DAY = f"DATE '{FIRST_DAY}' + CAST"
 _PAGE_DAY = f"{_DAY}(page_id % 30 AS INTEGER)"
+_FILL = ", ".join(f"'{w}'" for w in lx.BULLETIN_FILL)
 _W = "regexp_extract_all({}, '\\S+')"
 _LINES = f"""
     l AS (SELECT page_id, CASE WHEN page_id % 13 > 0 THEN {_PAGE_DAY} END AS day, url AS link, 't' || CASE WHEN page_id % 3 = 0 THEN chr(9) ELSE ' ' END || page_id AS title,
@@ -354,6 +356,9 @@ ORACLE_SQL = {
         WITH {ARTICLES}, n AS (SELECT *, len({_W.format('src_body')}) AS ns, len({_W.format('title')}) AS nt, src_body[1:300] AS new, len({_W.format('src_body[1:300]')}) AS nn FROM a)
         SELECT article_id, CASE WHEN ns > 80 AND (nt < 50 OR len(list_filter({_W.format('title')}[1:30], lambda w: regexp_matches(w, '^[A-Za-z]+$'))) > 15) THEN 'regenerate' ELSE 'remove' END AS action,
             nn >= greatest(15.0, 0.55 * ns) AS accepted, md5(CASE WHEN nn > nt THEN new ELSE title END) AS longer FROM n""",
+    "bulletin_products": f"""
+        WITH {ARTICLES}, t AS (SELECT article_id, regexp_extract_all(lower('les ' || regexp_replace(title, '[()]', '', 'g')), '[0-9a-zà-ÿ]+') AS t FROM a)
+        SELECT article_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(t, lambda w: length(w) >= 3 AND NOT list_contains([{_FILL}], w)), lambda w: w[1:5]))), ',') AS product FROM t""",
     "capped_priorities": f"WITH {SCORES} SELECT article_id, CASE WHEN article_id % 2 = 0 THEN priority ELSE least(4, priority) END AS priority FROM s",
     "strongest_relations": f"""
         WITH {ARTICLES}, h AS (SELECT article_id, source, lang, md5(src_body) AS h FROM a), p AS (SELECT y.article_id, CASE WHEN x.source = y.source THEN 0 WHEN x.lang = y.lang THEN 1 END AS r FROM h y JOIN h x ON x.h = y.h AND x.article_id < y.article_id)
