@@ -244,8 +244,8 @@ def rerouted(spark, sf_dir):
 
 
 def package_mentions(spark, sf_dir):
-    """Words near a sign of a package ecosystem; the sign is put before every third article."""
-    text = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("The npm package "), F.substring("src_body", 1, 60))).otherwise(F.col("src_body"))
+    """Words near a sign of a package ecosystem, in whole texts; the sign is put before every third article."""
+    text = F.when(F.col("article_id") % 3 == 0, F.concat(F.lit("The npm package "), "src_body")).otherwise(F.col("src_body"))
     return articles(spark, sf_dir).select("article_id", joined(fp.package_names(text)).alias("packages"))
 
 
