@@ -173,14 +173,18 @@ def daily_briefs(spark, sf_dir):
     return pr.brief(articles(spark, sf_dir).select("day", F.col("seq").alias("pos"), "title"), ["day"], "Today: ")
 
 
-def filtered(spark, sf_dir):
-    """(article_id, accepted, level) of the last week's articles, run against all before; ids of history come first. A source's copies share a link."""
+def _run_items(spark, sf_dir):
+    """Articles as items of the run filter, the last week's against all before; ids of history come first. A source's copies share a link."""
     own = articles(spark, sf_dir).withColumn("in_history", F.col("day") < F.lit("2024-01-24").cast("date"))
-    items = own.select(
+    return own.select(
         F.when(F.col("in_history"), F.col("article_id")).otherwise(F.col("article_id") + (1 << 40)).alias("id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.md5("src_body")).alias("url"),
-        tx.content_hash(F.col("title"), F.col("lang")).alias("content_hash"), "title", "in_history",
+        tx.content_hash(F.col("title"), F.col("lang")).alias("content_hash"), "title", "in_history", "source", (tx.word_count(F.col("src_body")) > 0).alias("has_text"),
     )
-    return run_filter(items).select((F.col("id") - (1 << 40)).alias("article_id"), "accepted", F.col("level").cast("long").alias("level"))
+
+
+def filtered(spark, sf_dir):
+    """(article_id, accepted, level) of the last week's articles, run against all before."""
+    return run_filter(_run_items(spark, sf_dir)).select((F.col("id") - (1 << 40)).alias("article_id"), "accepted", F.col("level").cast("long").alias("level"))
 
 
 def run_filter_levels(spark, sf_dir):
@@ -195,7 +199,20 @@ def dedup_counts(spark, sf_dir):
     return own.groupBy("source").pivot("level", ["link", "hash", "title", "stems", "code"]).count().na.fill(0)
 
 
+def isolated_loss(spark, sf_dir):
+    """By source, each a run of its own: articles, those of the week, those of them with a text, and what of these the run filter accepts and drops by level."""
+    items = _run_items(spark, sf_dir)
+    counts = items.groupBy("source").agg(F.count("*").alias("n_raw"), F.count_if(~F.col("in_history")).alias("n_window"), F.count_if(~F.col("in_history") & F.col("has_text")).alias("n_text"))
+    asked = items.where("in_history OR has_text")
+    run = asked.where("NOT in_history").select("id", "source").join(run_filter(asked, ("source",)), "id")
+    dropped = [F.count_if(F.col("level") == k).alias(f"n_{name}") for k, name in enumerate(("link", "hash", "title", "stems", "code"), 1)]
+    loss = run.groupBy("source").agg(F.count_if("accepted").alias("n_pool"), *dropped).withColumnRenamed("source", "_s")
+    joined_ = counts.join(loss, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return joined_.na.fill(0, [c for c in joined_.columns if c.startswith("n_")])
+
+
 QUERIES = {
+    "isolated_loss": isolated_loss,
     "run_filter_levels": run_filter_levels,
     "dedup_counts": dedup_counts,
     "title_classes": title_classes,

@@ -129,3 +129,21 @@ def test_run_filter_equals_a_walk(spark):
         assert got[r[0]] == (not levels, min(levels, default=None)), r
         if not levels:
             taken.append(r)
+
+
+def test_runs_of_the_filter_are_isolated(spark):
+    """Runs settled together give what each gives by itself, a run without a key included."""
+    import random
+
+    rng = random.Random(21)
+    names = ["Ransomware hits hospital chain in Ohio", "Hospital chain in Ohio hit by ransomware", "LONGLEASH malware found", "New wave of LONGLEASH attacks", "Router flaw patched today", "Router flaw patched", ""]
+    rows = [(i, rng.choice(["", None, "u1", f"v{i}"]), f"h{rng.randint(0, 9)}", rng.choice([*names, None]), i < 15, rng.choice(["a", "b", None])) for i in range(60)]
+    items = frame(spark, rows, "id long, url string, content_hash string, title string, in_history boolean, source string")
+    value = lambda df: {r.id: (r.accepted, r.level) for r in df.collect()}
+    alone = {}
+    for k in ("a", "b", None):
+        alone |= value(run_filter(items.where(F.col("source").eqNullSafe(F.lit(k)))))
+    together = value(run_filter(items, ("source",)))
+    assert together == alone
+    assert len(together) == 45 and together != value(run_filter(items))
+    assert run_filter(items.limit(0), ("source",)).count() == 0
