@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def run_key(by: Sequence[str]) -> Column:
+    """Text that names a run by its ``by`` columns, nulls included; empty without any."""
+    return F.to_json(F.struct(*by)) if by else F.lit("")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected ``edges`` (a, b); root is the component's smallest node. Labels jump to their label's label in each round."""
     both = checkpointed(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
