@@ -176,27 +176,34 @@ def shortened_titles(spark, sf_dir):
 
 
 def corrected_years(spark, sf_dir):
-    """Years of a generated text against those of its source."""
-    n = F.col("article_id")
-    out = F.concat(F.lit("In 2019 and 2021, "), n.cast("string"))
-    src = F.concat(F.lit("It was "), F.when(n % 3 == 0, "2021").when(n % 3 == 1, "2020 and 2022").otherwise("long ago"))
-    return articles(spark, sf_dir).select("article_id", tx.corrected_year(out, src).alias("x")).select("article_id", "x.text", "x.action")
+    """Years of a generated text, on when an order's lines were sent, against those of its source, on when it was ordered and due."""
+    sent = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    rows = table(spark, sf_dir, "orders").join(sent, F.col("o_orderkey") == F.col("l_orderkey"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    out = F.concat(F.lit("Sent from "), day("first"), F.lit(" to "), day("last"))
+    src = F.concat(F.lit("Ordered on "), day("o_orderdate"), F.lit(", due on "), day(F.date_add("o_orderdate", 120)))
+    return rows.select("o_orderkey", tx.corrected_year(out, src).alias("x")).select("o_orderkey", "x.text", "x.action")
 
 
 def clean_pages(spark, sf_dir):
-    """Pages into which marks of fences and bold leaked, outside of style blocks."""
-    page = F.concat(F.lit("**a** ```html <style>**b**</style> "), F.col("page_id").cast("string"), F.lit("**"))
-    return table(spark, sf_dir, "pages").select("page_id", pr.without_markup(page).alias("page"))
+    """Whole pages, fenced, with bold marks around their paragraphs and in their style blocks, where they stay."""
+    html = F.coalesce("html", F.lit(""))
+    marked = F.replace(F.replace(F.replace(html, F.lit("<p>"), F.lit("<p>**")), F.lit("</p>"), F.lit("**</p>")), F.lit("<style>"), F.lit("<style>/**x**/"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(pr.without_markup(F.concat(F.lit("```html\n"), marked, F.lit("\n```")))).alias("page"))
 
 
 def social_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", pr.social_text(F.concat(F.lit("<b>"), F.coalesce("text", F.lit("")), F.lit("</b> see https://x.y/z #tag"))).alias("text"))
 
 
+#: Words that stand for evaluative ones in the tables' texts.
+_COMMENT = ["the", "and", "of", "in", "on", "er", "de", "der", "die", "und", "la", "el", "en", "que"]
+
+
 def commentary_stripped(spark, sf_dir):
-    """Generated bodies without the last sentences that only comment."""
-    body = F.concat(F.lit("Fact one. Fact two. "), F.when(F.col("article_id") % 2 == 0, "This is worrying. It remains important.").otherwise("It remains open."), F.when(F.col("article_id") % 5 == 0, "").otherwise(" That is notable."))
-    return articles(spark, sf_dir).select("article_id", tx.without_commentary(body, ["important", "worrying", "notable"]).alias("body"), tx.without_commentary(F.lit("That is notable."), ["notable"]).alias("rest"))
+    """Whole texts without the last sentences that only comment."""
+    body = tx.without_commentary(F.col("src_body"), _COMMENT)
+    return articles(spark, sf_dir).select("article_id", F.md5(body).alias("body"), (F.length("src_body") - F.length(body)).cast("long").alias("n_cut"))
 
 
 def flagged_ids(spark, sf_dir):
@@ -335,12 +342,21 @@ ORACLE_SQL = {
         t2 AS (SELECT article_id, CASE WHEN len({_W.format('t')}) > 8 THEN trim(regexp_replace(replace(t, ' de ', ' '), ' +', ' ', 'g')) ELSE t END AS t FROM t1)
         SELECT article_id, CASE WHEN len({_W.format('t')}) > 8 THEN trim(regexp_replace(replace(t, ' der ', ' '), ' +', ' ', 'g')) ELSE t END AS title FROM t2""",
     "corrected_years": """
-        SELECT doc_id AS article_id, CASE WHEN doc_id % 3 = 0 THEN 'In 2021 and 2021, ' ELSE 'In 2019 and 2021, ' END || doc_id AS text, CASE doc_id % 3 WHEN 0 THEN 'replaced' WHEN 1 THEN 'flagged' ELSE 'ok' END AS action FROM documents""",
-    "clean_pages": "SELECT page_id, 'a  <style>**b**</style> ' || page_id AS page FROM pages",
+        WITH l AS (SELECT l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS s, strftime(max(l_shipdate), '%Y-%m-%d') AS r FROM lineitem GROUP BY l_orderkey),
+        x AS (SELECT o_orderkey, s, r, CAST(year(o_orderdate) AS VARCHAR) AS p, CAST(year(o_orderdate + INTERVAL 120 DAY) AS VARCHAR) AS q FROM orders JOIN l ON l_orderkey = o_orderkey),
+        y AS (SELECT *, s[1:4] NOT IN (p, q) AS so, r[1:4] NOT IN (p, q) AS ro FROM x)
+        SELECT o_orderkey, 'Sent from ' || CASE WHEN so AND p = q THEN p || s[5:] ELSE s END || ' to ' || CASE WHEN ro AND p = q THEN p || r[5:] ELSE r END AS text,
+            CASE WHEN NOT so AND NOT ro THEN 'ok' WHEN p = q THEN 'replaced' ELSE 'flagged' END AS action FROM y""",
+    "clean_pages": r"""
+        WITH m AS (SELECT page_id, string_split('```html' || chr(10) || replace(replace(replace(coalesce(html, ''), '<p>', '<p>**'), '</p>', '**</p>'), '<style>', '<style>/**x**/') || chr(10) || '```', '<style') AS x FROM pages)
+        SELECT page_id, md5(regexp_replace(x[1], '```\w*|\*\*', '', 'g') || array_to_string(list_transform(x[2:], lambda s: '<style' || CASE WHEN contains(s, '</style>')
+            THEN s[:strpos(s, '</style>') + 7] || regexp_replace(s[strpos(s, '</style>') + 8:], '```\w*|\*\*', '', 'g') ELSE s END), '')) AS page FROM m""",
     "social_texts": r"""
         SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('<b>' || coalesce(text, '') || '</b> see https://x.y/z #tag', '<[^>]+>', ' ', 'g'), 'https?://\S+', ' ', 'g'), '#\S+', ' ', 'g'), '\s+', ' ', 'g'))[1:200] AS text FROM conversations""",
-    "commentary_stripped": """
-        SELECT doc_id AS article_id, 'Fact one. Fact two.' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' It remains open.' END AS body, 'That is notable.' AS rest FROM documents""",
+    "commentary_stripped": rf"""
+        WITH {ARTICLES}, b AS (SELECT article_id, src_body, regexp_replace(src_body, '(^|[.!?…])(?:\s*(?:[^.!?…]*[^.!?…\p{{L}}\p{{M}}\p{{N}}_])?(?i:{"|".join(_COMMENT)})[.!?…]+\s*)+$', '\1') AS bare FROM a),
+        c AS (SELECT *, CASE WHEN trim(bare) = '' THEN src_body ELSE regexp_replace(bare, '\s+$', '') END AS body FROM b)
+        SELECT article_id, md5(body) AS body, length(src_body) - length(body) AS n_cut FROM c""",
     "flagged_ids": f"WITH {ARTICLES} SELECT day, article_id FROM a",
     "unusable_answers": f"""
         WITH {ARTICLES}, k AS (SELECT *, CASE WHEN source < coalesce(lang, 'none') THEN source || ',' || coalesce(lang, 'none') ELSE coalesce(lang, 'none') || ',' || source END AS names FROM a WHERE article_id % 6 > 0)
