@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ranking as rk
-from ..operators.base import shared_dir
+from ..operators.base import checkpointed, shared_dir
 from ..operators import report as rp
 from ..sources import feeds, sinks
 from ..streaming import stream
@@ -242,6 +242,17 @@ def stream_weekly(spark, sf_dir):
     return found.select(F.to_date("start").alias("day"), "source", "n", F.round("value", 4).alias("value"))
 
 
+def stream_late(spark, sf_dir):
+    """Events of users as sources, split into those in their source's window and late ones: users whose purchases are errors of the last five days have the wide one."""
+    own = _events_stream(spark, sf_dir).select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), "pub_ts")
+    now = F.lit(NOW).cast("timestamp")
+    line = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm"), F.lit(" | "), F.upper("event_type"), F.lit(" - u"), F.col("user_id").cast("string"), F.lit(": late"))
+    failed = feeds.failed_sources(table(spark, sf_dir, "events").select(line.alias("value")), F.lit("2024-01-20 00:00:00").cast("timestamp"), ["PURCHASE"])
+    reports = articles(spark, sf_dir).where("day <= DATE'2024-01-23'").select("day")
+    hours = checkpointed(stream.window_hours(failed, ["u1", "u2"], reports, now))
+    return stream.split_late(own, lambda n: hours, lambda n: now, _folder(spark)).select("event_id", "source", "late")
+
+
 def stream_links(spark, sf_dir):
     """Links of the pages' stream that the ledger of the days before doesn't have, each once."""
     own = table(spark, sf_dir, "pages")
@@ -266,7 +277,7 @@ _NAMES = [
     score_totals, daily_rank, rescued_rank, critique_scope, headlines, soft_gate, numbered_report, executive_set, rank_inversions, annotation_batches, top_signals, admitted_events, source_funnel,
     elimination_funnel, clean_streak, label_confusion, report_gaps, report_violations, report_decisions, corrected_scores, content_or_source, history_upsert, ledger_after_run,
     reconciled_body, overridden_report, fresh_supply, answers_to_rows, daily_digest, stream_funnel, stream_unseen,
-    stream_weekly, stream_links, stream_history,
+    stream_weekly, stream_late, stream_links, stream_history,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -367,6 +378,9 @@ ORACLE_SQL = {
     "stream_weekly": "SELECT CAST(ts AS DATE) - CAST(k AS INTEGER) AS day, event_type AS source, count(*) AS n, round(sum(value), 4) AS value FROM events, unnest(range(7)) AS u(k) WHERE ts IS NOT NULL GROUP BY ALL",
     "stream_links": f"""
         WITH u AS ({_URLS}) SELECT DISTINCT url_norm FROM u WHERE page_id % 30 >= 15 AND url_norm <> '' AND url_norm NOT IN (SELECT url_norm FROM u WHERE page_id % 30 < 15)""",
+    "stream_late": f"""
+        WITH f AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND date_trunc('minute', ts) >= TIMESTAMP '2024-01-20 00:00:00' UNION SELECT unnest([1, 2]))
+        SELECT event_id, 'u' || user_id AS source, coalesce(ts < TIMESTAMP '{NOW}' - CASE WHEN user_id IN (SELECT user_id FROM f) THEN INTERVAL 168 HOUR ELSE INTERVAL 96 HOUR END, false) AS late FROM events""",
     "stream_history": f"""
         WITH {ARTICLES} SELECT day, article_id, article_id * 2 AS pos, CASE WHEN day >= DATE '2024-01-26' AND article_id % 3 > 0 THEN title[1:40] ELSE title END AS title
         FROM a WHERE day >= DATE '2024-01-23' AND (day < DATE '2024-01-26' OR article_id % 3 > 0 OR day NOT IN (SELECT day FROM a WHERE article_id % 3 > 0))""",

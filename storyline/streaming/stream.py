@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def admitted(items: DataFrame, hours: DataFrame, now: str, base: int = 96) -> DataFrame:
@@ -16,6 +17,42 @@ def admitted(items: DataFrame, hours: DataFrame, now: str, base: int = 96) -> Da
     return joined.where(F.col("pub_ts").isNull() | (F.col("pub_ts") >= least)).drop("hours")
 
 
+def window_hours(failed: DataFrame, slow: list[str], reports: DataFrame, now: Column, base: int = 96, wide: int = 168) -> DataFrame:
+    """(source, hours): the wide window for sources that failed lately or are slow; the row without a source is for all others.
+
+    Those have the base window, or the wide one if the last report before today is about that old: a day less or more. Without any report no time has
+    been lost. failed: (source); reports: (day).
+    """
+    listed = failed.select("source").unionByName(failed.sparkSession.createDataFrame([(s,) for s in slow], "source string"))
+    named = listed.where("source IS NOT NULL").distinct().select("source", F.lit(wide).alias("hours"))
+    gap = F.date_diff(F.to_date(now), F.max("day"))
+    rest = reports.where(F.col("day") < F.to_date(now)).agg(F.when(gap >= base // 24 - 1, wide).otherwise(base).alias("hours"))
+    return named.unionByName(rest.select(F.lit(None).cast("string").alias("source"), "hours"))
+
+
+def judged(items: DataFrame, hours: DataFrame, now: Column) -> DataFrame:
+    """Items with ``late``: whether they are older than their source's hours, of ``window_hours``. Items without a time aren't late."""
+    rest = hours.where("source IS NULL").agg(F.max("hours").alias("_rest"))
+    named = hours.where("source IS NOT NULL").select("source", F.col("hours").alias("_hours"))
+    least = now - F.make_dt_interval(F.lit(0), F.coalesce("_hours", "_rest"))
+    return items.join(named, "source", "left").join(F.broadcast(rest)).withColumn("late", F.coalesce(F.col("pub_ts") < least, F.lit(False))).drop("_hours", "_rest")
+
+
+def split_late(stream: DataFrame, hours: Callable[[int], DataFrame], now: Callable[[int], Column], path: str) -> DataFrame:
+    """All items that the stream has now, with ``late``: one table under ``path``, partitioned by it, of which the admitted and the rejected are two sides.
+
+    stream: (source, pub_ts, …). ``hours`` and ``now`` are asked for each micro-batch, so what they read may change while the stream runs. A micro-batch
+    writes both sides in one pass and replaces its own folder, so one that comes twice leaves each item on one side, once. Called again with
+    the same ``path`` it goes on where it stopped or was killed.
+    """
+    spark = stream.sparkSession
+    schema = StructType([*stream.schema.fields, StructField("late", BooleanType())])
+    put_in = lambda rows, n: rows.select(schema.names).write.mode("overwrite").partitionBy("late").parquet(f"{path}/out/batch={n}")
+    put_in(spark.createDataFrame([], schema), -1)
+    daily(stream, lambda batch, n: put_in(judged(batch, hours(n), now(n)), n), f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out").select(schema.names)
+
+
 def unseen(items: DataFrame, key: str, days: int = 7) -> DataFrame:
     """Each key once within the watermark; state older than that goes."""
     return items.withWatermark("pub_ts", f"{days} days").dropDuplicatesWithinWatermark([key])

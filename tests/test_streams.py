@@ -51,3 +51,46 @@ def test_sliding_windows_count_an_item_in_each(spark, files, tmp_path):
     items = files.select(F.col("day").cast("timestamp").alias("pub_ts"), F.lit("s").alias("source"), F.lit(1.5).alias("value"))
     got = stream.drained(stream.funnel(items, "2 days", "1 day"), str(tmp_path / "out"), "complete")
     assert {(r.start, r.n, r.value) for r in got.collect()} == {(datetime(2023, 12, 31), 4, 6.0), (datetime(2024, 1, 1), 6, 9.0), (datetime(2024, 1, 2), 2, 3.0)}
+
+
+def test_hours_by_failures_slow_sources_and_the_gap_of_reports(spark):
+    now = F.lit("2024-01-10 06:00:00").cast("timestamp")
+    failed = spark.createDataFrame([("f",), ("f",), (None,)], "source string")
+    value = lambda *days: {r.source: r.hours for r in stream.window_hours(failed, ["s"], spark.createDataFrame([(d,) for d in days], "day date"), now).collect()}
+    assert value(date(2024, 1, 8), date(2024, 1, 10), None) == {"f": 168, "s": 168, None: 96}
+    assert value(date(2024, 1, 7), date(2024, 1, 12)) == {"f": 168, "s": 168, None: 168}
+    assert value() == {"f": 168, "s": 168, None: 96}
+
+
+def test_late_items_keep_their_side_after_a_killed_run(spark, tmp_path):
+    """Three files, one a micro-batch; the hours change with the second, at which the first run dies."""
+    schema = "id long, source string, pub_ts timestamp"
+    hour = lambda h: None if h is None else datetime.fromtimestamp(1_700_000_000 - 3600 * h)
+    for k in range(3):
+        rows = [(10 * k + i, s, hour(h)) for i, (s, h) in enumerate([("x", 1), ("x", 100), ("y", 100), (None, 100), ("x", None), ("y", 200)])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    now = lambda n: F.lit(1_700_000_000).cast("timestamp")
+    table = lambda *rows: spark.createDataFrame(list(rows), "source string, hours int")
+    wide, dead = table(("y", 168), (None, 96)), []
+
+    def hours(n):
+        if n == 1 and not dead:
+            dead.append(n)
+            raise RuntimeError("killed")
+        return wide if n == 0 else table((None, 168))
+
+    with pytest.raises(Exception, match="killed"):
+        stream.split_late(items, hours, now, str(tmp_path / "out"))
+    for _ in range(2):  # The second time there is nothing left to do.
+        found = {r.id: r.late for r in stream.split_late(items, hours, now, str(tmp_path / "out")).collect()}
+    assert len(found) == 18 == stream.split_late(items, hours, now, str(tmp_path / "out")).count()
+    # One file each: in the first batch x and unnamed sources have 96 hours, y 168; later all have 168.
+    late = sorted(tuple(i % 10 for i in sorted(found) if i // 10 == k and found[i]) for k in range(3))
+    assert late == [(1, 3, 5), (5,), (5,)]
+
+
+def test_no_files_split_to_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    none = spark.readStream.schema("id long, source string, pub_ts timestamp").parquet(str(tmp_path / "in"))
+    assert stream.split_late(none, lambda n: None, lambda n: None, str(tmp_path / "out")).count() == 0
