@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ..functions import fingerprints as fp
 from ..functions import lexicon as lx
 from ..operators import report as rp
 from ..operators import resolve, select, stories
-from ..operators.base import checkpointed
-from .tables import ARTICLES, articles, joined
+from ..operators.base import checkpointed, shared_dir
+from ..streaming import stream
+from .tables import ARTICLES, articles, joined, table
 
 #: Bits of an ordered id that name the article; those above count days.
 ARTICLE = 40
@@ -77,6 +80,20 @@ def event_ledger(spark, sf_dir):
     return stories.event_ledger(own.select("id"), related(own).select("a", "b", "relation")).select(article("id").alias("article_id"), article("event").alias("event"))
 
 
+def stream_ledger(spark, sf_dir):
+    """The ledger of events kept by a stream of articles: each micro-batch against itself and three views of each event before it."""
+    pairs = checkpointed(related(fingerprints(spark, sf_dir)).select("a", "b", "relation"))
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    ordered = F.shiftleft((F.col("doc_id") % 30).cast("long"), ARTICLE).bitwiseOR(F.col("doc_id")).alias("id")
+
+    def relate(batch: DataFrame, known: DataFrame) -> DataFrame:
+        old = batch.select("id").unionByName(known.select("id")).distinct()
+        return pairs.join(batch.select(F.col("id").alias("b")), "b", "left_semi").join(old.select(F.col("id").alias("a")), "a", "left_semi")
+
+    found = stream.ledgered(docs.select(ordered), relate, f"{shared_dir(spark)}/ledger-{uuid4().hex}")
+    return found.select(article("id").alias("article_id"), article("event").alias("event"))
+
+
 def story_chains(spark, sf_dir):
     """Chains of articles that share two names of their stories and more, on three days and more."""
     nodes = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "day", "title", fp.story_entities(F.lit(""), F.col("src_body")).alias("entities"))
@@ -206,7 +223,7 @@ def chain_matches(spark, sf_dir):
 
 
 _NAMES = [
-    view_classes, same_events, same_source_events, event_relations, event_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan,
+    view_classes, same_events, same_source_events, event_relations, event_ledger, stream_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan,
     headline_repeats, near_misses, event_history, ledger_matches, chain_matches,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..operators.stories import event_ledger, event_representatives
+
 
 def admitted(items: DataFrame, hours: DataFrame, now: str, base: int = 96) -> DataFrame:
     """Items within their source's hours before ``now``; of sources that aren't listed, ``base`` hours. Items without a time pass."""
@@ -102,6 +104,33 @@ def versioned(stream: DataFrame, start: DataFrame, update: Callable[[DataFrame,
     return spark.read.schema(start.schema).parquet(version(max(done)))
 
 
+def ledgered(views: DataFrame, relate: Callable[[DataFrame, DataFrame], DataFrame], path: str, representatives: int = 3) -> DataFrame:
+    """(id, event) of all views that the stream has now, as ``event_ledger`` of all of them gives, however the stream is cut.
+
+    views: (id, …), streamed in the order of ids: none of a micro-batch is before one of an earlier. ``relate(batch, known)`` gives (a, b, relation), b of the
+    batch, a of the batch or of known (id, event), the representatives of earlier events; a relation of two views mustn't depend on others. A
+    micro-batch reads the representatives of the version before it and writes its own views' events and the next version, so one that comes twice
+    has no effect; views that are in the ledger already are passed over. Called again with the same ``path`` it goes on where it stopped or was killed.
+    """
+    spark = views.sparkSession
+    form, kept = "id long, event long", "event long, pos int, id long"
+    version = lambda n: f"{path}/representatives={n}"
+    ledger = lambda: spark.read.schema(f"{form}, batch long").parquet(f"{path}/ledger")
+    spark.createDataFrame([], kept).write.mode("overwrite").parquet(version(-1))
+    spark.createDataFrame([], form).write.mode("overwrite").parquet(f"{path}/ledger/batch=-1")
+
+    def put(batch: DataFrame, n: int) -> None:
+        known = spark.read.schema(kept).parquet(version(n - 1)).select("id", "event")
+        new = batch.join(ledger().where(F.col("batch") < n).select("id"), "id", "left_anti").dropDuplicates(["id"])
+        out = f"{path}/ledger/batch={n}"
+        event_ledger(new.select("id"), relate(new, known), representatives, known).select("id", "event").write.mode("overwrite").parquet(out)
+        told = known.unionByName(spark.read.schema(form).parquet(out))
+        event_representatives(told, representatives).write.mode("overwrite").parquet(version(n))
+
+    daily(views, put, f"{path}/checkpoint").awaitTermination()
+    return ledger().select("id", "event")
+
+
 def written(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

@@ -1,10 +1,13 @@
 """Streams over small files, one a micro-batch: states by version, links against a ledger, sliding windows."""
 
+import random
 from datetime import date, datetime
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
+from storyline.operators.stories import event_ledger
 from storyline.sources import sinks
 from storyline.streaming import stream
 
@@ -94,3 +97,40 @@ def test_no_files_split_to_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     none = spark.readStream.schema("id long, source string, pub_ts timestamp").parquet(str(tmp_path / "in"))
     assert stream.split_late(none, lambda n: None, lambda n: None, str(tmp_path / "out")).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [[0, 60], [0, 7, 8, 30, 60], [0, 25, 50, 60]])
+def test_a_ledger_is_the_same_however_the_stream_is_cut(spark, tmp_path, cuts):
+    """Each file a micro-batch, the last one twice; the second micro-batch, or its repetition, dies once."""
+    rng = random.Random(17)
+    rel = {(a, b): rng.choice(["same", "new_development", "same_actor_other_event"]) for b in range(1, 60) for a in rng.sample(range(b), min(b, 2))}
+    relations = spark.createDataFrame([(a, b, r) for (a, b), r in rel.items()], "a long, b long, relation string")
+    want = {r.id: r.event for r in event_ledger(spark.range(60), relations).collect()}
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    views = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    seen = []
+
+    def relate(batch, known):
+        seen.append(1)
+        if len(seen) == 2:
+            raise RuntimeError("killed")
+        old = batch.select("id").unionByName(known.select("id"))
+        return relations.join(batch.select(F.col("id").alias("b")), "b", "left_semi").join(old.select(F.col("id").alias("a")), "a", "left_semi")
+
+    put = lambda x, y: spark.range(x, y).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        try:
+            return stream.ledgered(views, relate, out)
+        except Exception as e:
+            assert "killed" in str(e)
+            return stream.ledgered(views, relate, out)
+
+    for x, y in pairwise(cuts):
+        # One file at a time, as files of one run come in no sure order.
+        put(x, y)
+        assert {r.id: r.event for r in run().collect()} == {i: e for i, e in want.items() if i < y}
+    put(cuts[-2], cuts[-1])
+    rows = run().collect()
+    assert len(rows) == 60 and {r.id: r.event for r in rows} == want and len(set(want.values())) < 60
