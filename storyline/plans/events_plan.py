@@ -81,8 +81,9 @@ def event_ledger(spark, sf_dir):
 
 
 def stream_ledger(spark, sf_dir):
-    """The ledger of events kept by a stream of articles: each micro-batch against itself and three views of each event before it."""
-    pairs = checkpointed(related(fingerprints(spark, sf_dir)).select("a", "b", "relation"))
+    """The ledger of events kept by a stream of articles, of equal ones the first: each micro-batch against itself and three views of each event before it."""
+    own = fingerprints(spark, sf_dir)
+    pairs, ids = checkpointed(related(own).select("a", "b", "relation")), checkpointed(own.select("id"))
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     ordered = F.shiftleft((F.col("doc_id") % 30).cast("long"), ARTICLE).bitwiseOR(F.col("doc_id")).alias("id")
 
@@ -90,7 +91,7 @@ def stream_ledger(spark, sf_dir):
         old = batch.select("id").unionByName(known.select("id")).distinct()
         return pairs.join(batch.select(F.col("id").alias("b")), "b", "left_semi").join(old.select(F.col("id").alias("a")), "a", "left_semi")
 
-    found = stream.ledgered(docs.select(ordered), relate, f"{shared_dir(spark)}/ledger-{uuid4().hex}")
+    found = stream.ledgered(docs.select(ordered).join(ids, "id", "left_semi"), relate, f"{shared_dir(spark)}/ledger-{uuid4().hex}")
     return found.select(article("id").alias("article_id"), article("event").alias("event"))
 
 

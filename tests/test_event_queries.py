@@ -92,3 +92,11 @@ def test_event_history(spark, given):
         want[e & MASK] = (",".join(sorted({str(i >> ep.ARTICLE) for i in own})), len(heads), max(heads, default=None))
     got = {r.event: (r.days, r.n_headline_days, r.last_headline) for r in ep.event_history(spark, "").collect()}
     assert got == want and any(n for _, n, _ in want.values()) and len(want) < len(old)
+
+
+def test_stream_ledger(spark, given):
+    """The stream of articles gives the ledger of all views."""
+    _, ids, _ = given
+    want = {r.article_id: r.event for r in ep.event_ledger(spark, "").collect()}
+    got = ep.stream_ledger(spark, "/root/testdata/sf0.001").collect()
+    assert {r.article_id: r.event for r in got} == want and len(got) == len(ids) > len(set(want.values()))
