@@ -100,6 +100,21 @@ def page_yield(spark, sf_dir):
     return page_texts(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("n"), F.avg("n_words").alias("avg_words"), F.max("n_words").alias("max_words"))
 
 
+def extractor_yield(spark, sf_dir):
+    """What each strategy finds on the pages of each source; selectors by kind of host: some that no page has, some that hold no text, and one that does."""
+    pages = table(spark, sf_dir, "pages")
+    kind = lambda *x: F.struct(*[(F.lit(v).cast("string") if k else F.lit(v)).alias(c) for k, (v, c) in enumerate(zip(x, ("rank", "name", "class", "id"), strict=True))])
+    blogs, mobiles = F.array(kind(0, None, "entry-content", None), kind(1, "article", None, None)), F.array(kind(0, "div", "ad", None), kind(1, None, None, "main"))
+    source = tx.host(F.col("url"))
+    catalogue = pages.select(source.alias("source")).distinct().select("source", F.explode(F.when(F.col("source").startswith("blog."), blogs).when(F.col("source").startswith("m."), mobiles)).alias("x"))
+    return pg.extractor_yield(pg.page_parts(pages, catalogue.select("source", "x.*")), source).withColumn("avg_words", F.round("avg_words", 6))
+
+
+def edited_pages(spark, sf_dir):
+    """Texts of pages as an editor adds them by hand."""
+    return pg.edited_text(pg.page_parts(table(spark, sf_dir, "pages"))).select("page_id", "strategy", "n_words", F.md5("text").alias("text"))
+
+
 def title_clusters(spark, sf_dir):
     """Each article joins the first representative with a similar title."""
     classes = _title_classes(spark, sf_dir)
@@ -246,6 +261,8 @@ QUERIES = {
     "page_texts": page_texts,
     "page_links": page_links,
     "page_yield": page_yield,
+    "extractor_yield": extractor_yield,
+    "edited_pages": edited_pages,
 }
 
 _q = lambda names: ", ".join("'" + x.replace("'", "''") + "'" for x in names)
@@ -272,6 +289,14 @@ _WALK = """w(k, acc) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION AL
 _ADJ = "adj AS (SELECT b AS id, list(a) AS earlier FROM e GROUP BY b)"
 _BOTH = "z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
 
+#: On the given pages, all blocks with enough text are headings and paragraphs of the only article; a paragraph ends where the next one starts.
+_BLOCKS = r"""
+    h AS (SELECT page_id, replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') AS source, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+    x AS (SELECT page_id, unnest(string_split_regex(body, '<p>|<h1>')[2:]) AS t, generate_subscripts(string_split_regex(body, '<p>|<h1>')[2:], 1) AS i FROM h),
+    b AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)</(p|h1)>.*', ''), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM x)"""
+_MAIN = rf"""
+    a AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM b WHERE len(t) > 20 AND NOT regexp_matches(t, '{pg.NOT_TEXT}') GROUP BY page_id),
+    m AS (SELECT page_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS n_words FROM h LEFT JOIN a USING (page_id))"""
 ORACLE_SQL = {
     "title_classes": f"WITH {ARTICLES}, {_CLASSES} SELECT c0.id AS article_id, coalesce(rep, c0.id) AS representative FROM c0 LEFT JOIN mem ON mem.id = c0.id",
     "title_clusters": f"""
@@ -316,6 +341,20 @@ ORACLE_SQL = {
         k AS (SELECT *, list_sort(list_filter(q, lambda x: contains(x, '=') AND length(split_part(x, '=', 2)) > 0 AND NOT list_contains([{_q(lx.TRACKING)}], lower(split_part(x, '=', 1))))) AS kept FROM p)
         SELECT page_id, regexp_replace('https://' || domain || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, '/+$', '') AS url_norm, domain,
             CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE '#' END AS link FROM k""",
+    "page_texts": f"WITH {_BLOCKS}, {_MAIN} SELECT page_id, 'article' AS strategy, n_words, text FROM m WHERE n_words > 100",
+    "page_yield": f"WITH {_BLOCKS}, {_MAIN} SELECT 'article' AS strategy, count(*) AS n, avg(n_words) AS avg_words, max(n_words) AS max_words FROM m WHERE n_words > 100",
+    "extractor_yield": f"""
+        WITH {_BLOCKS}, {_MAIN}, v AS (
+            SELECT source, starts_with(source, 'blog.') AS own, 'article' AS strategy, n_words, n_words > 100 AS chosen FROM m
+            UNION ALL SELECT source, false, 'article', n_words, false FROM m WHERE starts_with(source, 'blog.')
+            UNION ALL SELECT source, true, 'div.ad', 0, false FROM m WHERE starts_with(source, 'm.')),
+        g AS (SELECT source, own, strategy, count(*) AS n_pages, count_if(n_words > 100) AS n_enough, count_if(chosen) AS n_chosen, round(avg(n_words), 6) AS avg_words, max(n_words) AS max_words FROM v GROUP BY ALL)
+        SELECT *, own AND 2 * n_enough >= n_pages AS proposed FROM g""",
+    "edited_pages": f"""
+        WITH {_BLOCKS}, k AS (SELECT page_id, t, min(i) AS i FROM b WHERE len(t) > 20 AND NOT regexp_matches(t, '{pg.EDIT_NOT_TEXT}') GROUP BY ALL),
+        e AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM k GROUP BY page_id)
+        SELECT p.page_id, CASE WHEN text IS NULL THEN 'none' ELSE 'article' END AS strategy, len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) AS n_words, md5(coalesce(text, '')) AS text
+        FROM pages p LEFT JOIN e USING (page_id)""",
     "page_links": """
         SELECT page_id, 'https://' || replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') || '/story/1000' || page_id AS url, 'All about story ' || page_id AS title FROM pages""",
     "content_hashes": f"WITH {ARTICLES} SELECT article_id, md5(regexp_replace(lower(title || coalesce(lang, '')), '^\\s+|\\s+$', '', 'g')) AS content_hash FROM a",

@@ -5,94 +5,228 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, host
 
-#: Containers in the order in which they are tried, tags whose text is a block, what a block must not hold.
+#: Tags whose text is a block, class hints of containers, what a block must not hold, and the fewest characters and words.
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "li")
-CLASS_HINT = r"(?i)content|article|post|story|body"
+CLASS_HINT = r"(?i)content|article|post|body"
 NOT_TEXT = r"(?i)cookie|subscribe|newsletter"
 LEAST_CHARS, LEAST_WORDS = 20, 100
 
+#: The same where an editor adds a page by hand.
+EDIT_TAGS = ("p", "h1", "h2", "h3", "h4", "li", "blockquote")
+EDIT_JUNK = ("noscript", "nav", "header", "footer", "aside", "form")
+EDIT_HINT = r"(?i)content|article|article-body|story|entry|post|haber|icerik|metin|detay|main-text|news-body|body-text|text-body"
+EDIT_NOT_TEXT = r"(?i)cookie|subscribe|newsletter|abone ol|çerez|gizlilik politika|tüm hakları|all rights reserved|advertisement|reklam"
+EDIT_METAS = ("description", "og:description", "twitter:description")
+EDIT_WORDS = 50
+
+#: Elements without an end tag.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+PARTS = "page_id long, url string, pos int, tag string, text string, within array<int>, outer int, junk boolean, href string"
+
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import json
     import re
+    from collections import Counter
     from html.parser import HTMLParser
 
-    class Blocks(HTMLParser):
-        def __init__(self) -> None:
+    class Page(HTMLParser):
+        """Elements are kept on a stack; a text belongs to the innermost block that is open, so that the work is linear in the page."""
+
+        def __init__(self, selectors: list[dict]) -> None:
             super().__init__(convert_charrefs=True)
-            self.open, self.out, self.text, self.tag, self.links, self.href = [], [], [], None, [], None
+            self.wanted = {k: ("selector", x["strategy"], self.selected(x)) for k, x in enumerate(selectors)}
+            hinted = lambda tag, given: tag == "div" and re.search(CLASS_HINT, given.get("class") or "")
+            for k, (name, fit) in enumerate((("article", lambda tag, given: tag == "article"), ("main", lambda tag, given: tag == "main"), ("div", hinted)), len(selectors)):
+                self.wanted[k] = ("default", name, fit)
+            self.stack, self.depth, self.inside, self.outer, self.n_outer = [], Counter(), {}, None, 0
+            self.block, self.text, self.href, self.anchor, self.out = None, [], None, [], []
+
+        @staticmethod
+        def selected(x: dict):
+            def fit(tag: str, given: dict) -> bool:
+                held = given.get("class") or ""
+                return all((not x.get("name") or tag == x["name"], not x.get("id") or given.get("id") == x["id"], not x.get("class") or x["class"] in [held, *held.split()]))
+
+            return fit
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in VOID_TAGS:
+                self.handle_endtag(tag)
 
         def handle_starttag(self, tag, attrs):
             given = dict(attrs)
-            if tag in ("article", "main", "div"):
-                self.open.append((tag, tag != "div" or bool(re.search(CLASS_HINT, given.get("class") or ""))))
-            if tag in ("script", "style", "nav", "footer"):
-                self.open.append((tag, False))
-            if tag in BLOCK_TAGS:
-                self.flush()
-                self.tag = tag
             if tag == "a":
                 self.href, self.anchor = given.get("href"), []
+            if tag == "meta" and (given.get("name") or given.get("property")) in EDIT_METAS and given.get("content"):
+                self.out.append(("meta", " ".join(given["content"].split()), [EDIT_METAS.index(given.get("name") or given.get("property"))], None, False, None))
+            if tag in VOID_TAGS:
+                return
+            if tag in EDIT_TAGS:
+                self.flush()
+                if self.stack and self.stack[-1][0] == tag and tag in ("p", "li"):
+                    self.pop()  # a paragraph ends where the next one starts
+            found = [k for k, (_, _, fit) in self.wanted.items() if fit(tag, given)]
+            for k in found:
+                kind, name, _ = self.wanted.pop(k)
+                self.out.append((kind, name, [k], None, False, None))
+                self.inside[k] = len(self.stack)
+            if self.outer is None and tag in ("div", "section") and (re.search(EDIT_HINT, given.get("class") or "") or re.search(EDIT_HINT, given.get("id") or "")):
+                self.outer, self.n_outer = len(self.stack), self.n_outer + 1
+            # A container isn't a block of its own.
+            self.stack.append((tag, found))
+            self.depth[tag] += 1
+            if tag in EDIT_TAGS:
+                within = [k for k in self.inside if k not in found]
+                outer = self.n_outer if self.outer is not None else None
+                self.block = (len(self.stack), tag, within, outer, any(self.depth[t] for t in EDIT_JUNK))
 
         def handle_endtag(self, tag):
-            if tag == self.tag:
-                self.flush()
             if tag == "a" and self.href:
-                self.links.append((self.href, " ".join("".join(self.anchor).split())))
+                self.out.append(("a", " ".join("".join(self.anchor).split()), [], None, False, self.href))
                 self.href = None
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == tag:
-                    del self.open[k:]
-                    break
+            while self.depth[tag] and self.pop() != tag:
+                pass
+
+        def pop(self) -> str:
+            if self.block and self.block[0] == len(self.stack):
+                self.flush()
+            tag, found = self.stack.pop()
+            self.depth[tag] -= 1
+            for k in found:
+                del self.inside[k]
+            if self.outer == len(self.stack):
+                self.outer = None
+            return tag
 
         def handle_data(self, data):
-            kinds = [t for t, _ in self.open]
             if self.href:
                 self.anchor.append(data)
-            if self.tag and not {"script", "style"} & set(kinds):
+            if self.block and not self.depth["script"] and not self.depth["style"]:
                 self.text.append(data)
 
         def flush(self):
             text = " ".join("".join(self.text).split())
-            if self.tag and text:
-                kinds = {t for t, fit in self.open if fit}
-                self.out.append((self.tag, text, "article" in kinds, "main" in kinds, "div" in kinds, bool({"nav", "footer"} & {t for t, _ in self.open})))
-            self.text, self.tag = [], None
+            if self.block and text:
+                self.out.append((self.block[1], text, *self.block[2:], None))
+            self.text, self.block = [], None
 
     for batch in batches:
         rows = []
-        for page, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-            parser = Blocks()
+        for page, url, html, selectors in zip(batch["page_id"], batch["url"], batch["html"], batch["selectors"], strict=True):
+            parser = Page(json.loads(selectors or "[]"))
             parser.feed(html or "")
+            parser.close()
             parser.flush()
-            rows += [(page, url, k, *x, None) for k, x in enumerate(parser.out)]
-            rows += [(page, url, k, "a", text, False, False, False, False, href) for k, (href, text) in enumerate(parser.links)]
-        yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "tag", "text", "in_article", "in_main", "in_div", "in_nav", "href"])
+            rows += [(page, url, k, *x) for k, x in enumerate(parser.out)]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.split(", ")])
 
 
-def page_parts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, tag, text, in_article, in_main, in_div, in_nav, href): text blocks and anchors of pages (page_id, url, html)."""
-    kinds = "page_id long, url string, pos int, tag string, text string, in_article boolean, in_main boolean, in_div boolean, in_nav boolean, href string"
-    return pages.select("page_id", "url", "html").mapInPandas(_blocks, kinds)
+def page_parts(pages: DataFrame, selectors: DataFrame | None = None, source: Column | None = None) -> DataFrame:
+    """(page_id, url, pos, tag, text, within, outer, junk, href): blocks, anchors, descriptions and containers of pages (page_id, url, html).
+
+    selectors: (source, rank, name, class, id), the first element that has all that is given being meant; a page's are those of its ``source``, by default
+    its host. Containers are rows with the tag selector or default, their name as text and their number in ``within``; a block's ``within`` has the numbers of the containers
+    around it, ``outer`` that of the outermost one that an editor would take. Pages without HTML have no parts.
+    """
+    own = pages.select("page_id", "url", "html", (host(F.col("url")) if source is None else source).alias("_source"))
+    if selectors is None:
+        return own.select("page_id", "url", "html", F.lit(None).cast("string").alias("selectors")).mapInPandas(_blocks, PARTS)
+    label = F.concat(F.coalesce("name", F.lit("")), F.coalesce(F.concat(F.lit("."), "class"), F.lit("")), F.coalesce(F.concat(F.lit("#"), "id"), F.lit("")))
+    each = F.array_sort(F.collect_list(F.struct("rank", label.alias("strategy"), "name", "class", "id")))
+    held = selectors.groupBy(F.col("source").alias("_source")).agg(F.to_json(each).alias("selectors"))
+    return own.join(held, "_source", "left").select("page_id", "url", "html", "selectors").mapInPandas(_blocks, PARTS)
 
 
 def text_blocks(parts: DataFrame) -> DataFrame:
-    return parts.where((F.col("tag") != "a") & (F.length("text") > LEAST_CHARS) & ~F.col("text").rlike(NOT_TEXT))
+    return parts.where(F.col("tag").isin(*BLOCK_TAGS) & (F.length("text") > LEAST_CHARS) & ~F.col("text").rlike(NOT_TEXT))
+
+
+def _in_order(texts: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(texts), lambda x: x["text"]), "\n")
+
+
+def _n_words(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+
+
+def container_texts(parts: DataFrame) -> DataFrame:
+    """(page_id, url, own, k, strategy, n_words, text) of each container that a page has, in the order in which they are tried; ``own``: by a selector of its source."""
+    containers = parts.where(F.col("tag").isin("selector", "default")).select("page_id", "url", F.get("within", F.lit(0)).alias("k"), (F.col("tag") == "selector").alias("own"), F.col("text").alias("strategy"), F.lit(None).cast("struct<pos:int,text:string>").alias("x"))
+    blocks = text_blocks(parts).select("page_id", "url", F.explode("within").alias("k"), F.lit(None).cast("boolean").alias("own"), F.lit(None).cast("string").alias("strategy"), F.struct("pos", "text").alias("x"))
+    texts = containers.unionByName(blocks).groupBy("page_id", "k").agg(F.max("url").alias("url"), F.max("own").alias("own"), F.max("strategy").alias("strategy"), _in_order(F.collect_list("x")).alias("text"))
+    return texts.select("page_id", "url", "own", "k", "strategy", _n_words(F.col("text")).alias("n_words"), "text")
+
+
+def _chosen(texts: DataFrame) -> DataFrame:
+    """(page_id, own, strategy, n_words, text): what gives a page's main text."""
+    x, some = F.struct("own", "strategy", "n_words", "text"), F.col("n_words") > 0
+    both = texts.groupBy("page_id").agg(F.min_by(x, F.when(F.col("own"), F.col("k"))).alias("own"), F.min_by(x, F.when(~F.col("own") & some, F.col("k"))).alias("rest"))
+    return both.select("page_id", F.coalesce(F.when(F.col("own.n_words") > 0, F.col("own")), "rest").alias("x")).select("page_id", "x.*").where(F.col("n_words") > LEAST_WORDS)
 
 
 def main_text(parts: DataFrame) -> DataFrame:
-    """(page_id, strategy, n_words, text): the text of the first container with over LEAST_WORDS words; container none if no one has."""
-    blocks = text_blocks(parts)
-    strategies = F.array(F.struct(F.lit(0).alias("k"), F.lit("article").alias("strategy"), F.col("in_article").alias("fit")), F.struct(F.lit(1).alias("k"), F.lit("main").alias("strategy"), F.col("in_main").alias("fit")), F.struct(F.lit(2).alias("k"), F.lit("div").alias("strategy"), F.col("in_div").alias("fit")))
-    each = blocks.select("page_id", "pos", "text", F.explode(strategies).alias("s")).where("s.fit")
-    texts = each.groupBy("page_id", "s.k", "s.strategy").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    texts = texts.withColumn("n_words", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).where(F.col("n_words") > LEAST_WORDS)
-    best = texts.groupBy("page_id").agg(F.min_by(F.struct("strategy", "n_words", "text"), "k").alias("x"))
-    return best.select("page_id", "x.*")
+    """(page_id, strategy, n_words, text): the text of the first of the source's selectors that the page has or, if that has none, of the first of ``article``, ``main`` and
+    a ``div`` with a hint that has; pages with LEAST_WORDS words or fewer are left out."""
+    return _chosen(container_texts(parts)).drop("own")
+
+
+def extractor_yield(parts: DataFrame, source: Column | None = None) -> DataFrame:
+    """(source, own, strategy, n_pages, n_enough, n_chosen, avg_words, max_words, proposed): what each strategy finds on a source's pages.
+
+    n_enough: pages where it has over LEAST_WORDS words; n_chosen: where it gives the main text. Proposed is a source's first selector that is enough on half
+    of the pages that have it.
+    """
+    texts = container_texts(parts).withColumn("source", host(F.col("url")) if source is None else source)
+    won = _chosen(texts.drop("source")).select("page_id", "own", "strategy", F.lit(1).alias("won"))
+    enough = (F.col("n_words") > LEAST_WORDS).cast("int")
+    each = texts.join(won, ["page_id", "own", "strategy"], "left").groupBy("source", "own", "strategy").agg(
+        F.min("k").alias("k"), F.count("*").alias("n_pages"), F.sum(enough).alias("n_enough"), F.count("won").alias("n_chosen"), F.avg("n_words").alias("avg_words"), F.max("n_words").alias("max_words")
+    )
+    fit = F.col("own") & (2 * F.col("n_enough") >= F.col("n_pages"))
+    first = F.min(F.when(fit, F.col("k"))).over(Window.partitionBy("source"))
+    return each.withColumn("proposed", F.coalesce(fit & (F.col("k") == first), F.lit(False))).drop("k")
+
+
+def edited_text(parts: DataFrame) -> DataFrame:
+    """(page_id, strategy, n_words, text) of pages that an editor adds by hand: every block once, none from navigation, headers, asides and forms.
+
+    ``article`` and then ``main``, if there is one, until one has EDIT_WORDS words; else the longest container with a hint, an outer one having all that those inside have;
+    else the whole page if that is longer; descriptions are added to what is short even so. Pages without parts are left out; a text that is empty comes with the strategy ``none``.
+    """
+    fit = F.col("tag").isin(*EDIT_TAGS) & ~F.col("junk") & (F.length("text") > LEAST_CHARS) & ~F.col("text").rlike(EDIT_NOT_TEXT)
+    marked = parts.where(fit | (F.col("tag") == "default") | (F.col("tag") == "meta"))
+    named = lambda name: F.max(F.when((F.col("tag") == "default") & (F.col("text") == name), F.get("within", F.lit(0))))
+    numbers = marked.groupBy("page_id").agg(named("article").alias("article"), named("main").alias("main"))
+    place = lambda c, k, by: F.when(c, F.struct(F.lit(k).alias("k"), by.cast("int").alias("by")))
+    places = F.array_compact(F.array(
+        place(F.array_contains("within", F.col("article")), 0, F.lit(0)), place(F.array_contains("within", F.col("main")), 1, F.lit(0)),
+        place(F.col("outer").isNotNull(), 2, F.col("outer")), place(F.lit(True), 3, F.lit(0)),
+    ))
+    blocks = marked.where(fit).join(numbers, "page_id").select("page_id", "pos", "text", F.explode(places).alias("p"))
+    once = blocks.groupBy("page_id", "p", "text").agg(F.min("pos").alias("pos"))
+    texts = once.groupBy("page_id", "p").agg(_in_order(F.collect_list(F.struct("pos", "text"))).alias("text"))
+    texts = texts.withColumn("x", F.struct(_n_words(F.col("text")).alias("n_words"), (-F.col("p.by")).alias("by"), "text"))
+    best = texts.groupBy("page_id").agg(*[F.max(F.when(F.col("p.k") == k, F.col("x"))).alias(name) for k, name in enumerate(("in_article", "in_main", "hinted", "body"))])
+    metas = marked.where("tag = 'meta'").groupBy("page_id", F.get("within", F.lit(0)).alias("k")).agg(F.min_by("text", "pos").alias("text")).groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("metas")
+    )
+    held = numbers.join(best, "page_id", "left").join(metas, "page_id", "left")
+    none = F.struct(F.lit("none").alias("strategy"), F.lit(0).alias("n_words"), F.lit("").alias("text"))
+    told = lambda c, name: F.when(F.col(c).isNotNull(), F.struct(F.lit(name).alias("strategy"), F.col(f"{c}.n_words").alias("n_words"), F.col(f"{c}.text").alias("text"))).otherwise(none)
+    a, m = told("in_article", "article"), told("in_main", "main")
+    held = held.select("page_id", "metas", "hinted", "body", F.when((a["n_words"] >= EDIT_WORDS) | F.col("main").isNull(), a).otherwise(m).alias("x"))
+    for c, name in (("hinted", "container"), ("body", "page")):
+        held = held.withColumn("x", F.when((F.col("x.n_words") < EDIT_WORDS) & (told(c, name)["n_words"] > F.col("x.n_words")), told(c, name)).otherwise(F.col("x")))
+    text = F.when((F.col("x.n_words") < EDIT_WORDS) & F.col("metas").isNotNull(), F.trim(F.concat("x.text", F.lit("\n"), "metas"), F.lit("\n "))).otherwise(F.col("x.text"))
+    return held.select("page_id", "x.strategy", text.alias("text")).select("page_id", "strategy", _n_words(F.col("text")).alias("n_words"), "text")
 
 
 def expanded_links(parts: DataFrame, skip: str = r"(?i)newsletter|digest|bulletin") -> DataFrame:

@@ -87,6 +87,55 @@ def test_long_pages_are_read_to_their_end(spark):
     assert [r.url for r in pages.expanded_links(parts).collect()] == ["https://x.com/news/12345"]
 
 
+def words(n, w="lorem"):
+    return " ".join([w] * n)
+
+
+def of_pages(spark, *htmls):
+    return spark.createDataFrame([(k, "http://www.x.com/a", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def test_selectors_of_a_source_come_first(spark):
+    hundred = f"<p>{words(101)}</p>"
+    rows = [("x.com", 0, None, "entry", None), ("x.com", 1, "section", None, "text"), ("other.com", 0, "aside", None, None)]
+    selectors = spark.createDataFrame(rows, "source string, rank int, name string, class string, id string")
+    pages_of = of_pages(
+        spark,
+        f"<div class='big entry'>{hundred}</div><article>{hundred}</article>",  # one of several classes
+        f"<div class='entry'><p>too short</p></div><section id=text>{hundred}</section><article>{hundred}{hundred}</article>",  # the first that exists is meant, though it is empty
+        f"<section class=x id=text>{hundred}</section><section id=text>{hundred}{hundred}</section><article>{hundred}</article>",  # the first of its kind
+        f"<p id=text>{words(200)}</p><aside>{hundred}</aside><main></i><p>{words(60)}<p>{words(60)}</main><footer>{hundred}</footer>",  # no section; paragraphs without an end
+        f"<article><p>short</p></article><div class='sidebar'>{hundred}</div><div class='post-body'><div>{hundred}</div></div>{hundred}",
+        f"<article><p>{words(100)}</p></article>",  # not over a hundred
+        None,
+    )
+    parts = pages.page_parts(pages_of, selectors)
+    found = {r.page_id: (r.strategy, r.n_words) for r in pages.main_text(parts).collect()}
+    assert found == {0: (".entry", 101), 1: ("article", 202), 2: ("section#text", 101), 3: ("main", 120), 4: ("div", 101)}
+    rows = {(r.own, r.strategy): (r.n_pages, r.n_enough, r.n_chosen, r.max_words, r.proposed) for r in pages.extractor_yield(parts).collect()}
+    assert rows == {
+        (True, ".entry"): (2, 1, 1, 101, True), (True, "section#text"): (2, 2, 1, 101, False), (False, "article"): (5, 3, 1, 202, False), (False, "main"): (1, 1, 1, 120, False), (False, "div"): (1, 1, 1, 101, False),
+    }
+    same_names = spark.createDataFrame([("x.com", 0, "article", None, None)], selectors.schema)
+    assert {(r.own, r.n_chosen) for r in pages.extractor_yield(pages.page_parts(of_pages(spark, f"<article>{hundred}</article>"), same_names)).collect()} == {(True, 1), (False, 0)}
+
+
+def test_pages_added_by_hand(spark):
+    fifty, once = f"<p>{words(50)}</p>", "<p>A line that is printed twice on this page</p>"
+    pages_of = of_pages(
+        spark,
+        f"<article>{fifty}{once}<nav>{fifty}</nav>{once}<h4>{words(5)}</h4></article>",
+        f"<article>{once}</article><main>{fifty}</main>",
+        f"<article>{fifty}</article><div id='news-body-1'>{once}<div class=story>{fifty}</div></div>",
+        f"<article>{once}</article><section class=haber><p>{words(20)}</p><div class=entry><p>{words(20, 'ipsum')}</p></div></section><div class=post><p>{words(30)}</p></div><aside>{fifty}</aside>",
+        f"<form>{fifty}</form>{once}<p>{words(12)}</p>",
+        f"<meta name=description content='What it is  about'><meta property='og:description' content='Told again'>{once}",
+        "<p>Kişisel verilere dair çerez bildirimi</p>",  # no part that counts
+    )
+    found = {r.page_id: (r.strategy, r.n_words) for r in pages.edited_text(pages.page_parts(pages_of)).collect()}
+    assert found == {0: ("article", 64), 1: ("main", 50), 2: ("article", 50), 3: ("page", 79), 4: ("page", 21), 5: ("page", 15)}
+
+
 def test_days_are_replaced(spark, tmp_path):
     path = str(tmp_path / "t")
     day = dt.date(2024, 1, 1)
