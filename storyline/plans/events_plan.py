@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,8 +99,7 @@ def stream_ledger(spark, sf_dir):
 
 def story_chains(spark, sf_dir):
     """Chains of articles that share two names of their stories and more, on three days and more."""
-    nodes = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "day", "title", fp.story_entities(F.lit(""), F.col("src_body")).alias("entities"))
-    found = stories.story_chains(nodes)
+    found = stories.story_chains(_stories(spark, sf_dir))
     return found.select("chain", F.size("days").cast("long").alias("n_days"), "n_nodes", F.size("entities").cast("long").alias("n_entities"), "title")
 
 
@@ -159,15 +160,30 @@ def entity_matches(spark, sf_dir):
     return _across(spark, sf_dir)[1].where("rule = 'entity'").select(article("a"), article("b"), F.round("topic", 6).alias("topic"))
 
 
+def _stories(spark, sf_dir):
+    return articles(spark, sf_dir).select(F.col("article_id").alias("id"), "day", "title", fp.story_entities(F.lit(""), F.col("src_body")).alias("entities"))
+
+
 def repeat_scan(spark, sf_dir):
-    """By day, pairs with the week before that the rules catch, and those that are only suspicious: a topic in common and no signal."""
+    """By day, pairs with the week before that the rules catch, and those that only have a topic in common and no signal: part of an ongoing story if chains have both, else suspicious."""
     own, decided = _across(spark, sf_dir)
     caught = decided.where("same").select("a", "b", F.lit("caught").alias("kind"))
     near = resolve.topic_pairs(own, lx.SUSPICIOUS_TOPIC).where((day("b") > day("a")) & (day("b") - day("a") <= HISTORY)).select("a", "b")
     weak = resolve.paired(near.join(caught.select("a", "b"), ["a", "b"], "left_anti"), own)
-    shared = F.arrays_overlap("x.actors", "y.actors") | F.arrays_overlap("x.codes", "y.codes") | (F.size(fp.shared_entities(F.col("x.names"), F.col("y.names"))) > 0)
-    both = caught.unionByName(weak.where(~F.coalesce(shared, F.lit(False))).select("a", "b", F.lit("suspicious").alias("kind")))
-    return both.groupBy(day("b").cast("long").alias("day"), "kind").agg(F.count("*").alias("n"))
+    shared = reduce(or_, (F.arrays_overlap(f"x.{c}", f"y.{c}") for c in ("actors", "codes", "packages")), F.size(fp.shared_entities(F.col("x.names"), F.col("y.names"))) > 0)
+    calm = checkpointed(weak.where(~F.coalesce(shared, F.lit(False))).select("a", "b"))
+    nodes = checkpointed(_stories(spark, sf_dir))
+    looked = calm.select(article("a").alias("id")).unionByName(calm.select(article("b").alias("id"))).distinct()
+    told = stories.matching_chain(nodes.join(looked, "id", "left_semi"), stories.story_chains(nodes)).select("id", F.lit(True).alias("told"))
+    both = calm.withColumn("id", article("a")).join(told, "id", "left").withColumnRenamed("told", "_a").drop("id").withColumn("id", article("b")).join(told, "id", "left")
+    kind = F.when(F.col("_a") & F.col("told"), "ongoing story").otherwise("suspicious").alias("kind")
+    return caught.unionByName(both.select("a", "b", kind)).groupBy(day("b").cast("long").alias("day"), "kind").agg(F.count("*").alias("n"))
+
+
+def repeat_links(spark, sf_dir):
+    """By day, how many links to articles of other days the rules catch: a link counts for both its days."""
+    caught = _across(spark, sf_dir)[1].where("same").select(F.explode(F.array(day("a").cast("long"), day("b").cast("long"))).alias("day"))
+    return caught.groupBy("day").agg(F.count("*").alias("n_links"))
 
 
 def _headline(c: str = "id"):
@@ -218,13 +234,13 @@ def ledger_matches(spark, sf_dir):
 
 def chain_matches(spark, sf_dir):
     """The run's articles that belong to a chain of the days before, the first that shares a name with them."""
-    nodes = articles(spark, sf_dir).select(F.col("article_id").alias("id"), "day", "title", fp.story_entities(F.lit(""), F.col("src_body")).alias("entities"))
+    nodes = _stories(spark, sf_dir)
     last = F.lit("2024-01-30").cast("date")
     return stories.matching_chain(nodes.where(F.col("day") == last), stories.story_chains(nodes.where(F.col("day") < last))).select(F.col("id").alias("article_id"), "chain")
 
 
 _NAMES = [
-    view_classes, same_events, same_source_events, event_relations, event_ledger, stream_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan,
+    view_classes, same_events, same_source_events, event_relations, event_ledger, stream_ledger, story_chains, strongest_to_history, relation_summary, new_across_days, leak_audit, shadow_clusters, entity_matches, repeat_scan, repeat_links,
     headline_repeats, near_misses, event_history, ledger_matches, chain_matches,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}

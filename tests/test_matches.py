@@ -149,12 +149,28 @@ def test_near_misses(spark, stored, monkeypatch):
     assert pairs_of(ep.near_misses(spark, SF), "shared") == want and want
 
 
-def test_repeat_scan(spark, stored):
-    hit = F.arrays_overlap("x.actors", "y.actors") | F.arrays_overlap("x.codes", "y.codes") | (F.size(ep.fp.shared_entities(F.col("x.names"), F.col("y.names"))) > 0)
-    rows = stored.select("b", "same", "topic", F.coalesce(hit, F.lit(False)).alias("hit")).collect()
+def test_repeat_links(spark, stored):
+    want = {}
+    for r in stored.where("same").select("a", "b").collect():
+        for d in (r.a >> ep.ARTICLE, r.b >> ep.ARTICLE):
+            want[d] = want.get(d, 0) + 1
+    assert {r.day: r.n_links for r in ep.repeat_links(spark, SF).collect()} == want and want
+
+
+@pytest.mark.parametrize("least_days", [3, 2])
+def test_repeat_scan(spark, stored, monkeypatch, least_days):
+    """Chains of two days as well, as so small a table has few of three."""
+    own = stories.story_chains
+    monkeypatch.setattr(stories, "story_chains", lambda nodes: own(nodes, least_days=least_days))
+    hit = F.arrays_overlap("x.actors", "y.actors") | F.arrays_overlap("x.codes", "y.codes") | F.arrays_overlap("x.packages", "y.packages") | (F.size(ep.fp.shared_entities(F.col("x.names"), F.col("y.names"))) > 0)
+    rows = stored.select("a", "b", "same", "topic", F.coalesce(hit, F.lit(False)).alias("hit")).collect()
+    nodes = ep._stories(spark, SF)
+    names = {n for r in stories.story_chains(nodes).collect() for n in r.entities}
+    told = {r.id for r in nodes.collect() if names & set(r.entities)}
     want = {}
     for r in rows:
-        kind = "caught" if r.same else "suspicious" if r.topic >= lx.SUSPICIOUS_TOPIC and not r.hit else None
+        ongoing = r.a & MASK in told and r.b & MASK in told
+        kind = "caught" if r.same else ("ongoing story" if ongoing else "suspicious") if r.topic >= lx.SUSPICIOUS_TOPIC and not r.hit else None
         if kind:
             want[r.b >> ep.ARTICLE, kind] = want.get((r.b >> ep.ARTICLE, kind), 0) + 1
     assert {(r.day, r.kind): r.n for r in ep.repeat_scan(spark, SF).collect()} == want and want
