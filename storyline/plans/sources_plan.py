@@ -12,6 +12,7 @@ from ..operators import ranking as rk
 from ..operators import report as rp
 from ..operators import select
 from ..sources import feeds, histories, sinks
+from .articles_plan import _TITLE as _STEMS
 from .tables import ARTICLES, FIRST_DAY, SCORES, articles, day_of, joined, table
 
 TODAY = "2024-01-30"
@@ -117,6 +118,37 @@ def case_merge(spark, sf_dir):
     return histories.golden_pairs(old, new)
 
 
+def _cases(spark, sf_dir):
+    """A case for each article: its own title's part, in capitals, against a part of its own title again or, for odd ids, of the title of the next article of its day, or against a raw id."""
+    a = articles(spark, sf_dir)
+    n, title = F.col("article_id"), F.col("title")
+    part = F.when(n % 11 == 0, "").when(n % 9 == 0, F.concat(F.substring(title, 5, 12), F.lit("#none"))).when(n % 4 == 0, F.substring(title, 3, 2)).otherwise(F.translate(F.substring(title, 5, 24), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    other = a.select((n - 30).alias("article_id"), title.alias("next_title"))
+    held = a.join(other, "article_id", "left").withColumn("odd", n % 2 == 1)
+    return held.select(
+        F.concat(F.col("day").cast("string"), F.lit(" case "), n.cast("string")).alias("name"), F.when(F.col("odd"), "unrelated").otherwise("same").alias("label"),
+        F.lit(None).cast("long").alias("a_raw"), F.col("day").alias("a_day"), part.alias("a_part"),
+        F.when(n % 3 == 0, n).alias("b_raw"), F.col("day").alias("b_day"), F.substring(F.when(F.col("odd"), F.col("next_title")).otherwise(title), 1, 30).alias("b_part"),
+    )
+
+
+def golden_views(spark, sf_dir):
+    """Cases with both views found by parts of titles, or by ids of raw pools, which only every second day has."""
+    a = articles(spark, sf_dir)
+    views = a.select("day", F.col("article_id").alias("id"), "title")
+    raw = a.where(F.dayofmonth("day") % 2 == 0).select("day", F.col("article_id").alias("raw_id"), F.col("article_id").alias("id"))
+    return histories.golden_cases(_cases(spark, sf_dir), views, raw)
+
+
+def golden_accuracy(spark, sf_dir):
+    """Labels of the cases that could be built, against stems of titles: how many agree, and how many decisions do."""
+    own = articles(spark, sf_dir)
+    told = lambda c: own.select(F.col("article_id").alias(c), fp.title_stems(F.col("title")).alias(f"_{c}"))
+    met = golden_views(spark, sf_dir).where("status = 'built'").join(told("a"), "a").join(told("b"), "b")
+    same = fp.jaccard(F.col("_a"), F.col("_b")) >= 0.45
+    return rp.accuracy(met.select("label", F.when(same, "same").otherwise("unrelated").alias("predicted")))
+
+
 def raw_pool(spark, sf_dir):
     """Articles with words, numbered in order on each day."""
     a = articles(spark, sf_dir).withColumn("word_count", tx.word_count(F.col("src_body"))).withColumn("success", F.col("article_id") % 6 > 0)
@@ -283,7 +315,7 @@ def placed_everywhere(spark, sf_dir):
 
 
 _NAMES = [
-    feed_titles, digest_rows, seen_links, seen_titles, failed_sources, stored_history, combined_history, archive_titles, social_signals, social_admitted, last_audits, case_merge, raw_pool, pending_links,
+    feed_titles, digest_rows, seen_links, seen_titles, failed_sources, stored_history, combined_history, archive_titles, social_signals, social_admitted, last_audits, case_merge, golden_views, golden_accuracy, raw_pool, pending_links,
     log_newest, archive_appended, error_log, reset_days, kept_reports, retained_days, parsed_times, shortened_titles, corrected_years, clean_pages, social_texts, commentary_stripped, flagged_ids,
     unusable_answers, term_signals, early_evidence, newsletters, rerouted, package_mentions, bulletin_products, capped_priorities, strongest_relations, placed_everywhere,
 ]
@@ -297,6 +329,15 @@ _LINES = f"""
     l AS (SELECT page_id, CASE WHEN page_id % 13 > 0 THEN {_PAGE_DAY} END AS day, url AS link, 't' || CASE WHEN page_id % 3 = 0 THEN chr(9) ELSE ' ' END || page_id AS title,
         CASE WHEN page_id % 2 = 0 THEN md5(url) END AS content_hash FROM pages),
     k AS (SELECT * FROM l WHERE day >= DATE '2024-01-23')"""
+_GOLDEN = f"""
+    {ARTICLES}, c AS (SELECT CAST(a.day AS VARCHAR) || ' case ' || a.article_id AS name, a.day, a.article_id, CASE WHEN a.article_id % 2 = 1 THEN 'unrelated' ELSE 'same' END AS label,
+        lower(CASE WHEN a.article_id % 11 = 0 THEN '' WHEN a.article_id % 9 = 0 THEN a.title[5:16] || '#none' WHEN a.article_id % 4 = 0 THEN a.title[3:4] ELSE a.title[5:28] END) AS a_part,
+        lower(CASE WHEN a.article_id % 2 = 1 THEN n.title ELSE a.title END[1:30]) AS b_part FROM a LEFT JOIN a n ON n.article_id = a.article_id + 30),
+    f AS (SELECT name, (SELECT min(article_id) FROM a WHERE a.day = c.day AND contains(lower(a.title), c.a_part)) AS a,
+        (SELECT min(article_id) FROM a WHERE a.day = c.day AND contains(lower(a.title), c.b_part)) AS b FROM c),
+    r AS (SELECT c.name, label, article_id % 3 = 0 AND day(c.day) % 2 = 1 AS off, f.a, CASE WHEN article_id % 3 = 0 THEN article_id ELSE f.b END AS b FROM c JOIN f USING (name)),
+    s AS (SELECT *, CASE WHEN off THEN 'other day' WHEN a IS NULL OR b IS NULL THEN 'missing' ELSE 'built' END AS status FROM r),
+    v AS (SELECT name, label, status, CASE WHEN status = 'built' THEN a END AS a, CASE WHEN status = 'built' THEN b END AS b FROM s)"""
 _SOCIAL = """
     s AS (SELECT CASE event_id % 3 WHEN 0 THEN 'mastodon' WHEN 1 THEN 'hackernews' ELSE 'advisory' END AS platform, CASE WHEN event_id % 3 = 2 THEN 'GHSA-' ELSE '' END || event_id AS native_id,
         CASE WHEN event_id % 3 = 0 THEN 'says ' || event_type ELSE event_type END AS title,
@@ -323,6 +364,12 @@ ORACLE_SQL = {
     "case_merge": f"""
         WITH {ARTICLES}, n AS (SELECT CAST(article_id * 2 AS VARCHAR) AS name, 'new' AS label FROM a WHERE article_id % 3 = 0)
         SELECT CAST(article_id AS VARCHAR) AS name, 'old' AS label FROM a WHERE CAST(article_id AS VARCHAR) NOT IN (SELECT name FROM n) UNION ALL SELECT * FROM n""",
+    "golden_views": f"WITH {_GOLDEN} SELECT * FROM v",
+    "golden_accuracy": f"""
+        WITH {_GOLDEN}, t AS (SELECT article_id, {_STEMS} AS stems FROM a),
+        p AS (SELECT label, CASE WHEN len(x.stems) > 0 AND len(y.stems) > 0 AND len(list_intersect(x.stems, y.stems)) / len(list_distinct(x.stems || y.stems)) >= 0.45 THEN 'same' ELSE 'unrelated' END AS predicted
+            FROM v JOIN t x ON x.article_id = v.a JOIN t y ON y.article_id = v.b WHERE status = 'built')
+        SELECT count(*) AS n, count_if(label = predicted) AS label_ok, count_if((label = 'same') = (predicted = 'same')) AS policy_ok FROM p""",
     "raw_pool": f"WITH {ARTICLES} SELECT day, article_id, row_number() OVER (PARTITION BY day ORDER BY article_id) AS number FROM a WHERE article_id % 6 > 0 AND len({_W.format('src_body')}) > 0",
     "pending_links": f"SELECT {_PAGE_DAY} AS day, url AS link, CAST(page_id AS VARCHAR) AS title, 'd' AS description FROM pages WHERE {_PAGE_DAY} = DATE '{TODAY}' AND page_id % 9 > 0 AND url <> ''",
     "log_newest": f"WITH {ARTICLES} SELECT day, article_id FROM a ORDER BY day DESC, article_id DESC LIMIT 5000",

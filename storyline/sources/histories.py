@@ -68,14 +68,60 @@ def golden_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("name"), "name", "left_anti").unionByName(new)
 
 
+def _grams(text: Column, n: int) -> Column:
+    many = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+
+
+def titles_with(parts: DataFrame, views: DataFrame) -> DataFrame:
+    """(ref, id): the smallest id of a day's views whose title contains the part, in any case. parts: (ref, day, part); views: (day, id, title).
+
+    An index of runs of three letters, built only of those that a part has: each part is looked up by its rarest run of that day, and only those titles are searched. Parts
+    of one or two letters are their own run; an empty part is in every title. Null parts and days find nothing, null titles are empty.
+    """
+    wanted = parts.select("ref", "day", F.lower("part").alias("p")).where("day IS NOT NULL AND p IS NOT NULL")
+    n = F.least(F.length("p"), F.lit(3))
+    runs = F.when(n == 3, _grams(F.col("p"), 3)).otherwise(F.array("p"))
+    looked = wanted.where("p <> ''").select("ref", "day", "p", F.explode(runs).alias("g"))
+    title = F.lower(F.coalesce("title", F.lit("")))
+    each = views.select("day", "id", title.alias("t")).select("day", "id", "t", F.explode(F.array_distinct(F.concat(*[_grams(F.col("t"), k) for k in (1, 2, 3)]))).alias("g"))
+    df = each.drop("t").join(looked.select("day", "g").distinct(), ["day", "g"], "left_semi").groupBy("day", "g").agg(F.count("*").alias("df"))
+    # A part with a run that no title of the day has is in none; a run of no title counts as the rarest.
+    rarest = looked.join(df, ["day", "g"], "left").groupBy("ref", "day", "p").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x")).where("x.df > 0").select("ref", "day", "p", "x.g")
+    found = rarest.join(each, ["day", "g"]).where(F.contains("t", "p")).groupBy("ref").agg(F.min("id").alias("id"))
+    first = views.groupBy("day").agg(F.min("id").alias("id"))
+    return found.unionByName(wanted.where("p = ''").join(first, "day").select("ref", "id"))
+
+
 def resolved_pairs(refs: DataFrame, views: DataFrame) -> DataFrame:
     """Golden cases with both views. refs: (name, label, same_day, a_day, a_title, b_day, b_title); views: (day, id, src_title, …).
 
     A reference names a day and a part of the title, in any case; of several fitting views the one with the smallest id is meant.
     """
-    out = refs
+    out, titles = refs, views.select("day", "id", F.col("src_title").alias("title"))
     for side in ("a", "b"):
-        v = views.select(F.col("day").alias(f"{side}_day"), F.struct("id", "src_title").alias("_v"))
-        met = out.join(v, f"{side}_day").where(F.contains(F.lower("_v.src_title"), F.lower(f"{side}_title")))
-        out = out.join(met.groupBy("name").agg(F.min("_v").alias(side)), "name")
+        met = titles_with(refs.select(F.col("name").alias("ref"), F.col(f"{side}_day").alias("day"), F.col(f"{side}_title").alias("part")), titles)
+        own = views.select(F.col("day").alias(f"{side}_day"), F.col("id").alias("_id"), F.struct("id", "src_title").alias(side))
+        out = out.join(met.select(F.col("ref").alias("name"), F.col("id").alias("_id")), "name").join(own, [f"{side}_day", "_id"]).drop("_id")
     return out
+
+
+def golden_cases(cases: DataFrame, views: DataFrame, raw: DataFrame) -> DataFrame:
+    """Cases (name, label, a, b, status, …) with the ids of both views.
+
+    cases: (name, label, …) with, for a and for b, ``_raw``, an id in the raw pool of the case's day, or else ``_day`` and ``_part`` of a stored title. views:
+    (day, id, title); raw: (day, raw_id, id), whose ids mean something on their own day only. The case's day is the date that its name starts with. Status: ``other day``
+    if a raw id is asked for and there is no raw pool of the case's day, ``missing`` if a view isn't found, else ``built``; ids are null unless built. Names are unique.
+    """
+    held = cases.withColumn("_on", F.try_to_date(F.substring("name", 1, 10), "yyyy-MM-dd"))
+    for side in ("a", "b"):
+        stored = held.where(F.col(f"{side}_raw").isNull()).select(F.col("name").alias("ref"), F.col(f"{side}_day").alias("day"), F.col(f"{side}_part").alias("part"))
+        by_id = held.select("name", "_on", F.col(f"{side}_raw").alias("raw_id")).join(raw.select(F.col("day").alias("_on"), "raw_id", "id"), ["_on", "raw_id"]).groupBy("name").agg(F.min("id").alias(side))
+        met = titles_with(stored, views).select(F.col("ref").alias("name"), F.col("id").alias(side))
+        held = held.join(by_id.unionByName(met), "name", "left")
+    known = raw.select(F.col("day").alias("_on")).distinct().withColumn("_known", F.lit(True))
+    asked = F.col("a_raw").isNotNull() | F.col("b_raw").isNotNull()
+    status = F.when(asked & F.col("_known").isNull(), "other day").when(F.col("a").isNull() | F.col("b").isNull(), "missing").otherwise("built")
+    out = held.join(known, "_on", "left").withColumn("status", status)
+    kept = [c for c in cases.columns if c not in {f"{x}_{y}" for x in "ab" for y in ("raw", "day", "part")}]
+    return out.select(*kept, "status", *[F.when(F.col("status") == "built", F.col(x)).alias(x) for x in "ab"])
