@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, host
+from ..operators.base import checkpointed
 
 #: Tags whose text is a block, class hints of containers, what a block must not hold, and the fewest characters and words.
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "li")
@@ -27,7 +28,11 @@ EDIT_WORDS = 50
 #: Elements without an end tag.
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
-PARTS = "page_id long, url string, pos int, tag string, text string, within array<int>, outer int, junk boolean, href string"
+PARTS = ("tag", "text", "within", "outer", "junk", "href")
+KINDS = "page_id long, url string, tag array<string>, text array<string>, within array<array<int>>, outer array<int>, junk array<boolean>, href array<string>"
+
+#: Up to so many sources' selectors are broadcast; beyond that they are joined.
+BROADCAST_SOURCES = 100_000
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,57 +130,78 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parser.feed(html or "")
             parser.close()
             parser.flush()
-            rows += [(page, url, k, *x) for k, x in enumerate(parser.out)]
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.split(", ")])
+            rows.append((page, url, *([list(x) for x in zip(*parser.out, strict=True)] or [[]] * len(PARTS))))
+        yield pd.DataFrame(rows, columns=["page_id", "url", *PARTS])
 
 
 def page_parts(pages: DataFrame, selectors: DataFrame | None = None, source: Column | None = None) -> DataFrame:
-    """(page_id, url, pos, tag, text, within, outer, junk, href): blocks, anchors, descriptions and containers of pages (page_id, url, html).
+    """(page_id, url, parts) of pages (page_id, url, html); parts: (tag, text, within, outer, junk, href) of blocks, anchors, descriptions and containers, in order.
 
     selectors: (source, rank, name, class, id), the first element that has all that is given being meant; a page's are those of its ``source``, by default
-    its host. Containers are rows with the tag selector or default, their name as text and their number in ``within``; a block's ``within`` has the numbers of the containers
-    around it, ``outer`` that of the outermost one that an editor would take. Pages without HTML have no parts.
+    its host. Containers have the tag selector or default, their name as text and their number in ``within``; a block's ``within`` has the numbers of the containers
+    around it, ``outer`` that of the outermost one that an editor would take. Pages without HTML have no parts. A page is read once, and all that follows is a map over it.
     """
     own = pages.select("page_id", "url", "html", (host(F.col("url")) if source is None else source).alias("_source"))
     if selectors is None:
-        return own.select("page_id", "url", "html", F.lit(None).cast("string").alias("selectors")).mapInPandas(_blocks, PARTS)
-    label = F.concat(F.coalesce("name", F.lit("")), F.coalesce(F.concat(F.lit("."), "class"), F.lit("")), F.coalesce(F.concat(F.lit("#"), "id"), F.lit("")))
-    each = F.array_sort(F.collect_list(F.struct("rank", label.alias("strategy"), "name", "class", "id")))
-    held = selectors.groupBy(F.col("source").alias("_source")).agg(F.to_json(each).alias("selectors"))
-    return own.join(held, "_source", "left").select("page_id", "url", "html", "selectors").mapInPandas(_blocks, PARTS)
+        held = own.withColumn("selectors", F.lit(None).cast("string"))
+    else:
+        label = F.concat(F.coalesce("name", F.lit("")), F.coalesce(F.concat(F.lit("."), "class"), F.lit("")), F.coalesce(F.concat(F.lit("#"), "id"), F.lit("")))
+        each = F.array_sort(F.collect_list(F.struct("rank", label.alias("strategy"), "name", "class", "id")))
+        known = checkpointed(selectors.groupBy(F.col("source").alias("_source")).agg(F.to_json(each).alias("selectors")))
+        held = own.join(F.broadcast(known) if known.count() <= BROADCAST_SOURCES else known, "_source", "left")
+    return held.select("page_id", "url", "html", "selectors").mapInPandas(_blocks, KINDS).select("page_id", "url", F.arrays_zip(*PARTS).alias("parts"))
 
 
-def text_blocks(parts: DataFrame) -> DataFrame:
-    return parts.where(F.col("tag").isin(*BLOCK_TAGS) & (F.length("text") > LEAST_CHARS) & ~F.col("text").rlike(NOT_TEXT))
+def _let(x: Column, f) -> Column:
+    """f(x), x being worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _in_order(texts: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(texts), lambda x: x["text"]), "\n")
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda x: x["text"]), "\n")
 
 
 def _n_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
 
 
-def container_texts(parts: DataFrame) -> DataFrame:
-    """(page_id, url, own, k, strategy, n_words, text) of each container that a page has, in the order in which they are tried; ``own``: by a selector of its source."""
-    containers = parts.where(F.col("tag").isin("selector", "default")).select("page_id", "url", F.get("within", F.lit(0)).alias("k"), (F.col("tag") == "selector").alias("own"), F.col("text").alias("strategy"), F.lit(None).cast("struct<pos:int,text:string>").alias("x"))
-    blocks = text_blocks(parts).select("page_id", "url", F.explode("within").alias("k"), F.lit(None).cast("boolean").alias("own"), F.lit(None).cast("string").alias("strategy"), F.struct("pos", "text").alias("x"))
-    texts = containers.unionByName(blocks).groupBy("page_id", "k").agg(F.max("url").alias("url"), F.max("own").alias("own"), F.max("strategy").alias("strategy"), _in_order(F.collect_list("x")).alias("text"))
-    return texts.select("page_id", "url", "own", "k", "strategy", _n_words(F.col("text")).alias("n_words"), "text")
+def _is_container(x: Column) -> Column:
+    return x["tag"].isin("selector", "default")
+
+
+def _containers(parts: Column) -> Column:
+    """The containers that a page has, (k, own, strategy, n_words, text), in the order in which they are tried."""
+    blocks = F.filter(parts, lambda x: x["tag"].isin(*BLOCK_TAGS) & (F.length(x["text"]) > LEAST_CHARS) & ~x["text"].rlike(NOT_TEXT))
 
+    def of(b: Column) -> Column:
+        def told(c: Column) -> Column:
+            k = F.get(c["within"], F.lit(0))
+            text = _joined(F.filter(b, lambda x: F.array_contains(x["within"], k)))
+            return _let(text, lambda t: F.struct(k.alias("k"), (c["tag"] == "selector").alias("own"), c["text"].alias("strategy"), _n_words(t).alias("n_words"), t.alias("text")))
 
-def _chosen(texts: DataFrame) -> DataFrame:
-    """(page_id, own, strategy, n_words, text): what gives a page's main text."""
-    x, some = F.struct("own", "strategy", "n_words", "text"), F.col("n_words") > 0
-    both = texts.groupBy("page_id").agg(F.min_by(x, F.when(F.col("own"), F.col("k"))).alias("own"), F.min_by(x, F.when(~F.col("own") & some, F.col("k"))).alias("rest"))
-    return both.select("page_id", F.coalesce(F.when(F.col("own.n_words") > 0, F.col("own")), "rest").alias("x")).select("page_id", "x.*").where(F.col("n_words") > LEAST_WORDS)
+        return F.array_sort(F.transform(F.filter(parts, _is_container), told))
+
+    return _let(blocks, of)
+
+
+def _chosen(held: Column) -> Column:
+    """The container that gives the main text, or null: the first selector's that there is, if it has text, else the first other one's that has."""
+    own, rest = F.get(F.filter(held, lambda x: x["own"]), F.lit(0)), F.get(F.filter(held, lambda x: ~x["own"] & (x["n_words"] > 0)), F.lit(0))
+    best = F.when(own["n_words"] > 0, own).otherwise(rest)
+    return F.when(best["n_words"] > LEAST_WORDS, best)
+
+
+def container_texts(parts: DataFrame) -> DataFrame:
+    """(page_id, url, k, own, strategy, n_words, text, chosen) of each container that a page has; ``own``: by a selector of its source; ``chosen``: it gives the main text."""
+    both = parts.select("page_id", "url", _let(_containers(F.col("parts")), lambda h: F.struct(h.alias("held"), _chosen(h)["k"].alias("best"))).alias("x"))
+    return both.select("page_id", "url", "x.best", F.explode("x.held").alias("x")).select("page_id", "url", "x.*", F.coalesce(F.col("x.k") == F.col("best"), F.lit(False)).alias("chosen"))
 
 
 def main_text(parts: DataFrame) -> DataFrame:
     """(page_id, strategy, n_words, text): the text of the first of the source's selectors that the page has or, if that has none, of the first of ``article``, ``main`` and
     a ``div`` with a hint that has; pages with LEAST_WORDS words or fewer are left out."""
-    return _chosen(container_texts(parts)).drop("own")
+    best = parts.select("page_id", _let(_containers(F.col("parts")), _chosen).alias("x")).where("x IS NOT NULL")
+    return best.select("page_id", "x.strategy", "x.n_words", "x.text")
 
 
 def extractor_yield(parts: DataFrame, source: Column | None = None) -> DataFrame:
@@ -185,10 +211,9 @@ def extractor_yield(parts: DataFrame, source: Column | None = None) -> DataFrame
     of the pages that have it.
     """
     texts = container_texts(parts).withColumn("source", host(F.col("url")) if source is None else source)
-    won = _chosen(texts.drop("source")).select("page_id", "own", "strategy", F.lit(1).alias("won"))
-    enough = (F.col("n_words") > LEAST_WORDS).cast("int")
-    each = texts.join(won, ["page_id", "own", "strategy"], "left").groupBy("source", "own", "strategy").agg(
-        F.min("k").alias("k"), F.count("*").alias("n_pages"), F.sum(enough).alias("n_enough"), F.count("won").alias("n_chosen"), F.avg("n_words").alias("avg_words"), F.max("n_words").alias("max_words")
+    each = texts.groupBy("source", "own", "strategy").agg(
+        F.min("k").alias("k"), F.count("*").alias("n_pages"), F.count_if(F.col("n_words") > LEAST_WORDS).alias("n_enough"), F.count_if("chosen").alias("n_chosen"),
+        F.avg("n_words").alias("avg_words"), F.max("n_words").alias("max_words"),
     )
     fit = F.col("own") & (2 * F.col("n_enough") >= F.col("n_pages"))
     first = F.min(F.when(fit, F.col("k"))).over(Window.partitionBy("source"))
@@ -199,39 +224,43 @@ def edited_text(parts: DataFrame) -> DataFrame:
     """(page_id, strategy, n_words, text) of pages that an editor adds by hand: every block once, none from navigation, headers, asides and forms.
 
     ``article`` and then ``main``, if there is one, until one has EDIT_WORDS words; else the longest container with a hint, an outer one having all that those inside have;
-    else the whole page if that is longer; descriptions are added to what is short even so. Pages without parts are left out; a text that is empty comes with the strategy ``none``.
+    else the whole page if that is longer; descriptions are added to what is short even so. A page without text has an empty one, its strategy being ``none``.
     """
-    fit = F.col("tag").isin(*EDIT_TAGS) & ~F.col("junk") & (F.length("text") > LEAST_CHARS) & ~F.col("text").rlike(EDIT_NOT_TEXT)
-    marked = parts.where(fit | (F.col("tag") == "default") | (F.col("tag") == "meta"))
-    named = lambda name: F.max(F.when((F.col("tag") == "default") & (F.col("text") == name), F.get("within", F.lit(0))))
-    numbers = marked.groupBy("page_id").agg(named("article").alias("article"), named("main").alias("main"))
-    place = lambda c, k, by: F.when(c, F.struct(F.lit(k).alias("k"), by.cast("int").alias("by")))
-    places = F.array_compact(F.array(
-        place(F.array_contains("within", F.col("article")), 0, F.lit(0)), place(F.array_contains("within", F.col("main")), 1, F.lit(0)),
-        place(F.col("outer").isNotNull(), 2, F.col("outer")), place(F.lit(True), 3, F.lit(0)),
-    ))
-    blocks = marked.where(fit).join(numbers, "page_id").select("page_id", "pos", "text", F.explode(places).alias("p"))
-    once = blocks.groupBy("page_id", "p", "text").agg(F.min("pos").alias("pos"))
-    texts = once.groupBy("page_id", "p").agg(_in_order(F.collect_list(F.struct("pos", "text"))).alias("text"))
-    texts = texts.withColumn("x", F.struct(_n_words(F.col("text")).alias("n_words"), (-F.col("p.by")).alias("by"), "text"))
-    best = texts.groupBy("page_id").agg(*[F.max(F.when(F.col("p.k") == k, F.col("x"))).alias(name) for k, name in enumerate(("in_article", "in_main", "hinted", "body"))])
-    metas = marked.where("tag = 'meta'").groupBy("page_id", F.get("within", F.lit(0)).alias("k")).agg(F.min_by("text", "pos").alias("text")).groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("metas")
-    )
-    held = numbers.join(best, "page_id", "left").join(metas, "page_id", "left")
-    none = F.struct(F.lit("none").alias("strategy"), F.lit(0).alias("n_words"), F.lit("").alias("text"))
-    told = lambda c, name: F.when(F.col(c).isNotNull(), F.struct(F.lit(name).alias("strategy"), F.col(f"{c}.n_words").alias("n_words"), F.col(f"{c}.text").alias("text"))).otherwise(none)
-    a, m = told("in_article", "article"), told("in_main", "main")
-    held = held.select("page_id", "metas", "hinted", "body", F.when((a["n_words"] >= EDIT_WORDS) | F.col("main").isNull(), a).otherwise(m).alias("x"))
-    for c, name in (("hinted", "container"), ("body", "page")):
-        held = held.withColumn("x", F.when((F.col("x.n_words") < EDIT_WORDS) & (told(c, name)["n_words"] > F.col("x.n_words")), told(c, name)).otherwise(F.col("x")))
-    text = F.when((F.col("x.n_words") < EDIT_WORDS) & F.col("metas").isNotNull(), F.trim(F.concat("x.text", F.lit("\n"), "metas"), F.lit("\n "))).otherwise(F.col("x.text"))
-    return held.select("page_id", "x.strategy", text.alias("text")).select("page_id", "strategy", _n_words(F.col("text")).alias("n_words"), "text")
+    fit = lambda x: x["tag"].isin(*EDIT_TAGS) & ~x["junk"] & (F.length(x["text"]) > LEAST_CHARS) & ~x["text"].rlike(EDIT_NOT_TEXT)
+    first = lambda f: F.get(F.filter("parts", f), F.lit(0))
+    number = lambda name: F.get(first(lambda x: (x["tag"] == "default") & (x["text"] == name))["within"], F.lit(0))
+    meta = lambda k: first(lambda x: (x["tag"] == "meta") & (F.get(x["within"], F.lit(0)) == k))["text"]
+    metas = F.array_join(F.array(*[meta(k) for k in range(len(EDIT_METAS))]), "\n")  # nulls are left out
+
+    def once(name: str, blocks: Column) -> Column:
+        text = F.array_join(F.array_distinct(F.transform(blocks, lambda x: x["text"])), "\n")
+        return _let(text, lambda t: F.struct(_n_words(t).alias("n_words"), F.when(t != "", name).otherwise("none").alias("strategy"), t.alias("text")))
+
+    def longest(b: Column) -> Column:
+        """Of the runs of blocks in one outermost container, the one with most words, the first of such."""
+        outer = lambda i: F.get(b, i)["outer"]
+        starts = F.when(F.size(b) > 0, F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | ~outer(i).eqNullSafe(outer(i - 1)))).otherwise(F.array().cast("array<int>"))
+        runs = _let(starts, lambda s: F.transform(s, lambda i, j: F.slice(b, i + 1, F.coalesce(F.get(s, j + 1), F.size(b)) - i)))
+        held = F.transform(F.filter(runs, lambda r: F.get(r, F.lit(0))["outer"].isNotNull()), lambda r, j: _let(once("container", r), lambda x: F.struct(x["n_words"].alias("n"), (-j).alias("j"), x.alias("x"))))
+        return F.coalesce(F.array_max(held)["x"], once("container", F.slice(b, 1, 0)))
+
+    def better(old: Column, new: Column) -> Column:
+        return F.when((old["n_words"] < EDIT_WORDS) & (new["n_words"] > old["n_words"]), new).otherwise(old)
+
+    def text_of(b: Column) -> Column:
+        inside = lambda name: once(name, F.filter(b, lambda x: F.array_contains(x["within"], number(name))))
+        start = _let(inside("article"), lambda a: F.when((a["n_words"] >= EDIT_WORDS) | number("main").isNull(), a).otherwise(inside("main")))
+        return _let(_let(start, lambda x: better(x, longest(b))), lambda x: better(x, once("page", b)))
+
+    best = parts.select("page_id", metas.alias("metas"), _let(F.filter("parts", fit), text_of).alias("x"))
+    text = F.when((F.col("x.n_words") < EDIT_WORDS) & (F.col("metas") != ""), F.trim(F.concat("x.text", F.lit("\n"), "metas"), F.lit("\n "))).otherwise(F.col("x.text"))
+    return best.select("page_id", "x.strategy", text.alias("text")).select("page_id", "strategy", _n_words(F.col("text")).alias("n_words"), "text")
 
 
 def expanded_links(parts: DataFrame, skip: str = r"(?i)newsletter|digest|bulletin") -> DataFrame:
     """(page_id, url, title): links of a page to articles of its own host, by a number of four digits and more in the path; each URL once."""
-    own = parts.where(F.col("tag") == "a").withColumn("to", F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.lit("https://"), host(F.col("url")), F.col("href"))))
+    links = parts.select("page_id", "url", F.posexplode(F.filter("parts", lambda x: x["tag"] == "a")).alias("pos", "x")).select("page_id", "url", "pos", "x.text", "x.href")
+    own = links.withColumn("to", F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.lit("https://"), host(F.col("url")), F.col("href"))))
     fit = (host(F.col("to")) == host(F.col("url"))) & F.col("to").rlike(r"/\d{4,}") & ~F.col("to").rlike(skip) & (F.length("text") >= 15)
     first = own.where(fit).withColumn("link", canonical_url(F.col("to"))).withColumn("k", F.row_number().over(Window.partitionBy("page_id", "link").orderBy("pos")))
     return first.where("k = 1").select("page_id", F.col("link").alias("url"), F.col("text").alias("title"))

@@ -133,7 +133,7 @@ def test_pages_added_by_hand(spark):
         "<p>Kişisel verilere dair çerez bildirimi</p>",  # no part that counts
     )
     found = {r.page_id: (r.strategy, r.n_words) for r in pages.edited_text(pages.page_parts(pages_of)).collect()}
-    assert found == {0: ("article", 64), 1: ("main", 50), 2: ("article", 50), 3: ("page", 79), 4: ("page", 21), 5: ("page", 15)}
+    assert found == {0: ("article", 64), 1: ("main", 50), 2: ("article", 50), 3: ("page", 79), 4: ("page", 21), 5: ("page", 15), 6: ("none", 0)}
 
 
 def test_days_are_replaced(spark, tmp_path):
