@@ -52,7 +52,8 @@ def repair(is_truncated: Column, cut: Column, source: Column, body: Column, head
 
 
 def accepts_rewrite(old: Column, new: Column, casual: Column) -> Column:
-    return (word_count(new) >= F.greatest(F.lit(15.0), 0.55 * word_count(old))) & (F.size(casual) == 0)
+    # 55 % in whole numbers: as a double, 0.55 * 20 and the like are above their value.
+    return (20 * word_count(new) >= F.greatest(F.lit(300), 11 * word_count(old))) & (F.size(casual) == 0)
 
 
 def needs_longer(body: Column, source: Column) -> Column:
