@@ -90,8 +90,10 @@ def page_texts(spark, sf_dir):
 
 def page_links(spark, sf_dir):
     """Links of pages as digests: before each page's own HTML come a story, the same again, an issue of the digest and one with a short text."""
-    link = lambda to, text: F.concat(F.lit(f'<li><a href="{to}'), F.col("page_id").cast("string"), F.lit(f'">{text} '), F.col("page_id").cast("string"), F.lit("</a></li>"))
-    items = link("/story/1000", "All about story"), link("/story/1000", "Read more about it:"), link("/digest/1000", "All about issue"), link("/brief/1000", "In brief")
+    link = lambda to, *text: F.concat(F.lit(f'<li><a href="{to}'), F.col("page_id").cast("string"), F.lit('">'), *text, F.lit("</a></li>"))
+    named = lambda to, text: link(to, F.lit(f"{text} "), F.col("page_id").cast("string"))
+    # The short text has no id, which would make it longer on later pages.
+    items = named("/story/1000", "All about story"), named("/story/1000", "Read more about it:"), named("/digest/1000", "All about issue"), link("/brief/1000", F.lit("In brief"))
     return pg.expanded_links(pg.page_parts(table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit("<ul>"), *items, F.lit("</ul>"), F.coalesce("html", F.lit(""))))))
 
 
