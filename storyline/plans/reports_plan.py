@@ -14,7 +14,7 @@ from ..operators import report as rp
 from ..sources import feeds, sinks
 from ..streaming import stream
 from .articles_plan import ORACLE_SQL as _ARTICLES_SQL
-from .tables import ARTICLES, FIRST_DAY, ORDER, SCORES, articles, day_of, raw_scores, table
+from .tables import ARTICLES, FIRST_DAY, ORDER, SCORES, articles, day_of, raw_scores, streamed, table
 
 DAY = ["day"]
 NOW = "2024-01-25 00:00:00"
@@ -218,9 +218,7 @@ def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    own = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return own.select("event_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("pub_ts"), "user_id", "value")
+    return streamed(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("pub_ts"), "user_id", "value")
 
 
 def _folder(spark):
@@ -256,7 +254,7 @@ def stream_late(spark, sf_dir):
 def stream_links(spark, sf_dir):
     """Links of the pages' stream that the ledger of the days before doesn't have, each once."""
     own = table(spark, sf_dir, "pages")
-    pages = spark.readStream.schema(own.schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    pages = streamed(spark, sf_dir, "pages")
     linked = lambda t: t.select(day_of("page_id").alias("day"), day_of("page_id").cast("timestamp").alias("pub_ts"), tx.canonical_url(F.col("url")).alias("url_norm"))
     ledger = linked(own).where("day < DATE'2024-01-16'")
     found = stream.fresh_links(linked(pages).where("day >= DATE'2024-01-16'"), ledger)
@@ -266,7 +264,7 @@ def stream_links(spark, sf_dir):
 def stream_history(spark, sf_dir):
     """The history of reports after a stream of reported articles, each of which comes twice: by day, once, clipped, of the last seven days."""
     own = articles(spark, sf_dir).select("day", "article_id", (F.col("article_id") * 2).alias("pos"), "title")
-    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    docs = streamed(spark, sf_dir, "documents")
     title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
     new = docs.where("doc_id % 3 > 0").select(day_of("doc_id").alias("day"), F.col("doc_id").alias("article_id"), F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).alias("pos"), title.alias("title"))
     update = lambda history, batch: sinks.upserted_days(history, batch.where("day >= DATE'2024-01-26'"), F.lit("2024-01-30").cast("date"), 7, {"title": 40})
