@@ -31,6 +31,9 @@ VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 PARTS = ("tag", "text", "within", "outer", "junk", "href")
 KINDS = "page_id long, url string, tag array<string>, text array<string>, within array<array<int>>, outer array<int>, junk array<boolean>, href array<string>"
 
+#: Pages whose parts are held at once.
+PAGES = 256
+
 #: Up to so many sources' selectors are broadcast; beyond that they are joined.
 BROADCAST_SOURCES = 100_000
 
@@ -124,14 +127,15 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             self.text, self.block = [], None
 
     for batch in batches:
-        rows = []
-        for page, url, html, selectors in zip(batch["page_id"], batch["url"], batch["html"], batch["selectors"], strict=True):
-            parser = Page(json.loads(selectors or "[]"))
-            parser.feed(html or "")
-            parser.close()
-            parser.flush()
-            rows.append((page, url, *([list(x) for x in zip(*parser.out, strict=True)] or [[]] * len(PARTS))))
-        yield pd.DataFrame(rows, columns=["page_id", "url", *PARTS])
+        for start in range(0, len(batch), PAGES):
+            rows, some = [], batch.iloc[start : start + PAGES]
+            for page, url, html, selectors in zip(some["page_id"], some["url"], some["html"], some["selectors"], strict=True):
+                parser = Page(json.loads(selectors or "[]"))
+                parser.feed(html or "")
+                parser.close()
+                parser.flush()
+                rows.append((page, url, *([list(x) for x in zip(*parser.out, strict=True)] or [[]] * len(PARTS))))
+            yield pd.DataFrame(rows, columns=["page_id", "url", *PARTS])
 
 
 def page_parts(pages: DataFrame, selectors: DataFrame | None = None, source: Column | None = None) -> DataFrame:
